@@ -101,11 +101,7 @@ def sidecar_path(path: Column) -> Column:
 
 def suffixed_name(name: Column, k: Column) -> Column:
     """``a.ARW``, 2 -> ``a_2.ARW``; a name without a stem takes the suffix at its end."""
-    ext = name_extension(name)
-    dotted = name.rlike(r"(?s)^.+\.[^.]*$")
-    return F.when(dotted, F.concat(name_stem(name), F.lit("_"), k, F.lit("."), ext)).otherwise(
-        F.concat(name, F.lit("_"), k)
-    )
+    return F.regexp_replace(name, F.lit(r"(?s)^(.+?)(\.[^.]*)?\z"), F.concat(F.lit("$1_"), k, F.lit("$2")))
 
 
 def normalize_make(make: Column) -> Column:

@@ -10,6 +10,8 @@ from sievelight.functions.templates import expand_template
 from sievelight.functions.text import inside_folder, nfc, sidecar_path, suffixed_name, tidy
 from sievelight.operators.lanes import Lanes, join_groups, position, total
 
+# A name ending in _k: without an extension, or with one.
+_SUFFIXED = r"(?s)^(?:(\.?[^.]+)_([1-9][0-9]*)|(.+)_([1-9][0-9]*)(\.[^.]*))\z"
 MODES = ("Rename", "Skip", "Overwrite", "Abort")
 
 
@@ -53,22 +55,19 @@ def assign_free_suffix(wanted: DataFrame, taken: DataFrame, dest: list[str], nam
     and the smallest gap is 2 plus the length of the unbroken run 2, 3, ...
     Suffixed forms of different names never meet, so no name is tried twice.
     """
-    numbered = r"(?s)^(.+)_([1-9][0-9]*)(\.[^.]*)$"
-    bare = r"(?s)^(\.?[^.]+)_([1-9][0-9]*)$"
-    col = F.col(name)
-    base = F.when(col.rlike(bare), F.regexp_extract(col, bare, 1)).when(
-        col.rlike(numbered), F.concat(F.regexp_extract(col, numbered, 1), F.regexp_extract(col, numbered, 3))
-    )
-    k = F.when(col.rlike(bare), F.regexp_extract(col, bare, 2)).otherwise(F.regexp_extract(col, numbered, 2))
+    # A path separator cannot occur in a name, so it can part base and number.
+    parsed = F.regexp_replace(F.col(name), _SUFFIXED, "$1$3$5/$2$4")
+    numbered = F.filter(F.array(F.split(parsed, "/")), lambda p: F.size(p) == 2)
     used = (
-        taken.select(*dest, base.alias(name), k.try_cast("bigint").alias("_k"))
-        .where(F.col(name).isNotNull() & (F.col("_k") >= 2)).distinct()
+        taken.select(*dest, F.explode(numbered).alias("_p"))
+        .select(*dest, F.col("_p")[0].alias(name), F.col("_p")[1].try_cast("bigint").alias("_k"))
+        .where("_k >= 2").distinct()
         .join(wanted.select(*dest, name).distinct(), [*dest, name], "left_semi")
     )
     runs = Lanes(used, [*dest, name], ["_k"]).scan(_at=position()).rows()
     gaps = runs.groupBy(*dest, name).agg((F.count_if(F.col("_k") == F.col("_at") + 1) + 2).alias("_free"))
     free = F.coalesce(F.col("_free"), F.lit(2)).cast("string")
-    return wanted.join(gaps, [*dest, name], "left").withColumn("free_name", suffixed_name(col, free)).drop("_free")
+    return wanted.join(gaps, [*dest, name], "left").withColumn("free_name", suffixed_name(F.col(name), free)).drop("_free")
 
 
 def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None = None, *,

@@ -37,13 +37,15 @@ def add_keywords(existing: Column, incoming: Column, ascii_only: bool = False) -
     """
     fold = (lambda a: F.transform(a, F.lower)) if ascii_only else (lambda a: _per_item(a, casefold))
     fresh = F.filter(F.transform(incoming, tidy), lambda k: k != "") if ascii_only else sanitize_keywords(incoming)
-    known, folded = fold(existing), fold(fresh)
-    new = F.filter(
-        F.zip_with(fresh, F.transform(folded, lambda k, i: F.struct(k.alias("fold"), i.alias("at"))),
-                   lambda k, f: F.struct(k.alias("word"), f["fold"].alias("fold"), f["at"].alias("at"))),
-        lambda x: ~F.array_contains(known, x["fold"]) & (F.array_position(folded, x["fold"]) == x["at"] + 1),
-    )
-    return F.concat(existing, F.transform(new, lambda x: x["word"]))
+    facts = F.struct(existing.alias("old"), fresh.alias("new"), fold(existing).alias("known"), fold(fresh).alias("folded"))
+
+    def unite(row: Column) -> Column:
+        first = lambda word, i: ~F.array_contains(row["known"], F.get(row["folded"], i)) & (
+            F.array_position(row["folded"], F.get(row["folded"], i)) == i + 1)
+        return F.concat(row["old"], F.filter(row["new"], first))
+
+    # A one-element transform names the UDF results, so lambdas may refer to them.
+    return F.get(F.transform(F.array(facts), unite), F.lit(0))
 
 
 def remove_keyword(keywords: Column, keyword: str) -> Column:

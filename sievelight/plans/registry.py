@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelight.functions.templates import pad_number
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -41,7 +43,7 @@ def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("mtime"),
         F.unix_micros("ts").alias("time_us"),
         F.date_format("ts", "yyyy:MM:dd HH:mm:ss").alias("capture_time"),
-        F.format_string("DSC%05d.ARW", "event_id").alias("file_name"),
+        F.concat(F.lit("DSC"), pad_number(F.col("event_id"), F.lit(5)), F.lit(".ARW")).alias("file_name"),
         (F.col("user_id") % 5).alias("camera"),
         F.col("user_id"), F.col("event_type"), F.col("value"),
         F.when(F.col("event_type") == "purchase", "Picked").when(F.col("event_type") == "error", "Rejected")
