@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.capture import burst_seq, valid_orientation
 from sievelight.functions.text import ascii_lower, name_extension, normalize_make
 from sievelight.operators.previews import flag_implausible
+from sievelight.sources.jobs import per_file
 from sievelight.sources.ranged import Ranged, exif_facts, jpeg_complete, jpeg_exif, preview_pointers
 
 
@@ -24,7 +25,6 @@ def _per_file(df: DataFrame, columns: list[str], content: str | None, schema: st
     """Run ``read`` on every row; an unreadable file becomes a row with ``error``."""
     names = [c.split()[0] for c in schema.split(", ")]
     rows = df.select(*columns, *([content] if content else []))
-    rows = rows.repartition(tasks) if tasks else rows
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -41,7 +41,7 @@ def _per_file(df: DataFrame, columns: list[str], content: str | None, schema: st
                         src.close()
             yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
 
-    return rows.mapInPandas(job, schema)
+    return per_file(rows, job, schema, tasks)
 
 
 def _is_jpeg(path: Column) -> Column:
