@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievelight.functions.text import name_extension, name_stem, squeeze_spaces, trim_unicode
+from sievelight.functions.text import bind, name_extension, name_stem, squeeze_spaces, trim_unicode
 
 _SORT_KEY = (r"^(\d{1,9}):(\d{1,9}):(\d{1,9})(?::[^ ]*)? "
              r"(\d{1,9}):(\d{1,9}):(\d{1,9})(?::[^.]*)?(?:\.(\d{0,3}).*)?$")
+_UNSET = r"^0000|^\d{4}:00|^\d{4}:\d{2}:00"
 _EXIF_TIME = r"^(\d{4}):(\d{2}):(\d{2})(?::[^ ]*)? ([0-9:]+)$"
 
 
@@ -24,17 +25,16 @@ def sort_key_ms(key: Column) -> Column:
 
     Month 13 counts on instead of failing; anything not made of digits is NULL.
     """
-    part = {n: F.regexp_extract(key, _SORT_KEY, i + 1).try_cast("bigint")
-            for i, n in enumerate(["y", "m", "d", "h", "min", "s"])}
-    ms = F.rpad(F.regexp_extract(key, _SORT_KEY, 7), 3, "0").try_cast("bigint")
-    year = part["y"] - (part["m"] <= 2).cast("bigint")
-    era = F.floor(year / 400)
-    of_era = year - era * 400
-    leap = F.floor(of_era / 4) - F.floor(of_era / 100)
-    of_year = F.floor((153 * ((part["m"] + 9) % 12) + 2) / 5) + part["d"] - 1
-    days = era * 146097 + of_era * 365 + leap + of_year - 719468
-    secs = ((days * 24 + part["h"]) * 60 + part["min"]) * 60 + part["s"]
-    return F.when(key.rlike(_SORT_KEY), (secs * 1000 + ms).cast("bigint"))
+    fields = F.split(F.regexp_replace(key, _SORT_KEY, "$1,$2,$3,$4,$5,$6,$7"), ",")
+
+    def count(p: Column) -> Column:
+        y, m, d, hour, minute, second = (F.get(p, F.lit(i)).try_cast("bigint") for i in range(6))
+        return bind(y - (m <= 2).cast("bigint"), lambda year: (
+            (year * 365 + F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400)
+             + F.floor((153 * ((m + 9) % 12) + 2) / 5) + d - 719469) * 86400
+            + hour * 3600 + minute * 60 + second) * 1000 + F.rpad(F.get(p, F.lit(6)), 3, "0").try_cast("bigint"))
+
+    return F.when(key.rlike(_SORT_KEY), bind(fields, count).cast("bigint"))
 
 
 def capture_context(exif_time: Column, mtime: Column, name: Column, camera: Column) -> Column:
@@ -43,25 +43,23 @@ def capture_context(exif_time: Column, mtime: Column, name: Column, camera: Colu
     A missing or malformed EXIF time, or one with an unset clock, falls back to
     ``mtime`` in UTC.
     """
-    text = trim_unicode(exif_time)
-    y, m, d = (F.regexp_extract(text, _EXIF_TIME, i) for i in (1, 2, 3))
-    clock = F.replace(F.regexp_extract(text, _EXIF_TIME, 4), F.lit(":"), F.lit(""))
-    usable = F.coalesce(
-        text.rlike(_EXIF_TIME) & (F.length(clock) == 6) & (y != "0000") & (m != "00") & (d != "00"),
-        F.lit(False),
-    )
+    # "date,clock" of a well-formed time, NULL for anything else.
+    stamp = bind(trim_unicode(exif_time), lambda t: F.when(
+        t.rlike(_EXIF_TIME) & ~t.rlike(_UNSET), F.split(F.regexp_replace(t, _EXIF_TIME, "$1-$2-$3,$4"), ",")))
+    stamp = bind(stamp, lambda s: bind(F.replace(s[1], F.lit(":"), F.lit("")), lambda clock: F.when(
+        F.length(clock) == 6, F.struct(s[0].alias("date"), clock.alias("time")))))
     # Whole seconds since the epoch, so the session zone plays no part.
     secs = F.greatest(F.coalesce(F.unix_seconds(mtime), F.lit(0)), F.lit(0))
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(secs / 86400).cast("int"))
     of_day = secs % 86400
     two = [F.lpad(F.floor(x).cast("string"), 2, "0") for x in (of_day / 3600, of_day / 60 % 60, of_day % 60)]
-    return F.struct(
-        F.when(usable, F.concat_ws("-", y, m, d)).otherwise(day.cast("string")).alias("date"),
-        F.when(usable, clock).otherwise(F.concat(*two)).alias("time"),
+    fallback = F.struct(day.cast("string").alias("date"), F.concat(*two).alias("time"))
+    return bind(F.coalesce(stamp, fallback), lambda at: F.struct(
+        at["date"].alias("date"), at["time"].alias("time"),
         name_stem(name).alias("filename"),
         F.coalesce(squeeze_spaces(camera), F.lit("")).alias("camera"),
         F.upper(name_extension(name)).alias("ext"),
-    )
+    ))
 
 
 def burst_seq(release_mode: Column, number: Column) -> Column:

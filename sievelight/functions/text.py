@@ -30,6 +30,11 @@ def _casefold(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else s.casefold())
 
 
+def bind(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def nfc(text: Column) -> Column:
     plain = text.rlike(_BELOW_COMBINING)
     return F.coalesce(F.when(plain, text), _nfc(F.when(~plain, text)))

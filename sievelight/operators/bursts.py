@@ -40,7 +40,8 @@ def group_bursts(df: DataFrame, session: list[str], order: list[str], camera: st
     )
     lane = (
         Lanes(df, [*session, camera], order)
-        .with_columns(_now=facts).scan(_past=previous(F.col("_now")))
+        .with_columns(_now=facts)
+        .scan(_past=previous(F.col("_now")), _at=position(), _rows=total())
     )
     now, past = F.col("_now"), F.col("_past")
     limit = F.when(now["fine"] & past["fine"], F.lit(max_gap)).otherwise(F.lit(max(max_gap, second)))
@@ -49,9 +50,8 @@ def group_bursts(df: DataFrame, session: list[str], order: list[str], camera: st
     )
     joins = now["joinable"] & past["joinable"] & (F.abs(now["time"] - past["time"]) <= limit) & in_sequence
     lane = lane.with_columns(_starts=~F.coalesce(joins, F.lit(False)))
-    lane = lane.scan(_at=position(), _rows=total(), _run=running(F.col("_starts").cast("int")))
     start = F.when(F.col("_starts"), F.col("_at"))
-    lane = lane.scan(_first=last_seen(start), _next=next_seen(start))
+    lane = lane.scan(_run=running(F.col("_starts").cast("int")), _first=last_seen(start), _next=next_seen(start))
     first = F.coalesce(start, F.col("_first"))
     size = F.coalesce(F.col("_next"), F.col("_rows") + 1) - first
     is_burst = size >= F.when(now["numbered"], F.lit(2)).otherwise(F.lit(min_run))
@@ -90,8 +90,9 @@ def burst_boundaries(df: DataFrame, session: list[str], order: list[str], group:
     lane = lane.scan(_jump=next_seen(F.when(island, F.col("position"))))
     rows = lane.rows()
     heads = rows.where(F.col(group).isNotNull()).groupBy(*session, group).agg(F.min("position").alias("_head"))
+    left_heads = heads.select(*session, F.col(group).alias("_left"), F.col("_head").alias("_left_head"))
     headed = join_groups(rows, heads, [*session, group], [row_id])
-    headed = Lanes(headed, session, order).scan(_left_head=previous(F.col("_head"))).rows()
+    headed = join_groups(headed, left_heads, [*session, "_left"], [row_id])
     here, head = F.col("position"), F.col("_head")
     back = F.when(head < here, head).when(here == 1, here).otherwise(F.coalesce(F.col("_left_head"), here - 1))
     return headed.withColumns({

@@ -32,6 +32,7 @@ from pyspark.sql.window import Window, WindowSpec
 SLICE_BYTES = "spark.sievelight.sliceBytes"
 ROWS_PER_SLICE = "spark.sievelight.rowsPerSlice"
 MAX_SLICES = 32768
+SMALL_PER_CORE = 64 << 20
 _SAMPLES_PER_SLICE = 50
 
 
@@ -41,6 +42,16 @@ def input_bytes(df: DataFrame) -> int:
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
+def spread_small(df: DataFrame) -> DataFrame:
+    """Give a small input at least one task per core; a large one has splits enough.
+
+    For work that is heavy per row: a table in one file is one task otherwise.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if input_bytes(df) < cores * SMALL_PER_CORE else df
+
+
 def same_keys(left: list[str], right: list[str]) -> Column:
     """NULL-safe equality: rows without a key value form one group of their own."""
     cond = F.lit(True)

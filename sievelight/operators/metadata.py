@@ -15,17 +15,16 @@ _SEP = "\u001f"
 def _per_item(items: Column, rule) -> Column:
     """Run a text rule over a whole array in one UDF call.
 
-    The items are joined by a control character that sanitized text cannot
-    hold, so the Arrow hop stays one string per row and only for rows that
-    need Python at all.
+    The items are joined by a control character that keywords cannot hold, so
+    the Arrow hop stays one string per row and only for rows that need Python.
     """
-    joined = rule(F.array_join(F.transform(items, lambda k: F.replace(k, F.lit(_SEP), F.lit(""))), _SEP))
+    joined = rule(F.array_join(items, _SEP))
     return F.when(F.size(items) > 0, F.split(joined, _SEP)).otherwise(items)
 
 
 def sanitize_keywords(items: Column) -> Column:
     """NFC, no control characters, trimmed, empties dropped, order kept."""
-    clean = F.filter(items, lambda k: k.isNotNull())
+    clean = F.transform(F.filter(items, lambda k: k.isNotNull()), lambda k: F.replace(k, F.lit(_SEP), F.lit("")))
     return F.filter(F.transform(_per_item(clean, nfc), tidy), lambda k: k != "")
 
 
@@ -64,17 +63,15 @@ def changed_rows(before: DataFrame, after: DataFrame, keys: list[str], columns:
 def field_summary(batch: DataFrame, fields: list[str], by: list[str] = ()) -> DataFrame:
     """Per field the common value, or ``mixed`` when rows differ (NULL is a value).
 
-    Minimum, maximum and counts combine before the shuffle, unlike a distinct count.
+    One pass with minimum, maximum and count per field, which combine before the
+    shuffle; only the one result row per batch is turned into rows per field.
     """
-    long = batch.select(*by, F.explode(F.array(*[
-        F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields
-    ])).alias("_f")).select(*by, "_f.field", "_f.value")
-    low, high = F.min("value"), F.max("value")
-    some, everything = F.count("value"), F.count(F.lit(1))
-    mixed = (some > 0) & ((some < everything) | (low != high))
-    return long.groupBy(*by, "field").agg(
-        F.when(~mixed, low).alias("value"), mixed.alias("mixed"), everything.alias("rows")
-    )
+    stats = [F.struct(F.lit(f).alias("field"), F.min(v).alias("low"), F.max(v).alias("high"), F.count(v).alias("some"))
+             for f in fields for v in [F.col(f).cast("string")]]
+    wide = batch.groupBy(*by).agg(F.array(*stats).alias("_s"), F.count(F.lit(1)).alias("rows"))
+    rows = wide.select(*by, "rows", F.explode("_s").alias("_f")).select(*by, "rows", "_f.*")
+    mixed = (F.col("some") > 0) & ((F.col("some") < F.col("rows")) | (F.col("low") != F.col("high")))
+    return rows.select(*by, "field", F.when(~mixed, F.col("low")).alias("value"), mixed.alias("mixed"), "rows")
 
 
 def keyword_coverage(batch: DataFrame, keywords: Column, order: str, row_id: str, by: list[str] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.templates import pad_number
+from sievelight.operators.lanes import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,13 +32,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    return df
+    # Long texts make every rule heavy per row.
+    return spread_small(df) if name == "documents" else df
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` read as frames: a day is a session, ``user_id % 5`` is a camera."""
-    shot = F.get_json_object("props", "$.k").try_cast("int")
-    return table(spark, sf_dir, "events").select(
+    shot = F.col("_shot")
+    rows = table(spark, sf_dir, "events").withColumn("_shot", F.get_json_object("props", "$.k").try_cast("int"))
+    return rows.select(
         F.col("event_id").alias("image_id"),
         F.date_format("ts", "yyyy-MM-dd").alias("session_id"),
         F.col("ts").alias("mtime"),

@@ -84,7 +84,7 @@ SELECT file_name AS path, CASE WHEN fine THEN CASE WHEN camera = 0 THEN 'Sony' E
   CASE WHEN fine AND user_id % 10 BETWEEN 1 AND 8 THEN user_id % 10 ELSE 1 END AS orientation,
   CASE WHEN NOT fine THEN 'not a TIFF container' END AS error FROM ok""")
 def extract_capture_metadata(spark, sf):
-    return J.extract_capture_metadata(_event_files(spark, sf), content="content", tasks=8)
+    return J.extract_capture_metadata(_event_files(spark, sf), content="content")
 
 
 @query("index_previews", f"""WITH {EVENT_FRAMES}
@@ -92,13 +92,13 @@ SELECT file_name AS path, unnest([306, 320]) AS "offset", unnest([14, 28]) AS le
   FALSE AS whole_file, CASE WHEN user_id % 10 BETWEEN 1 AND 8 THEN user_id % 10 ELSE 1 END AS orientation
 FROM frames WHERE event_type <> 'error'""")
 def index_previews(spark, sf):
-    return J.index_previews(_event_files(spark, sf), content="content", tasks=8)[0]
+    return J.index_previews(_event_files(spark, sf), content="content")[0]
 
 
 @query("index_previews_errors", f"""WITH {EVENT_FRAMES}
 SELECT file_name AS path, 'not a TIFF container' AS error FROM frames WHERE event_type = 'error'""")
 def index_previews_errors(spark, sf):
-    return J.index_previews(_event_files(spark, sf), content="content", tasks=8)[1]
+    return J.index_previews(_event_files(spark, sf), content="content")[1]
 
 
 @query("audit_jpegs", f"""WITH {EVENT_FRAMES}
@@ -110,7 +110,7 @@ def audit_jpegs(spark, sf):
         "path", "content", F.lit(306).cast("bigint").alias("offset"), F.lit(14).cast("bigint").alias("len"),
         (1000 + F.col("user_id") % 1000).cast("int").alias("width"),
         F.when(F.col("user_id") > 60, 1_000_000).otherwise(700).alias("height"))
-    return J.audit_jpegs(claims, content="content", tasks=8).select("path", F.col("width").cast("bigint").alias("width"), "truncated", "implausible")
+    return J.audit_jpegs(claims, content="content").select("path", F.col("width").cast("bigint").alias("width"), "truncated", "implausible")
 
 
 # -- cache ----------------------------------------------------------------------

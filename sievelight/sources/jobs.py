@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievelight.operators.lanes import spread_small
+
 _shipped: set[str] = set()
 
 
@@ -28,6 +30,11 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def per_file(rows: DataFrame, job: Callable, schema: str, tasks: int | None = None) -> DataFrame:
-    """``mapInPandas`` over rows that each name one file; ``tasks`` spreads them first."""
+    """``mapInPandas`` over rows that each name or hold one file.
+
+    A small table is spread over the cores first; ``tasks`` sets another number,
+    for tables of paths whose files are much larger than their rows.
+    """
     ship_package(rows.sparkSession)
-    return (rows.repartition(tasks) if tasks else rows).mapInPandas(job, schema)
+    rows = rows.repartition(tasks) if tasks else spread_small(rows)
+    return rows.mapInPandas(job, schema)
