@@ -39,7 +39,7 @@ def _flat(writes):
 
 @query("coalesce_edits", f"""WITH {_EDITS}, s AS (SELECT *, CASE WHEN kind = 'mark' THEN 'pick' ELSE 'metadata' END AS slot FROM edits),
  l AS (SELECT *, lag(ts) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS p FROM s),
- r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= {240 * MINUTE_MS * 1000} THEN 1 ELSE 0 END) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS run FROM l)
+ r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > {240 * MINUTE_MS * 1000} THEN 1 ELSE 0 END) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS run FROM l)
 SELECT path, slot, arg_max(pick, seq) AS pick, {_MERGED}, epoch_us(max(ts)) + {240 * MINUTE_MS * 1000} AS write_us FROM r GROUP BY path, slot, run""")
 def coalesce_edits(spark, sf):
     # Edits of one user are hours apart, so the pause is four hours here.
@@ -104,7 +104,7 @@ def failure_ledger(spark, sf):
 
 @query("flush_barrier", f"""WITH {_EDITS}, s AS (SELECT *, CASE WHEN kind = 'mark' THEN 'pick' ELSE 'metadata' END AS slot FROM edits),
  l AS (SELECT *, lag(ts) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS p FROM s),
- r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) >= {240 * MINUTE_MS * 1000} THEN 1 ELSE 0 END) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS run FROM l)
+ r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > {240 * MINUTE_MS * 1000} THEN 1 ELSE 0 END) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS run FROM l)
 SELECT path, slot, max(seq) AS last_seq FROM r GROUP BY path, slot, run""")
 def flush_barrier(spark, sf):
     """Writes the drained stream has emitted, and the open ones the barrier adds: nothing is lost, nothing twice."""

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import os
+import stat
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import ascii_lower, file_name, name_extension, name_stem, parent_folder
+from sievelight.sources.jobs import per_file
 
 # The usual camera RAW extensions and the two JPEG ones. Pass
 # your own list to change what counts.
@@ -19,19 +26,59 @@ def frame_columns(path: Column) -> dict[str, Column]:
     return {"session_id": parent_folder(path), "file_name": file_name(path)}
 
 
-def scan_files(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    """One row per file directly inside each folder; the folder is the session.
+def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """One row per file directly inside each folder; the folder is the session."""
+    folders = [paths] if isinstance(paths, str) else paths
+    return list_folders(spark.createDataFrame([(p,) for p in folders], "folder string"))
+
+
+def list_folders(folders: DataFrame, folder: str = "folder", tasks: int | None = None) -> DataFrame:
+    """List a table of folders, spread over the cluster by folder.
 
-    The reader's ``content`` column is not selected, so Spark only lists.
+    Names, sizes and times only; Spark's own file reader leaves empty files out.
+    An entry that cannot be read is a Failed row, and so is a folder (without a
+    path). Folders, sockets and the like are skipped, links are followed.
     """
-    reader = spark.read.format("binaryFile").option("ignoreMissingFiles", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    found = reader.load(paths).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return found.withColumns({
-        **frame_columns(F.col("path")),
-        "status": F.lit("Placeholder"), "reason": F.lit(None).cast("string"),
-    }).select("session_id", "path", "file_name", "size", "mtime", "status", "reason")
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = ["folder", "path", "size", "mtime_us", "reason"]
+        for batch in batches:
+            for home in batch["folder"]:
+                entries = _entries(home)
+                while rows := [(home, *e) for e in islice(entries, 10_000)]:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    rows = per_file(folders.select(F.col(folder).alias("folder")), job,
+                    "folder string, path string, size long, mtime_us long, reason string", tasks)
+    failed = F.col("reason").isNotNull()
+    return rows.select(
+        F.coalesce(frame_columns(F.col("path"))["session_id"], F.col("folder")).alias("session_id"), "path",
+        frame_columns(F.col("path"))["file_name"].alias("file_name"), F.when(failed, 0).otherwise(F.col("size")).alias("size"),
+        F.timestamp_micros("mtime_us").alias("mtime"), F.when(failed, "Failed").otherwise("Placeholder").alias("status"), "reason")
+
+
+def _entries(home: str) -> Iterator[tuple]:
+    """(path, size, mtime in microseconds, reason) of each file in one folder."""
+    if "://" in home and not home.startswith("file://"):
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+        fs, inner = FileSystem.from_uri(home)
+        for info in fs.get_file_info(FileSelector(inner)):
+            if info.type == FileType.File:
+                when = info.mtime_ns // 1000 if info.mtime_ns is not None else None
+                yield f"{home.rstrip('/')}/{info.base_name}", info.size, when, None
+        return
+    root = home.removeprefix("file://").removeprefix("file:")
+    try:
+        with os.scandir(root) as found:
+            for entry in found:
+                path = entry.path.encode(errors="replace").decode()
+                try:
+                    facts = entry.stat()
+                    if stat.S_ISREG(facts.st_mode):
+                        yield path, facts.st_size, facts.st_mtime_ns // 1000, None
+                except OSError as e:
+                    yield path, None, None, f"unreadable entry: {e.strerror}"
+    except OSError as e:
+        yield None, None, None, f"cannot list folder: {e.strerror}"
 
 
 def _kind(name: Column, extensions) -> Column:
@@ -44,7 +91,12 @@ def keep_image_extensions(df: DataFrame, raw=RAW_EXTENSIONS, jpeg=JPEG_EXTENSION
 
 def hide_paired(df: DataFrame, session: list[str] = ("session_id",), name: str = "file_name",
                 raw=RAW_EXTENSIONS, jpeg=JPEG_EXTENSIONS, readable: Column | None = None) -> DataFrame:
-    """Drop a JPEG whose session holds a readable RAW of the same stem (A-Z folded)."""
+    """Drop a JPEG whose session holds a readable RAW of the same stem (A-Z folded).
+
+    Without ``readable``, a RAW counts unless its ``status`` column says Failed.
+    """
+    if readable is None and "status" in df.columns:
+        readable = F.col("status") != "Failed"
     rows = df.withColumns({"_stem": ascii_lower(name_stem(F.col(name))), "_jpeg": _kind(F.col(name), jpeg)})
     raws = rows.where(_kind(F.col(name), raw))
     if readable is not None:

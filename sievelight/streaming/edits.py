@@ -36,7 +36,7 @@ def merge_keyword_edits(edits: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def coalesce_edits(edits: DataFrame, gap_ms: int = 700, watermark: str = "10 seconds") -> DataFrame:
-    """One write per (path, slot) once its edits pause for ``gap_ms``.
+    """One write per (path, slot) once its edits pause for longer than ``gap_ms``.
 
     A stream uses a session window and emits in append mode; rows later than
     ``watermark`` are dropped there, so keep the raw log too. A batch cuts the
@@ -49,7 +49,7 @@ def coalesce_edits(edits: DataFrame, gap_ms: int = 700, watermark: str = "10 sec
         writes = rows.withWatermark("ts", watermark).groupBy("path", "slot", window).agg(*merged_values())
         return writes.withColumn("write_at", F.col("session_window.end")).drop("session_window")
     lane = Lanes(rows, ["path", "slot"], ["ts", "seq"]).scan(_before=previous(F.col("ts")))
-    pause = F.unix_micros("ts") - F.unix_micros("_before") >= gap_ms * 1000
+    pause = F.unix_micros("ts") - F.unix_micros("_before") > gap_ms * 1000
     lane = lane.scan(_run=running(F.coalesce(pause, F.lit(True)).cast("int")))
     writes = lane.rows().groupBy("path", "slot", "_run").agg(*merged_values(), F.max("ts").alias("_last"))
     return writes.withColumn(

@@ -19,7 +19,10 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def watch_folder(spark: SparkSession, path: str, glob: str | None = None, per_batch: int | None = None) -> DataFrame:
-    """Stream of ``frames`` for files that appear in a folder. Deletions are not reported."""
+    """Stream of ``frames`` for files that appear in a folder.
+
+    Spark's file stream reports neither deletions nor empty files.
+    """
     reader = spark.readStream.format("binaryFile").schema(_FILES)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -53,11 +56,11 @@ def burst_windows(frames: DataFrame, keys: list[str], time: str = "ts", gap_us:
                   watermark: str = "10 minutes") -> DataFrame:
     """Bursts of cameras without sequence numbers, for a stream or a batch.
 
-    The burst rule is "gap <= limit" and a session window is half-open, so its
-    gap is one microsecond more.
+    A row exactly one gap after the last still joins Spark's session window,
+    which is the burst rule's "gap <= limit".
     """
     rows = frames.withWatermark(time, watermark) if frames.isStreaming else frames
-    runs = rows.groupBy(*keys, F.session_window(time, f"{gap_us + 1} microseconds").alias("_w")).agg(
+    runs = rows.groupBy(*keys, F.session_window(time, f"{gap_us} microseconds").alias("_w")).agg(
         F.min(time).alias("first"), F.max(time).alias("last"), F.count(F.lit(1)).alias("burst_size"))
     return runs.where(F.col("burst_size") >= min_run).drop("_w")
 
