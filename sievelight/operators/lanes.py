@@ -24,9 +24,9 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window, WindowSpec
 
 SLICE_BYTES = "spark.sievelight.sliceBytes"
@@ -34,6 +34,7 @@ ROWS_PER_SLICE = "spark.sievelight.rowsPerSlice"
 MAX_SLICES = 32768
 SMALL_PER_CORE = 64 << 20
 _SAMPLES_PER_SLICE = 50
+_FAN = 16
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -228,14 +229,17 @@ class Lanes:
         ).toArrow()
         if bounds_table.num_rows == 0:
             return
-        longest = max(len(b) for b in bounds_table.column("_bounds"))
-        bounds = spark.createDataFrame(bounds_table)
-        self.df = (
-            self.df.join(F.broadcast(bounds), same_keys(self.keys, names), "left")
-            .withColumn("_hot", F.col("_bounds").isNotNull())
-            .withColumn("_slice", F.coalesce(_place(F.col("_bounds"), self.sort_key(), longest), F.lit(0)))
-            .drop(*names, "_bounds")
-        )
+        rows = self.df.withColumns({"_slice": F.lit(0), "_hot": F.lit(False)})
+        for level in _search_levels(bounds_table, names):
+            children = _count_at_or_below([F.col(f"_s{i}") for i in range(1, _FAN)], self.sort_key())
+            rows = (
+                rows.join(F.broadcast(spark.createDataFrame(level)),
+                          same_keys(self.keys, names) & (F.col("_slice") == F.col("_node")), "left")
+                .withColumn("_hot", F.col("_hot") | F.col("_node").isNotNull())
+                .withColumn("_slice", F.col("_slice") * _FAN + children)
+                .drop(*names, "_node", *[f"_s{i}" for i in range(1, _FAN)])
+            )
+        self.df = rows
         self.sliced = True
 
     # -- public --------------------------------------------------------------
@@ -273,21 +277,53 @@ class Lanes:
         return self.df.drop("_all", "_slice", "_hot", *drop)
 
 
-def _place(bounds: Column, key: Column, longest: int) -> Column:
-    """How many split points lie at or below ``key``, by bisection."""
-    steps = max(1, math.ceil(math.log2(longest + 1)))
-    start = F.struct(F.lit(0).alias("lo"), F.size(bounds).alias("hi"))
+def _search_levels(bounds: pa.Table, names: list[str]) -> list[pa.Table]:
+    """Split points of every hot group as the levels of one search tree.
 
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
-        at_or_below = F.get(bounds, mid) <= key
-        return F.struct(
-            F.when((acc["lo"] < acc["hi"]) & at_or_below, mid + 1).otherwise(acc["lo"]).alias("lo"),
-            F.when((acc["lo"] < acc["hi"]) & ~at_or_below, mid).otherwise(acc["hi"]).alias("hi"),
-        )
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
-    return F.when(bounds.isNotNull(), found)
+    A row walks down by one broadcast hash join per level and four compiled
+    comparisons, instead of a search through an array in an interpreted lambda.
+    Node k of a level holds the split points between its children; a group with
+    fewer of them has NULLs, which no key reaches.
+    """
+    points = bounds.column("_bounds").combine_chunks()
+    starts, keys = points.offsets.to_pylist(), points.values
+    sizes = [b - a for a, b in zip(starts, starts[1:])]
+    depth = max(1, math.ceil(math.log(max(sizes) + 1, _FAN) - 1e-9))
+    levels = []
+    for level in range(depth):
+        step = _FAN ** (depth - 1 - level)
+        groups, nodes, at = [], [], [[] for _ in range(1, _FAN)]
+        for g, n in enumerate(sizes):
+            for node in range(math.ceil((n + 1) / (_FAN * step))):
+                groups.append(g)
+                nodes.append(node)
+                for i, column in enumerate(at, 1):
+                    index = (node * _FAN + i) * step - 1
+                    column.append(starts[g] + index if index < n else None)
+        columns = {k: bounds.column(k).take(pa.array(groups, pa.int64())) for k in names}
+        columns["_node"] = pa.array(nodes, pa.int32())
+        columns.update({f"_s{i}": _take(keys, column) for i, column in enumerate(at, 1)})
+        levels.append(pa.table(columns))
+    return levels
+
+
+def _take(keys: pa.StructArray, index: list[int | None]) -> pa.StructArray:
+    """Rows of ``keys``; None gives a NULL struct."""
+    where = pa.array(index, pa.int64())
+    fields = [pa.field(f.name, f.type) for f in keys.type]
+    return pa.StructArray.from_arrays(
+        [keys.field(i).take(where) for i in range(len(fields))], fields=fields, mask=where.is_null())
+
+
+def _count_at_or_below(points: list[Column], key: Column) -> Column:
+    """How many of the sorted ``points`` are at or below ``key``; NULL points are above all."""
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        mid = (low + high + 1) // 2
+        return F.when(points[mid - 1] <= key, below(mid, high)).otherwise(below(low, mid - 1))
+
+    return below(0, len(points))
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], row_id: list[str],
