@@ -59,7 +59,8 @@ def assign_free_suffix(wanted: DataFrame, taken: DataFrame, dest: list[str], nam
     parsed = F.regexp_replace(F.col(name), _SUFFIXED, "$1$3$5/$2$4")
     numbered = F.filter(F.array(F.split(parsed, "/")), lambda p: F.size(p) == 2)
     used = (
-        taken.select(*dest, F.explode(numbered).alias("_p"))
+        taken.where(F.contains(F.col(name), F.lit("_")))
+        .select(*dest, F.explode(numbered).alias("_p"))
         .select(*dest, F.col("_p")[0].alias(name), F.col("_p")[1].try_cast("bigint").alias("_k"))
         .where("_k >= 2").distinct()
         .join(wanted.select(*dest, name).distinct(), [*dest, name], "left_semi")

@@ -75,11 +75,24 @@ def field_summary(batch: DataFrame, fields: list[str], by: list[str] = ()) -> Da
 
 
 def keyword_coverage(batch: DataFrame, keywords: Column, order: str, row_id: str, by: list[str] = ()) -> DataFrame:
-    """Occurrences ``n`` of each keyword, the batch size, and where it was first seen."""
+    """Occurrences ``n`` of each keyword, the batch size, and where it was first seen.
+
+    With an integer ``order`` the first place is one decimal (row, then place in
+    the row), so that counting stays a hash aggregate instead of a sort.
+    """
     words = batch.select(*by, order, F.posexplode(keywords).alias("_at", "keyword"))
-    seen = words.groupBy(*by, "keyword").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct(F.col(order).alias("row"), F.col("_at").alias("at"))).alias("_first")
-    )
+    packs = batch.schema[order].dataType.simpleString() in ("int", "bigint")
+    if packs:
+        shift = F.lit(1 << 31).cast("decimal(12,0)")
+        place = F.col(order).cast("decimal(20,0)") * shift + F.col("_at").cast("decimal(12,0)")
+        first = F.min(place)
+    else:
+        first = F.min(F.struct(F.col(order).alias("row"), F.col("_at").alias("at")))
+    seen = words.groupBy(*by, "keyword").agg(F.count(F.lit(1)).alias("n"), first.alias("_first"))
+    if packs:
+        row = F.floor(F.col("_first") / shift)
+        seen = seen.withColumn("_first", F.struct(
+            row.cast("bigint").alias("row"), (F.col("_first") - row * shift).cast("int").alias("at")))
     sizes = batch.groupBy(*by).agg(F.count(row_id).alias("total"))
     if by:
         out = join_groups(seen, sizes, list(by), ["keyword"])

@@ -31,17 +31,16 @@ def _listing(spark, sf):
     """What lies at the destination: orders with shipped lines, and suffixed names in between."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
         F.max("l_shipdate").alias("shipped"), F.sum("l_quantity").alias("q"), F.max("l_linenumber").alias("last"))
-    name = _name("l_orderkey")
-    stem = F.regexp_replace(name, r"\.ARW$", "")
-    own = lines.select(name.alias("name"), F.col("q").cast("bigint").alias("size"),
-                       F.when(F.col("q") > 50, F.col("shipped")).alias("sidecar_mtime"))
-    taken = lines.where("last > 2").select(
-        F.explode(F.sequence(F.lit(2), F.col("last").cast("int") - 1)).alias("k"), stem.alias("stem"), "last")
-    # An order whose last line is 5 leaves the gap at suffix 3.
-    suffixed = taken.where("not (last = 5 and k = 3)").select(
-        F.concat("stem", F.lit("_"), F.col("k").cast("string"), F.lit(".ARW")).alias("name"),
-        F.lit(1).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("sidecar_mtime"))
-    return own.unionByName(suffixed).withColumn("dest", F.lit("/out"))
+    # k = 1 stands for the order's own name; a last line of 5 leaves the gap at suffix 3.
+    names = lines.withColumn("k", F.explode(F.sequence(F.lit(1), F.greatest(F.col("last") - 1, F.lit(1))))).where(
+        "not (last = 5 and k = 3)")
+    own = F.col("k") == 1
+    stem = F.concat(F.lit("DSC"), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"))
+    suffix = F.when(own, "").otherwise(F.concat(F.lit("_"), F.col("k").cast("string")))
+    return names.select(
+        F.lit("/out").alias("dest"), F.concat(stem, suffix, F.lit(".ARW")).alias("name"),
+        F.when(own, F.col("q")).otherwise(1).cast("bigint").alias("size"),
+        F.when(own & (F.col("q") > 50), F.col("shipped")).alias("sidecar_mtime"))
 
 
 def _ledger(spark, sf):
