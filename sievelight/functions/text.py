@@ -35,13 +35,17 @@ def bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _is_ascii(text: Column) -> Column:
+    return F.octet_length(text) == F.length(text)
+
+
 def nfc(text: Column) -> Column:
-    plain = text.rlike(_BELOW_COMBINING)
+    plain = _is_ascii(text) | text.rlike(_BELOW_COMBINING)
     return F.coalesce(F.when(plain, text), _nfc(F.when(~plain, text)))
 
 
 def casefold(text: Column) -> Column:
-    plain = text.rlike(_FOLDS_BY_LOWER)
+    plain = _is_ascii(text) | text.rlike(_FOLDS_BY_LOWER)
     return F.coalesce(F.when(plain, F.lower(text)), _casefold(F.when(~plain, text)))
 
 

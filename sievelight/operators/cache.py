@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.operators.lanes import Lanes, position, running, total
+from sievelight.operators.lanes import Lanes, group_sum, position, running, total
 from sievelight.schema import CACHE_VERSION
 
 
@@ -59,25 +59,19 @@ def lru_evict(cache: DataFrame, cap: int, round_size: int = 64, pinned: Column |
     Rows leave in whole rounds of ``round_size``. With ``pinned``, that row never
     leaves, rounds are single rows and one row always stays.
 
-    The oldest-first running sum is one global lane, so it runs in slices. A row
+    The oldest-first order is one global lane, so its sums run in slices. A row
     is due when the rows from it on still exceed the cap; due rows are a prefix
     of the order, so counting them gives the last round.
     """
     keep_last = pinned is not None
+    bytes_ = F.coalesce(F.col(size), F.lit(0))
     rows = cache.withColumn("_pinned", F.coalesce(pinned, F.lit(False)) if keep_last else F.lit(False))
     lane = Lanes(rows, [], ["_pinned", used, path]).scan(
-        _at=position(), _rows=total(), _sum=running(F.col(size))
-    )
-    placed = lane.rows().withColumn("_one", F.lit(1))
-    everything = cache.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_all")).withColumn("_one", F.lit(1))
-    # One row, so the broadcast has a fixed size.
-    placed = placed.join(F.broadcast(everything), "_one")
-    due = F.col("_all") - (F.col("_sum") - F.coalesce(F.col(size), F.lit(0))) > cap
+        _at=position(), _rows=total(), _sum=running(bytes_), _bytes=group_sum(bytes_))
+    lane = lane.with_columns(_due=F.col("_bytes") - (F.col("_sum") - bytes_) > cap)
     if keep_last:
-        leaves = due & ~F.col("_pinned") & (F.col("_at") < F.col("_rows"))
-        out = placed.withColumn("evict", leaves)
+        lane = lane.with_columns(evict=F.col("_due") & ~F.col("_pinned") & (F.col("_at") < F.col("_rows")))
     else:
-        count = placed.agg(F.count_if(due).alias("_due")).withColumn("_one", F.lit(1))
-        placed = placed.join(F.broadcast(count), "_one")
-        out = placed.withColumn("evict", F.col("_at") <= F.ceil(F.col("_due") / round_size) * round_size).drop("_due")
-    return out.drop("_pinned", "_at", "_rows", "_sum", "_one", "_all")
+        lane = lane.scan(_count=group_sum(F.col("_due").cast("bigint")))
+        lane = lane.with_columns(evict=F.col("_at") <= F.ceil(F.col("_count") / round_size) * round_size)
+    return lane.rows("_pinned", "_at", "_rows", "_sum", "_bytes", "_due", "_count")

@@ -92,6 +92,16 @@ def total() -> Scan:
     )
 
 
+def group_sum(expr: Column) -> Scan:
+    """Sum of ``expr`` over the whole group."""
+    return Scan(
+        local=lambda g: F.coalesce(F.sum(expr).over(g.whole), F.lit(0)),
+        summary=lambda g: F.sum(expr),
+        carry=lambda c, g: F.coalesce(F.sum(c).over(g.all_slices), F.lit(0)),
+        combine=lambda here, everything: F.coalesce(everything, here),
+    )
+
+
 def running(expr: Column) -> Scan:
     """Sum of ``expr`` over the rows up to and including this one; NULL adds nothing."""
     return Scan(
@@ -142,8 +152,8 @@ class Lanes:
 
     def __init__(self, df: DataFrame, keys: list[str], order: list[str], descending: bool = False):
         self.order, self.descending = list(order), descending
-        self.keys = list(keys) or ["_all"]
-        self.df = df if keys else df.withColumn("_all", F.lit(0))
+        self.keys = list(keys) or ["_one_lane"]
+        self.df = df if keys else df.withColumn("_one_lane", F.lit(0))
         self.sliced = False
         conf = df.sparkSession.conf
         if input_bytes(df) > int(conf.get(SLICE_BYTES, str(256 << 20))):
@@ -246,6 +256,9 @@ class Lanes:
 
     def scan(self, **scans: Scan) -> Lanes:
         """Add one column per scan; the sort order of the lanes stays usable."""
+        taken = set(scans) & {*self.keys, *self.order, "_slice", "_hot"}
+        if taken:
+            raise ValueError(f"scan columns would replace the lane's own: {sorted(taken)}")
         local = self.df.withColumns({name: s.local(self) for name, s in scans.items()})
         if self.sliced:
             summary = (
@@ -274,7 +287,7 @@ class Lanes:
         return out
 
     def rows(self, *drop: str) -> DataFrame:
-        return self.df.drop("_all", "_slice", "_hot", *drop)
+        return self.df.drop("_one_lane", "_slice", "_hot", *drop)
 
 
 def _search_levels(bounds: pa.Table, names: list[str]) -> list[pa.Table]:

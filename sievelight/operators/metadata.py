@@ -78,7 +78,8 @@ def keyword_coverage(batch: DataFrame, keywords: Column, order: str, row_id: str
     """Occurrences ``n`` of each keyword, the batch size, and where it was first seen.
 
     With an integer ``order`` the first place is one decimal (row, then place in
-    the row), so that counting stays a hash aggregate instead of a sort.
+    the row), so that counting stays a hash aggregate instead of a sort. Without
+    ``by`` the batch is counted at once.
     """
     words = batch.select(*by, order, F.posexplode(keywords).alias("_at", "keyword"))
     packs = batch.schema[order].dataType.simpleString() in ("int", "bigint")
@@ -93,12 +94,11 @@ def keyword_coverage(batch: DataFrame, keywords: Column, order: str, row_id: str
         row = F.floor(F.col("_first") / shift)
         seen = seen.withColumn("_first", F.struct(
             row.cast("bigint").alias("row"), (F.col("_first") - row * shift).cast("int").alias("at")))
-    sizes = batch.groupBy(*by).agg(F.count(row_id).alias("total"))
     if by:
+        sizes = batch.groupBy(*by).agg(F.count(row_id).alias("total"))
         out = join_groups(seen, sizes, list(by), ["keyword"])
     else:
-        # One row of totals, attached by a constant key.
-        out = seen.withColumn("_k", F.lit(0)).join(F.broadcast(sizes.withColumn("_k", F.lit(0))), "_k").drop("_k")
+        out = seen.withColumn("total", F.lit(batch.count()))
     return out.select(*by, "keyword", "n", "total", F.col("_first.row").alias("first_row"), F.col("_first.at").alias("first_at"))
 
 

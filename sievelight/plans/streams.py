@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight.plans.registry import EVENT_FRAMES, event_frames, query, table
 from sievelight.session import shared_folder
+from sievelight.sources.transfer import write_sidecar_files
 from sievelight.streaming import edits as E
 from sievelight.streaming import live as L
 from sievelight.streaming.tables import FailureLedger, StateTable
@@ -56,7 +57,7 @@ _STATE = """SELECT path, coalesce(arg_max(pick, seq) FILTER (WHERE kind = 'mark'
   arg_max(keywords, seq) FILTER (WHERE kind <> 'mark') AS keywords, arg_max(title, seq) FILTER (WHERE kind = 'iptc') AS title FROM edits GROUP BY path"""
 
 
-def _drain(spark, sf, sink, prepare=lambda rows: rows, columns=None):
+def _drain(spark, sf, sink, prepare=lambda rows: rows):
     """Run ``events`` as a stream of shuffled micro-batches into a foreachBatch sink."""
     events = table(spark, sf, "events")
     folder = shared_folder(spark, "events")
@@ -143,8 +144,6 @@ def dedupe_requests(spark, sf):
 @query("watch_folder", "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS file_name, CAST(strlen(text) AS BIGINT) AS size FROM documents")
 def watch_folder(spark, sf):
     """Texts land in a folder as files; the watching stream reports each with its size."""
-    from sievelight.sources.transfer import write_sidecar_files
-
     folder, seen = shared_folder(spark, "watched"), shared_folder(spark, "seen")
     docs = table(spark, sf, "documents").select(
         F.concat(F.lit(f"{folder}/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("xml"))

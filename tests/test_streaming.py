@@ -6,6 +6,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sievelight.operators.bursts import group_bursts
@@ -53,7 +54,7 @@ def _random_edits(spark, n=400):
 
 def _stream(spark, df, folder, parts):
     """The rows as a file stream, one file per time slice, in order."""
-    rank = F.ntile(parts).over(__import__("pyspark").sql.Window.orderBy("ts"))
+    rank = F.ntile(parts).over(Window.orderBy("ts"))
     for i, part in enumerate(sorted(r[0] for r in df.select(rank).distinct().collect())):
         df.withColumn("_p", rank).where(F.col("_p") == part).drop("_p").coalesce(1).write.parquet(f"{folder}/in/p={i:03}")
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in/*")
