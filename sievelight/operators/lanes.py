@@ -259,8 +259,10 @@ class Lanes:
         taken = set(scans) & {*self.keys, *self.order, "_slice", "_hot"}
         if taken:
             raise ValueError(f"scan columns would replace the lane's own: {sorted(taken)}")
-        local = self.df.withColumns({name: s.local(self) for name, s in scans.items()})
-        if self.sliced:
+        if not self.sliced:
+            local = self.df.withColumns({n: s.finish(s.local(self)) for n, s in scans.items()})
+        else:
+            local = self.df.withColumns({n: s.local(self) for n, s in scans.items()})
             summary = (
                 self.df.where("_hot").groupBy(*self.group)
                 .agg(*[s.summary(self).alias(f"_s_{n}") for n, s in scans.items()])
@@ -272,12 +274,12 @@ class Lanes:
             keys = [f"_k{i}" for i in range(len(self.group))]
             local = (
                 local.join(F.broadcast(carried), same_keys(self.group, keys), "left")
-                .withColumns({n: s.combine(F.col(n), F.col(f"_c_{n}")) for n, s in scans.items()})
+                .withColumns({n: s.finish(s.combine(F.col(n), F.col(f"_c_{n}"))) for n, s in scans.items()})
                 .drop(*keys, *[f"_c_{n}" for n in scans])
             )
         out = object.__new__(Lanes)
         out.__dict__.update(self.__dict__)
-        out.df = local.withColumns({n: s.finish(F.col(n)) for n, s in scans.items()})
+        out.df = local
         return out
 
     def with_columns(self, **cols: Column) -> Lanes:
