@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, personal, sharding
+from sievelight.llm import bpe, language, personal, sharding
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,10 @@ def op9_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *map(count, personal.BASE),
         F.sha2(personal.spans_text(base).cast("binary"), 256).alias("base_sha256"),
         personal.spans_text(F.col("found")).alias("spans"))
+
+
+@query("op8_language")
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, keep=["doc_id"]).select(
+        "doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_bits", "accepted")
