@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, language, personal, sharding
+from sievelight.llm import bpe, importance, language, personal, quality, sharding
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,49 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, keep=["doc_id"]).select(
         "doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), "lang_bits", "accepted")
+
+
+@query("op1_importance")
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_RATES = {"symbols": "n_symbols * 1000 // n_words", "word_length": "word_chars * 100 // n_words",
+          "dup_lines": "CASE WHEN n_lines > 0 THEN n_dup_lines * 1000 // n_lines END", "repeats": "n_repeat_words * 1000 // n_words"}
+_LEVELS = {0: ("lang", "source"), 1: ("lang", "NULL"), 2: ("NULL", "NULL")}
+
+
+@query("op2_quality", r"""
+    WITH t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 7], chr(31))) AS h
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM t)),
+    dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, h) AS n FROM win) WHERE n > 1),
+    rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM dup) GROUP BY doc_id),
+    ln AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+    m AS (SELECT t.doc_id, t.lang, t.source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+                 len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(l) AS n_lines,
+                 len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words
+          FROM t JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+    b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+    v AS (""" + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {sql} AS v FROM b WHERE NOT base_failed"
+                                   for m, sql in _RATES.items()) + """),
+    c AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS v
+          FROM v WHERE v IS NOT NULL),
+    lv AS (""" + " UNION ALL ".join(f"SELECT {i} AS level, {a} AS lang, {s} AS source, measure, v FROM c" for i, (a, s) in _LEVELS.items()) + """),
+    f AS (SELECT level, lang, source, measure, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
+          FROM lv GROUP BY ALL),
+    g AS (SELECT *, CASE measure """ + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in quality.MEASURES.items()) + f""" END AS least FROM f),
+    h AS (SELECT *, CASE WHEN measure = 'word_length' THEN q1 - {quality.FENCE} * greatest(q3 - q1, least) ELSE 0 END AS low,
+                 q3 + {quality.FENCE} * greatest(q3 - q1, least) AS high FROM g),
+    lim AS (SELECT p.lang, p.source, p.measure,
+                   CASE WHEN p.n >= {quality.GROUP_ROWS} THEN p.low WHEN q.n >= {quality.GROUP_ROWS} THEN q.low ELSE r.low END AS low,
+                   CASE WHEN p.n >= {quality.GROUP_ROWS} THEN p.high WHEN q.n >= {quality.GROUP_ROWS} THEN q.high ELSE r.high END AS high
+            FROM h p JOIN h q ON q.level = 1 AND p.lang IS NOT DISTINCT FROM q.lang AND p.measure = q.measure
+            JOIN h r ON r.level = 2 AND r.measure = p.measure WHERE p.level = 0),
+    bad AS (""" + " UNION ".join(
+        f"SELECT doc_id FROM b JOIN lim ON lim.measure = '{m}' AND b.lang IS NOT DISTINCT FROM lim.lang "
+        f"AND b.source IS NOT DISTINCT FROM lim.source WHERE n_words > 0 AND NOT ({sql}) BETWEEN low AND high" for m, sql in _RATES.items()) + """)
+    SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b""")
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
