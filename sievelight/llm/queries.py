@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontaminate, importance, language, personal, quality, sharding
+from sievelight.llm import bpe, decontaminate, importance, language, linededup, personal, quality, sharding
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,23 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return told.select("doc_id", "n_words", "n_hit", "n_items",
                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op3_line_dedup", r"""
+    WITH ln AS (SELECT doc_id, i - 1 AS n, string_split(text, chr(10))[i] AS raw, trim(string_split(text, chr(10))[i], e' \t\n\x0b\f\r') AS l
+                FROM (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+    d AS (SELECT l, min(struct_pack(d := doc_id, n := n)) AS p FROM ln WHERE l <> '' GROUP BY l),
+    c AS (SELECT a.l, b.p FROM d a JOIN d b ON left(a.l, (length(a.l) - 1) // 2) = left(b.l, (length(a.l) - 1) // 2)
+          WHERE length(a.l) >= 20 AND length(b.l) >= 20 AND abs(length(a.l) - length(b.l)) <= 1 AND b.p < a.p AND levenshtein(a.l, b.l) <= 1
+          UNION ALL
+          SELECT a.l, b.p FROM d a JOIN d b ON right(a.l, (length(a.l) - 1) // 2) = right(b.l, (length(a.l) - 1) // 2)
+          WHERE length(a.l) >= 20 AND length(b.l) >= 20 AND abs(length(a.l) - length(b.l)) <= 1 AND b.p < a.p AND levenshtein(a.l, b.l) <= 1),
+    k AS (SELECT ln.doc_id, ln.n, ln.raw, ln.l <> '' AND (struct_pack(d := ln.doc_id, n := ln.n) > d.p OR ln.l IN (SELECT l FROM c)) AS gone
+          FROM ln LEFT JOIN d USING (l))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(gone, FALSE)) AS n_removed,
+           sha256(coalesce(string_agg(raw, chr(10) ORDER BY n) FILTER (WHERE NOT coalesce(gone, FALSE)), '')) AS kept_sha256
+    FROM k GROUP BY doc_id""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+                       F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
