@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontaminate, importance, language, linededup, personal, quality, sharding
+from sievelight.llm import bpe, decontaminate, importance, jaccard, language, linededup, personal, quality, sharding
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,8 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = linededup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_jaccard")
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
