@@ -1,3 +1,64 @@
-STAGES = []
+"""From raw documents to token ids: five stages, each a written table that the next one reads."""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievelight.llm import bpe, decontaminate, jaccard, language, linededup
+from sievelight.llm.tables import table, written
+
+# The stages learn from the corpus and fold it, which SQL over the tables does not express.
 ORACLE_SQL = None
-def run(spark, sf_dir): ...
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that the models accept."""
+    return language.identify(docs).where("accepted").select(docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier document has; one that loses all its words goes."""
+    done = linededup.drop_lines(docs)
+    emptied = (F.size("removed") > 0) & (F.btrim(F.col("text"), F.lit(linededup.SPACE)) == "")
+    done = done.where(~F.coalesce(emptied, F.lit(False)))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each group of near-duplicates, and all documents outside groups."""
+    groups = jaccard.link_groups(docs, keep=["doc_id"])
+    copies = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "group-copies")
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of a benchmark item occurs."""
+    told = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return told.where("NOT contaminated").select(docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document as little-endian unsigned 32-bit integers, with digests of them and of the text they give back."""
+    done = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), decoded=True)
+    return done.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", keep_one_of_each_group),
+    ("decontamination", drop_contaminated),
+    ("bpe", encode),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontaminate, importance, jaccard, language, linededup, personal, quality, sharding
+from sievelight.llm import bpe, decontaminate, importance, jaccard, language, linededup, personal, quality, sharding, suffix
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_jaccard")
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link_groups(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+@query("op10_suffix")
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix.repeated_bytes(table(spark, sf_dir, "documents"))
+    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
+    return done.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
