@@ -28,7 +28,7 @@ from sievelight.llm.tables import free_name, written
 
 SHINGLE = 3
 BOUND = 90  # hundredths
-BITMAP_BYTES = 128
+BITMAP_BYTES = 512
 SLICE = 512
 
 
@@ -118,7 +118,9 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
 
 
 def similar(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
-    common = len(a) + len(b) - len(np.union1d(a, b)) if len(a) and len(b) else 0
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum()) if len(a) else 0
     return 100 * common >= bound * (len(a) + len(b) - common)
 
 
@@ -159,7 +161,7 @@ def links(docs: DataFrame, blocks: DataFrame, size: int, bound: int) -> DataFram
                 pa.array([signed(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))],
                 ["doc_id", "block", "shingles"])
 
-    members = docs.join(blocks, "doc_id").select("doc_id", "block", "text").mapInArrow(
+    members = docs.join(blocks.hint("merge"), "doc_id").select("doc_id", "block", "text").mapInArrow(
         sets_of, f"doc_id {id_type}, block {id_type}, shingles array<long>")
     members = written(members, "block-sets")
     centre = members.where(F.col("doc_id") == F.col("block")).select("block", F.col("shingles").alias("centre"))
@@ -215,7 +217,8 @@ def link_groups(docs: DataFrame, size: int = SHINGLE, bound: int = BOUND, keep:
     single = real.join(copied, ["doc_id", "c1", "c2"], "left_anti")
     keyed = single.select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    meets = keyed.join(shared, "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+    # Merge joins, here and with the texts: one plan at every size, and a hot key's rows can be split.
+    meets = keyed.join(shared.hint("merge"), "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
     blocks = components(meets).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     near = links(rows, written(blocks, "blocks"), size, bound)
     # A copy has the set of its smallest id, so one link stands for all of it.
