@@ -57,31 +57,41 @@ def packed_words(symbols: np.ndarray) -> np.ndarray:
     return word
 
 
-def sort_direct(starts: np.ndarray, word: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes at ``starts`` by their first ``depth`` symbols at least; only ties are compared further."""
-    order, todo, group = starts.copy(), np.arange(len(starts)), np.zeros(len(starts), np.int64)
+def sort_direct(starts: np.ndarray, word: np.ndarray, depth: int, digest: np.ndarray) -> np.ndarray:
+    """Suffixes at ``starts`` by their first ``depth`` symbols at least; only ties are compared further.
+
+    ``digest`` hashes those symbols of each suffix, so that a tie of equal ones ends at once, in any order.
+    """
+    order = starts[np.argsort(word[starts])]
+    todo, group = np.arange(len(order)), np.zeros(len(order), np.int64)
     for step in range(0, depth, PACK):
         at = order[todo] + step
         key = np.where(at < len(word), word[np.minimum(at, len(word) - 1)], 0)
-        turn = np.lexsort((key, group))
-        order[todo] = order[todo][turn]
-        key, group = key[turn], group[turn]
-        new = np.ones(len(key), bool)
-        new[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-        tied = ~new
-        tied[:-1] |= ~new[1:]
-        group = np.cumsum(new)[tied]
-        todo = todo[tied]
+        if step:
+            turn = np.lexsort((key, group))
+            order[todo] = order[todo][turn]
+            key, group = key[turn], group[turn]
+        first = np.flatnonzero((np.diff(group, prepend=-1) != 0) | (np.diff(key, prepend=key[:1]) != 0))
+        seen = digest[order[todo]]
+        open_tie = np.minimum.reduceat(seen, first) != np.maximum.reduceat(seen, first) if len(first) else np.zeros(0, bool)
+        size = np.diff(np.append(first, len(key)))
+        keep = np.repeat(open_tie, size)
+        group, todo = np.repeat(np.arange(len(first)), size)[keep], todo[keep]
         if not len(todo):
             break
     return order
 
 
 def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Starts of all suffixes in the order of their first ``depth`` symbols; the last symbol must be 0."""
+    """Starts of all suffixes in the order of their first ``depth`` symbols, or of those up to a 0; the last symbol must be 0."""
     small = suffix_types(symbols)
-    word = packed_words(symbols)
-    direct = sort_direct(np.flatnonzero(small), word, depth)
+    starts = np.flatnonzero(small)
+    stops = np.flatnonzero(symbols == 0)
+    ends = np.minimum(starts + depth, stops[np.searchsorted(stops, starts)] + 1)
+    digest = np.zeros(len(symbols), np.uint64)
+    # As bytes: 256, the byte FF plus one, is in no UTF-8 text.
+    digest[starts] = span_hashes(symbols.astype(np.uint8), starts, ends) + (ends - starts).astype(np.uint64)
+    direct = sort_direct(starts, packed_words(symbols), depth, digest)
     top = int(symbols.max()) + 1
     ends = np.searchsorted(symbols[direct], np.arange(top + 1))
     waiting: list[list[np.ndarray]] = [[] for _ in range(top)]
@@ -111,44 +121,49 @@ def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 def common_prefixes(array: np.ndarray, symbols: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of each suffix with the one before it in the array, up to ``depth``."""
-    padded = np.concatenate([symbols, np.zeros(depth, symbols.dtype)])
+    word = packed_words(np.concatenate([symbols, np.zeros(depth + PACK, symbols.dtype)]))
     out = np.zeros(len(array), np.int64)
     todo = np.arange(1, len(array))
-    for k in range(depth):
-        todo = todo[padded[array[todo] + k] == padded[array[todo - 1] + k]]
+    for step in range(0, depth, PACK):
+        differ = word[array[todo] + step] ^ word[array[todo - 1] + step]
+        there = differ != 0
+        here, differ = todo[there], differ[there]
+        out[here] = step
+        for k in range(PACK):
+            out[here] += differ >> (9 * (PACK - 1 - k)) == 0
+        todo = todo[~there]
         if not len(todo):
             break
-        out[todo] = k + 1
-    return out
+    out[todo] = depth
+    return np.minimum(out, depth)
 
 
-def earlier_windows(texts: list[bytes], order: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """Runs ``(text, begin, end)`` of bytes covered by windows that a text of lower ``order`` holds too."""
+def earlier_windows(texts: list[bytes], order: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Runs of bytes covered by windows that a text of lower ``order`` holds too: text, begin, end and hash of each."""
     size = np.array([len(t) for t in texts])
-    symbols = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
+    data = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+    symbols = data.astype(np.int16) + 1
     stops = np.cumsum(size + 1) - 1
     symbols[stops] = 0
     array = suffix_array(symbols, length)
+    # Equal windows stay neighbours when suffixes too short for one are left out.
     text = np.searchsorted(stops, array)
     whole = stops[text] - array >= length
-    run = np.cumsum(common_prefixes(array, symbols, length) < length)[whole]
     array, text = array[whole], text[whole]
+    none = np.zeros(0, np.int64)
     if not len(array):
-        return
-    first = np.flatnonzero(np.diff(run, prepend=-1))
-    least = np.repeat(np.minimum.reduceat(order[text], first), np.diff(np.append(first, len(run))))
+        return none, none, none, none
+    first = np.flatnonzero(common_prefixes(array, symbols, length) < length)
+    least = np.repeat(np.minimum.reduceat(order[text], first), np.diff(np.append(first, len(array))))
     hit = np.sort(array[least < order[text]])
-    if not len(hit):
-        return
     text = np.searchsorted(stops, hit)
-    new = np.ones(len(hit), bool)
-    new[1:] = (hit[1:] != hit[:-1] + 1) | (text[1:] != text[:-1])
-    first = np.flatnonzero(new)
+    first = np.flatnonzero((np.diff(hit, prepend=-2) != 1) | (np.diff(text, prepend=-1) != 0))
     last = np.append(first[1:], len(hit)) - 1
-    base = stops - size
-    for a, b in zip(first, last, strict=True):
-        t = int(text[a])
-        yield t, int(hit[a] - base[t]), int(hit[b] - base[t]) + length
+    if not len(hit):
+        return none, none, none, none
+    text, begin, end = text[first], hit[first], hit[last] + length
+    base = (stops - size)[text]
+    return text, begin - base, end - base, signed(span_hashes(data, begin, end))
 
 
 def anchors(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -350,14 +365,13 @@ def sorted_matches(around: DataFrame, buckets: int, length: int) -> DataFrame:
 
         def matched(n: int) -> pa.RecordBatch:
             order = np.array([NO_ID if d is None else d for d in doc[:n]], np.int64)
-            rows = []
-            for t, a, b in earlier_windows(texts[:n], order, length):
-                data = np.frombuffer(texts[t], np.uint8)
-                rows.append((doc[t], low[t] + a, low[t] + b, int(signed(span_hashes(data, np.array([a]), np.array([b])))[0])))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+            t, begin, end, digest = earlier_windows(texts[:n], order, length)
+            base = np.array(low[:n], np.int64)[t]
+            out = pa.RecordBatch.from_arrays([_id_array(order[t]), pa.array(base + begin), pa.array(base + end), pa.array(digest)],
+                                             ["doc_id", "low", "high", "hash"])
             for held in (doc, low, texts, anchor):
                 del held[:n]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "low", "high", "hash"])
+            return out
 
         for batch in batches:
             for d, a, lo, text in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "anchor", "low", "bytes")], strict=True):
