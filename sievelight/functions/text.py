@@ -100,6 +100,11 @@ def file_name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]*)$", 1)
 
 
+def canonical_path(path: Column) -> Column:
+    """The one form of a path in every table: no ``file:`` in front of a local one, other schemes as they are."""
+    return F.regexp_replace(path, r"^file:(//)?(?=/)", "")
+
+
 def parent_folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
@@ -134,14 +139,24 @@ def first_value_wins(values: Column) -> Column:
 def inside_folder(source: Column, target: Column) -> Column:
     """Reason why ``target`` cannot receive copies of ``source``; NULL when it can.
 
-    Paths are compared after dropping ``.`` segments, doubled and trailing slashes.
+    Paths are compared in canonical form, with ``.``, ``..`` and doubled or
+    trailing slashes resolved. Links are not followed.
     """
     def clean(path: Column) -> Column:
-        path = F.regexp_replace(path, r"(?<=/)\./|/\.$", "")
-        return F.regexp_replace(F.regexp_replace(path, r"/{2,}", "/"), r"(?<=.)/$", "")
+        def step(parts: Column, part: Column) -> Column:
+            up = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+            return F.when(part.isin("", "."), parts).when(part == "..", up).otherwise(F.concat(parts, F.array(part)))
+
+        parts = F.aggregate(F.split(canonical_path(path), "/"), F.array().cast("array<string>"), step)
+        return F.concat(F.lit("/"), F.array_join(parts, "/"))
 
     src, dst = clean(source), clean(target)
     prefix = F.when(src == "/", src).otherwise(F.concat(src, F.lit("/")))
-    return F.when(dst == src, F.lit("destination is the source folder itself")).when(
-        F.startswith(dst, prefix), F.lit("destination is inside the source folder")
+    return F.when(dst == src, F.lit("source and target are one folder")).when(
+        F.startswith(dst, prefix), F.lit("target lies below the source")
     )
+
+
+def leaves_folder(name: Column) -> Column:
+    """Whether a name, put below a folder, may end up outside of it: it is absolute or goes up."""
+    return F.coalesce(name.rlike(r"^/|^[A-Za-z][A-Za-z0-9+.-]*:|(^|/)\.\.(/|$)"), F.lit(False))

@@ -73,7 +73,7 @@ def dense_burst_index(grouped: DataFrame, session: list[str], order: list[str],
     keys = [*session, camera, "burst_id"]
     firsts = grouped.where(F.col("burst_pos") == 1).select(*dict.fromkeys([*keys, *order]))
     index = Lanes(firsts, session, order).scan(burst_index=position()).rows().select(*keys, "burst_index")
-    return join_groups(grouped, index, keys, [row_id])
+    return join_groups(grouped, index, keys, [row_id], may_lack="burst_id")
 
 
 def burst_boundaries(df: DataFrame, session: list[str], order: list[str], group: str, row_id: str) -> DataFrame:
@@ -91,8 +91,8 @@ def burst_boundaries(df: DataFrame, session: list[str], order: list[str], group:
     rows = lane.rows()
     heads = rows.where(F.col(group).isNotNull()).groupBy(*session, group).agg(F.min("position").alias("_head"))
     left_heads = heads.select(*session, F.col(group).alias("_left"), F.col("_head").alias("_left_head"))
-    headed = join_groups(rows, heads, [*session, group], [row_id])
-    headed = join_groups(headed, left_heads, [*session, "_left"], [row_id])
+    headed = join_groups(rows, heads, [*session, group], [row_id], may_lack=group)
+    headed = join_groups(headed, left_heads, [*session, "_left"], [row_id], may_lack="_left")
     here, head = F.col("position"), F.col("_head")
     back = F.when(head < here, head).when(here == 1, here).otherwise(F.coalesce(F.col("_left_head"), here - 1))
     return headed.withColumns({

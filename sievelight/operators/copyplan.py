@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.capture import needs_refresh
 from sievelight.functions.templates import expand_template
-from sievelight.functions.text import inside_folder, nfc, sidecar_path, suffixed_name, tidy
+from sievelight.functions.text import inside_folder, leaves_folder, nfc, sidecar_path, suffixed_name, tidy
 from sievelight.operators.lanes import Lanes, join_groups, position, total
 
 # A name ending in _k: without an extension, or with one.
@@ -71,16 +71,13 @@ def assign_free_suffix(wanted: DataFrame, taken: DataFrame, dest: list[str], nam
     return wanted.join(gaps, [*dest, name], "left").withColumn("free_name", suffixed_name(F.col(name), free)).drop("_free")
 
 
-def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None = None, *,
-              template: str | None = None, mode: str = "Rename", session: list[str] = ("session_id",),
-              dest: list[str] = ("dest",), row_id: str = "image_id", order: list[str],
-              include_failed: bool = False) -> DataFrame:
-    """One row per source: ``name``, ``action``, ``bytes``, ``taken``.
+def plan_actions(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None = None, *,
+                 template: str | None = None, mode: str = "Rename", session: list[str] = ("session_id",),
+                 dest: list[str] = ("dest",), row_id: str = "image_id", order: list[str],
+                 include_failed: bool = False) -> DataFrame:
+    """One row per source with all of its plan but a free name: ``natural_name``, ``action``, ``bytes``, ``taken``.
 
-    ``sources`` needs file_name, size, src_sidecar_mtime and, for a template, the
-    ``context`` struct; with a ``status`` column, failed files stay out unless
-    asked for. Every name a source takes by itself is reserved, so two rows
-    never share a target. Call ``guard_plan`` before running the plan.
+    Enough for totals and guards: only a renamed row needs a look at other names.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
@@ -98,13 +95,6 @@ def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None =
     else:
         known = already_copied(named, ledger, [*dest, row_id])
     placed = destination_exists(known, listing, dest)
-    if mode == "Rename":
-        clash = placed.where(F.col("taken") & ~F.col("copied_before")).select(*dest, "name")
-        reserved = listing.where("size is not null").select(*dest, "name").unionByName(named.select(*dest, "name"))
-        free = assign_free_suffix(clash, reserved, dest)
-        placed = placed.join(free, [*dest, "name"], "left")
-    else:
-        placed = placed.withColumn("free_name", F.lit(None).cast("string"))
     skip = F.col("copied_before") | (F.col("taken") if mode == "Skip" else F.lit(False))
     renamed = F.col("taken") if mode == "Rename" else F.lit(False)
     refresh = needs_refresh(F.col("src_sidecar_mtime"), F.col("dst_sidecar_mtime"))
@@ -112,12 +102,41 @@ def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None =
         F.when(skip & refresh, F.lit("SidecarRefresh")).when(skip, F.lit("Skip"))
         .when(renamed, F.lit("CopyRenamed")).otherwise(F.lit("Copy"))
     )
-    planned = placed.withColumn("action", action).withColumn("natural_name", F.col("name"))
+    planned = placed.withColumn("action", action).withColumnRenamed("name", "natural_name").drop("dst_sidecar_mtime")
     moves = F.col("action").isin("Copy", "CopyRenamed")
-    return planned.withColumns({
-        "name": F.when(F.col("action") == "CopyRenamed", F.col("free_name")).otherwise(F.col("name")),
-        "bytes": F.when(moves, F.col("size")).otherwise(F.lit(0)).cast("bigint"),
-    }).withColumn("dst_sidecar", sidecar_path(F.col("name"))).drop("free_name", "dst_sidecar_mtime")
+    return planned.withColumn("bytes", F.when(moves, F.col("size")).otherwise(F.lit(0)).cast("bigint"))
+
+
+def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None = None, *, dest: list[str] = ("dest",),
+              order: list[str], **options) -> DataFrame:
+    """One row per source: ``name``, ``action``, ``bytes``, ``taken``, ``refused``.
+
+    ``sources`` needs file_name, size, src_sidecar_mtime and, for a template, the
+    ``context`` struct; with a ``status`` column, failed files stay out unless
+    asked for. Every name a source takes by itself is reserved, so a renamed row
+    never lands on another's target. ``refused`` says why a row must not run: its name leaves the
+    destination, or several sources take it. ``copy_files`` leaves such rows alone, and
+    ``guard_plan`` stops the whole plan. ``options`` are those of ``plan_actions``.
+    """
+    dest = list(dest)
+    acted = plan_actions(sources, listing, ledger, dest=dest, order=order, **options)
+    shared = acted.groupBy(*dest, "natural_name").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
+    acted = acted.join(shared, [*dest, "natural_name"], "left")
+    if options.get("mode", "Rename") == "Rename":
+        clash = acted.where("action = 'CopyRenamed'").select(*dest, F.col("natural_name").alias("name")).distinct()
+        stem = lambda rows: rows.withColumn("_stem", F.regexp_replace(F.col("name"), _SUFFIXED, "$1$3$5"))
+        reserved = listing.where("size is not null").select(*dest, "name").unionByName(
+            acted.select(*dest, F.col("natural_name").alias("name")))
+        near = stem(reserved).join(clash.select(*dest, F.col("name").alias("_stem")), [*dest, "_stem"], "left_semi").drop("_stem")
+        free = assign_free_suffix(clash, near, dest).withColumnRenamed("name", "natural_name")
+        acted = acted.join(free, [*dest, "natural_name"], "left")
+    else:
+        acted = acted.withColumn("free_name", F.lit(None).cast("string"))
+    name = F.when(F.col("action") == "CopyRenamed", F.col("free_name")).otherwise(F.col("natural_name"))
+    refused = F.when(leaves_folder(F.col("natural_name")), "the name leaves the destination").when(
+        F.col("_copies").isNotNull(), "several sources take this name")
+    return acted.withColumns({"name": name, "refused": refused}).withColumn(
+        "dst_sidecar", sidecar_path(F.col("name"))).drop("free_name", "_copies")
 
 
 def plan_summary(plan: DataFrame, free_bytes: int | None = None, by: list[str] = ()) -> DataFrame:
@@ -140,17 +159,20 @@ def guard_plan(plan: DataFrame, *, mode: str = "Rename", dest: list[str] = ("des
         reason = plan.sparkSession.range(1).select(inside_folder(F.lit(folders[0]), F.lit(folders[1]))).first()[0]
         if reason:
             raise CopyPlanError(reason)
+    out = plan.where(leaves_folder(F.col("natural_name"))).select("natural_name").first()
+    if out:
+        raise CopyPlanError(f"{out.natural_name} would lie outside the destination")
     clash = duplicate_names(plan, list(dest), order, "natural_name").orderBy(*dest, "natural_name").first()
     if clash:
-        raise CopyPlanError(f"'{clash.natural_name}' is produced by both {clash.first} and {clash.second}")
+        raise CopyPlanError(f"{clash.first} and {clash.second} would both become {clash.natural_name}")
     if mode == "Abort":
         hits = plan.where("taken").count()
         if hits:
-            raise CopyPlanError(f"destination already has {hits} of these files")
+            raise CopyPlanError(f"{hits} target names are in use")
     if free_bytes is not None:
         need = plan.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         if need > free_bytes:
-            raise CopyPlanError(f"not enough free space: need {need} bytes, {free_bytes} available")
+            raise CopyPlanError(f"the copies take {need} bytes and {free_bytes} are free")
     return plan
 
 
@@ -159,12 +181,13 @@ def preview_names(plan: DataFrame, order: list[str], n: int = 3) -> DataFrame:
 
 
 def verify_copies(source: DataFrame, copied: DataFrame, key: str = "name") -> DataFrame:
-    """Compare both sides by size and hash: match, mismatch, missing, extra."""
+    """Compare both sides by size and hash: match, mismatch, missing, extra, or unreadable where a side has no hash."""
     a = source.select(key, F.struct("size", "hash").alias("_a"))
     b = copied.select(key, F.struct("size", "hash").alias("_b"))
     a_col, b_col = F.col("_a"), F.col("_b")
     verdict = (
         F.when(b_col.isNull(), F.lit("missing")).when(a_col.isNull(), F.lit("extra"))
+        .when(a_col["hash"].isNull() | b_col["hash"].isNull(), F.lit("unreadable"))
         .when(a_col.eqNullSafe(b_col), F.lit("match")).otherwise(F.lit("mismatch"))
     )
     return a.join(b, key, "full_outer").select(key, verdict.alias("verdict"))

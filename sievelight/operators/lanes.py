@@ -3,9 +3,10 @@
 Views, bursts, numbering and eviction all ask for a row's position, its
 neighbour or a running sum inside a group (a session, a camera, a base name).
 One window per group puts a whole group into one task, which fails when a
-single session holds a third of a 100 TB table. A *lane* is such a group. Small
-inputs use the plain window. Otherwise the groups above ``rowsPerSlice`` rows
-are found with a map-side combined count, cut into slices along the sort key
+single session holds a third of a 100 TB table. A *lane* is such a group. The
+rows of every group are counted with a map-side combined count, whatever the
+table's size in bytes. Where no group has more than ``rowsPerSlice`` rows a plain
+window serves. Larger groups are cut into slices along the sort key
 at sampled split points, and each scan runs as
 
 1. a window per (group, slice), so no task holds more than about one slice;
@@ -29,30 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-SLICE_BYTES = "spark.sievelight.sliceBytes"
 ROWS_PER_SLICE = "spark.sievelight.rowsPerSlice"
 MAX_SLICES = 32768
-SMALL_PER_CORE = 64 << 20
+DEFAULT_ROWS = "4000000"
 _SAMPLES_PER_SLICE = 50
 _FAN = 16
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of everything the plan reads (no job runs)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-
-
-def spread_small(df: DataFrame) -> DataFrame:
-    """Give a small input at least one task per core; a large one has splits enough.
-
-    For work that is heavy per row: a table in one file is one task otherwise.
-    """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if input_bytes(df) < cores * SMALL_PER_CORE else df
-
-
 def same_keys(left: list[str], right: list[str]) -> Column:
     """NULL-safe equality: rows without a key value form one group of their own."""
     cond = F.lit(True)
@@ -155,9 +139,7 @@ class Lanes:
         self.keys = list(keys) or ["_one_lane"]
         self.df = df if keys else df.withColumn("_one_lane", F.lit(0))
         self.sliced = False
-        conf = df.sparkSession.conf
-        if input_bytes(df) > int(conf.get(SLICE_BYTES, str(256 << 20))):
-            self._slice(int(conf.get(ROWS_PER_SLICE, "4000000")))
+        self._slice(int(df.sparkSession.conf.get(ROWS_PER_SLICE, DEFAULT_ROWS)))
 
     # -- windows -----------------------------------------------------------
 
@@ -342,19 +324,30 @@ def _count_at_or_below(points: list[Column], key: Column) -> Column:
 
 
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], row_id: list[str],
-                how: str = "left", salts: int = 16) -> DataFrame:
+                how: str = "left", may_lack: str | None = None) -> DataFrame:
     """Attach one row per group to its members, safe for a group of any size.
 
-    Each group row is repeated once per salt and the members are spread over the
-    salts by a hash of their own id, so a group with a third of all rows lands
-    on ``salts`` tasks instead of one. Small group tables still broadcast by
-    Spark's own size check. Keys match NULL-safely.
+    A group with more than ``rowsPerSlice`` members gets a salt for each such
+    part, its row is repeated once per salt, and members spread over the salts
+    by a hash of their own id. Hot groups number at most one per
+    ``rowsPerSlice`` rows, so their table is small and its broadcast bounded. Keys match NULL-safely, but
+    for the key ``may_lack``: rows without it have no group, match nothing, and are spread by their id.
     """
-    renamed = groups.select(
+    most = int(rows.sparkSession.conf.get(ROWS_PER_SLICE, DEFAULT_ROWS))
+    hot_keys = [f"_h_{k}" for k in keys]
+    members = rows if may_lack is None else rows.where(F.col(may_lack).isNotNull())
+    hot = members.groupBy(*[F.col(k).alias(h) for k, h in zip(keys, hot_keys)]).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("_salts")).where("_salts > 1")
+    salts = F.coalesce("_salts", F.lit(1))
+    renamed = groups.join(F.broadcast(hot), same_keys(keys, hot_keys), "left").select(
         *[F.col(k).alias(f"_g_{k}") for k in keys],
         *[c for c in groups.columns if c not in keys],
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_g_salt"),
+        F.explode(F.sequence(F.lit(0), salts - 1)).alias("_g_salt"),
     )
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int"))
+    own = F.xxhash64(*row_id)
+    salt = F.pmod(own, salts).cast("int")
+    if may_lack is not None:
+        salt = F.when(F.col(may_lack).isNull(), -1 - F.pmod(own, F.lit(1 << 20)).cast("int")).otherwise(salt)
+    spread = rows.join(F.broadcast(hot), same_keys(keys, hot_keys), "left").withColumn("_salt", salt).drop("_salts", *hot_keys)
     cond = same_keys(keys, [f"_g_{k}" for k in keys]) & (F.col("_salt") == F.col("_g_salt"))
     return spread.join(renamed, cond, how).drop("_salt", "_g_salt", *[f"_g_{k}" for k in keys])

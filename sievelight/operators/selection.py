@@ -55,8 +55,8 @@ def validate_marks(marks: DataFrame, frames: DataFrame, session: list[str], name
     """Add ``reason``: NULL for a good mark, else why it is refused."""
     known = frames.select(*session, name).distinct().withColumn("_known", F.lit(True))
     asks_path = F.col(name).rlike(r"[/\\:]") | (F.col(name) == "..")
-    reason = F.when(asks_path, F.lit("must be a file name, not a path")).when(
-        F.col("_known").isNull(), F.lit("no such file in folder")
+    reason = F.when(asks_path, F.lit("the mark names a folder")).when(
+        F.col("_known").isNull(), F.lit("not among the session's files")
     )
     return marks.join(known, [*session, name], "left").withColumn("reason", reason).drop("_known")
 

@@ -130,7 +130,8 @@ SELECT session_id, count(*) AS jobs, CAST(coalesce(sum(CASE WHEN action LIKE 'Co
  count(*) FILTER (WHERE action = 'SidecarRefresh') AS refreshed,
  coalesce(sum(CASE WHEN action LIKE 'Copy%' THEN size END), 0) <= 1000000 AS fits FROM a GROUP BY session_id""")
 def plan_summary(spark, sf):
-    return P.plan_summary(_plan(spark, sf), 1_000_000, ["session_id"])
+    plan = P.plan_actions(_sources(spark, sf), _listing(spark, sf), _ledger(spark, sf), order=["image_id"])
+    return P.plan_summary(plan, 1_000_000, ["session_id"])
 
 
 @query("preview_names", f"SELECT {_NAME.format('o_orderkey')} AS name FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 3")

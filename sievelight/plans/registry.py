@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.templates import pad_number
-from sievelight.operators.lanes import spread_small
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for field in df.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
-    # Long texts make every rule heavy per row.
-    return spread_small(df) if name == "documents" else df
+    return df
 
 
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

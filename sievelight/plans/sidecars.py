@@ -118,8 +118,7 @@ def write_sidecar_files_query(spark, sf):
 
 
 @query("load_templates", """
-SELECT CAST(p_partkey AS VARCHAR) AS name, 'city' AS field, 'template ''' || CAST(p_partkey AS VARCHAR) ||
-  ''': empty ''city'' CLEARS that field on every image it is applied to' AS warning
+SELECT CAST(p_partkey AS VARCHAR) AS name, 'city' AS field, 'blank city of ' || CAST(p_partkey AS VARCHAR) || ' removes the value it meets' AS warning
 FROM part WHERE p_type = 'ECONOMY'""")
 def load_templates(spark, sf):
     """The warning rule over a table of template fields."""

@@ -82,7 +82,7 @@ SELECT file_name AS path, CASE WHEN fine THEN CASE WHEN camera = 0 THEN 'Sony' E
   CASE WHEN fine THEN capture_time END AS capture_time, CASE WHEN fine THEN CAST(user_id % 100 AS VARCHAR) END AS subsec,
   CASE WHEN fine THEN CASE WHEN event_type = 'view' THEN 0 ELSE user_id % 97 + 1 END END AS sequence_number,
   CASE WHEN fine AND user_id % 10 BETWEEN 1 AND 8 THEN user_id % 10 ELSE 1 END AS orientation,
-  CASE WHEN NOT fine THEN 'not a TIFF container' END AS error FROM ok""")
+  CASE WHEN NOT fine THEN 'neither TIFF nor JPEG data' END AS error FROM ok""")
 def extract_capture_metadata(spark, sf):
     return J.extract_capture_metadata(_event_files(spark, sf), content="content")
 
@@ -96,7 +96,7 @@ def index_previews(spark, sf):
 
 
 @query("index_previews_errors", f"""WITH {EVENT_FRAMES}
-SELECT file_name AS path, 'not a TIFF container' AS error FROM frames WHERE event_type = 'error'""")
+SELECT file_name AS path, 'neither TIFF nor JPEG data' AS error FROM frames WHERE event_type = 'error'""")
 def index_previews_errors(spark, sf):
     return J.index_previews(_event_files(spark, sf), content="content")[1]
 

@@ -147,8 +147,8 @@ def first_value_wins(spark, sf):
 
 
 @query("destination_guard", """
-SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'destination is the source folder itself'
-  WHEN page_id % 3 = 1 THEN 'destination is inside the source folder' END AS reason FROM pages""")
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'source and target are one folder'
+  WHEN page_id % 3 = 1 THEN 'target lies below the source' END AS reason FROM pages""")
 def destination_guard(spark, sf):
     src = F.concat(F.lit("/card/"), F.regexp_replace("url", "[^A-Za-z0-9]", "_"))
     which = F.col("page_id") % 3

@@ -160,8 +160,8 @@ def count_in_view(spark, sf):
 @query("validate_marks", r"""
 WITH m AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' THEN '../' ELSE '' END || 'Customer#' ||
   lpad(CAST(o_custkey * 2 AS VARCHAR), 9, '0') AS file_name FROM orders)
-SELECT o_orderkey, file_name, CASE WHEN file_name LIKE '%/%' THEN 'must be a file name, not a path'
-  WHEN file_name NOT IN (SELECT c_name FROM customer) THEN 'no such file in folder' END AS reason FROM m""")
+SELECT o_orderkey, file_name, CASE WHEN file_name LIKE '%/%' THEN 'the mark names a folder'
+  WHEN file_name NOT IN (SELECT c_name FROM customer) THEN 'not among the session''s files' END AS reason FROM m""")
 def validate_marks(spark, sf):
     marks = table(spark, sf, "orders").select(
         "o_orderkey", F.lit("s").alias("session_id"),

@@ -8,11 +8,13 @@ from collections.abc import Iterator
 from itertools import islice
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelight.functions.text import ascii_lower, file_name, name_extension, name_stem, parent_folder
 from sievelight.sources.jobs import per_file
+from sievelight.sources.places import open_read, place_of, reason_of
 
 # The usual camera RAW extensions and the two JPEG ones. Pass
 # your own list to change what counts.
@@ -57,17 +59,15 @@ def list_folders(folders: DataFrame, folder: str = "folder", tasks: int | None =
 
 
 def _entries(home: str) -> Iterator[tuple]:
-    """(path, size, mtime in microseconds, reason) of each file in one folder."""
-    if "://" in home and not home.startswith("file://"):
-        from pyarrow.fs import FileSelector, FileSystem, FileType
-        fs, inner = FileSystem.from_uri(home)
-        for info in fs.get_file_info(FileSelector(inner)):
-            if info.type == FileType.File:
-                when = info.mtime_ns // 1000 if info.mtime_ns is not None else None
-                yield f"{home.rstrip('/')}/{info.base_name}", info.size, when, None
-        return
-    root = home.removeprefix("file://").removeprefix("file:")
+    """(path, size, mtime in microseconds, reason) of each file in one folder; whatever fails is a row."""
     try:
+        store, root = place_of(home)
+        if store.type_name != "local":
+            for info in store.get_file_info(FileSelector(root)):
+                if info.type == FileType.File:
+                    when = info.mtime_ns // 1000 if info.mtime_ns is not None else None
+                    yield f"{home.rstrip('/')}/{info.base_name}", info.size, when, None
+            return
         with os.scandir(root) as found:
             for entry in found:
                 path = entry.path.encode(errors="replace").decode()
@@ -76,9 +76,24 @@ def _entries(home: str) -> Iterator[tuple]:
                     if stat.S_ISREG(facts.st_mode):
                         yield path, facts.st_size, facts.st_mtime_ns // 1000, None
                 except OSError as e:
-                    yield path, None, None, f"unreadable entry: {e.strerror}"
-    except OSError as e:
-        yield None, None, None, f"cannot list folder: {e.strerror}"
+                    yield path, None, None, f"entry not read: {e.strerror}"
+    except Exception as e:
+        yield None, None, None, f"folder not listed: {getattr(e, 'strerror', None) or reason_of(e)}"
+
+
+def read_files(files: DataFrame, path: str = "path", tasks: int | None = None) -> DataFrame:
+    """path, content, error: whole small files, read one by one; an empty file has empty content."""
+    def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for p in batch["path"]:
+                try:
+                    with open_read(p) as f:
+                        row = (p, f.read(), None)
+                except Exception as e:
+                    row = (p, None, f"not read: {reason_of(e)}")
+                yield pd.DataFrame([row], columns=["path", "content", "error"], dtype=object)
+
+    return per_file(files.select(F.col(path).alias("path")), job, "path string, content binary, error string", tasks)
 
 
 def _kind(name: Column, extensions) -> Column:

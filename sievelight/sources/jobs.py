@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sievelight.operators.lanes import spread_small
+FILES_PER_TASK = "spark.sievelight.filesPerTask"
 
 _shipped: set[str] = set()
 
@@ -32,9 +32,11 @@ def ship_package(spark: SparkSession) -> None:
 def per_file(rows: DataFrame, job: Callable, schema: str, tasks: int | None = None) -> DataFrame:
     """``mapInPandas`` over rows that each name or hold one file.
 
-    A small table is spread over the cores first; ``tasks`` sets another number,
-    for tables of paths whose files are much larger than their rows.
+    Rows are counted and dealt out ``filesPerTask`` (128) to a task, since a file
+    costs far more than its row; ``tasks`` sets the number of tasks itself.
     """
-    ship_package(rows.sparkSession)
-    rows = rows.repartition(tasks) if tasks else spread_small(rows)
-    return rows.mapInPandas(job, schema)
+    spark = rows.sparkSession
+    ship_package(spark)
+    if tasks is None:
+        tasks = max(1, -(-rows.count() // int(spark.conf.get(FILES_PER_TASK, "128"))))
+    return rows.repartition(tasks).mapInPandas(job, schema)

@@ -17,6 +17,7 @@ from sievelight.functions.capture import burst_seq, valid_orientation
 from sievelight.functions.text import ascii_lower, name_extension, normalize_make
 from sievelight.operators.previews import flag_implausible
 from sievelight.sources.jobs import per_file
+from sievelight.sources.places import reason_of
 from sievelight.sources.ranged import Ranged, exif_facts, jpeg_complete, jpeg_exif, preview_pointers
 
 
@@ -34,8 +35,8 @@ def _per_file(df: DataFrame, columns: list[str], content: str | None, schema: st
                 try:
                     src = Ranged(row["path"], row[content] if content else None)
                     out.extend({**row, **r} for r in read(src, row))
-                except OSError as e:
-                    out.append({**row, "error": f"cannot read: {e.strerror or e}"})
+                except Exception as e:
+                    out.append({**row, "error": f"not read: {getattr(e, 'strerror', None) or reason_of(e)}"})
                 finally:
                     if src:
                         src.close()
@@ -59,7 +60,7 @@ def extract_capture_metadata(frames: DataFrame, content: str | None = None, task
             yield jpeg_exif(src) or {}
             return
         facts = exif_facts(src)
-        yield facts if facts is not None else {"error": "not a TIFF container"}
+        yield facts if facts is not None else {"error": "neither TIFF nor JPEG data"}
 
     raw = _per_file(
         frames.withColumn("_jpeg", _is_jpeg(F.col("path"))), ["path", "_jpeg"], content,

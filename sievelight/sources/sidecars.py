@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from sievelight.functions.capture import pick_to_rating, rating_to_pick
 from sievelight.functions.text import first_value_wins, trim_unicode, xml_escape
 from sievelight.schema import IPTC_FIELDS
+from sievelight.sources.files import list_folders, read_files
 from sievelight.sources.jobs import per_file
 
 # The property behind each metadata field, in writing order, and
@@ -138,25 +139,32 @@ def _facts(xml: bytes) -> list[tuple[str, str]]:
     return facts
 
 
-def parse_sidecars(df: DataFrame, content: str = "content", path: str = "path") -> DataFrame:
-    """path, pick, keywords, iptc, error. A malformed file is a row with ``error``, never a default."""
+def parse_sidecars(df: DataFrame, content: str = "content", path: str = "path", failed: str | None = None) -> DataFrame:
+    """path, pick, keywords, iptc, error. A malformed file is a row with ``error``, never a default.
+
+    ``failed`` names a column whose text, where there is any, is the error of a row that could not be read.
+    """
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for key, raw in zip(batch[path], batch[content]):
-                facts, error = [], None
+            known = batch[failed] if failed else [None] * len(batch)
+            for key, raw, error in zip(batch[path], batch[content], known):
+                facts = []
                 try:
-                    data = raw.encode() if isinstance(raw, str) else bytes(raw)
-                    data.decode("utf-8")
-                    facts = [{"what": w, "text": t} for w, t in _facts(data)]
+                    if not error:
+                        data = raw.encode() if isinstance(raw, str) else bytes(raw)
+                        data.decode("utf-8")
+                        facts = [{"what": w, "text": t} for w, t in _facts(data)]
                 except UnicodeDecodeError:
-                    error = "sidecar is not valid UTF-8"
+                    error = "bytes are not UTF-8 text"
                 except expat.ExpatError as e:
-                    error = f"sidecar XML error: {e}"
+                    error = f"malformed XML: {e}"
+                except Exception as e:
+                    error = f"{type(e).__name__}: {e}"
                 out.append((key, facts, error))
             yield pd.DataFrame(out, columns=["path", "facts", "error"])
 
-    raw = per_file(df.select(path, content), job,
+    raw = per_file(df.select(path, content, *([failed] if failed else [])), job,
                    "path string, facts array<struct<what:string,text:string>>, error string")
 
     def texts(what: str) -> Column:
@@ -174,11 +182,17 @@ def parse_sidecars(df: DataFrame, content: str = "content", path: str = "path")
         F.when(fine, iptc).alias("iptc"), "error")
 
 
-def read_sidecars(spark: SparkSession, paths: str | list[str], glob: str = "*.xmp") -> DataFrame:
-    """Sidecars under ``paths``, keyed by the image path they belong to."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
-    image = F.regexp_replace("path", r"\.xmp$", "")
-    return parse_sidecars(files.select(image.alias("path"), "content"))
+def read_sidecars(spark: SparkSession, paths: str | list[str], suffix: str = ".xmp", tasks: int | None = None) -> DataFrame:
+    """Sidecars directly inside the folders ``paths``, keyed by the image path they belong to.
+
+    Listed like frames, so the paths match theirs and an empty or unreadable
+    sidecar is a row with ``error``.
+    """
+    files = list_folders(spark.createDataFrame([(p,) for p in ([paths] if isinstance(paths, str) else paths)], "folder string"))
+    cars = files.where(F.col("path").isNotNull() & F.endswith(F.col("path"), F.lit(suffix)))
+    image = F.left(F.col("path"), F.length("path") - F.lit(len(suffix)))
+    read = read_files(cars.select("path"), tasks=tasks)
+    return parse_sidecars(read.select(image.alias("path"), "content", "error"), failed="error")
 
 
 # -- rewrite ------------------------------------------------------------------
@@ -206,7 +220,7 @@ def edit_sidecar(xml: str, kind: str, new: str) -> str:
     try:
         expat.ParserCreate().Parse(xml.encode(), True)
     except expat.ExpatError as e:
-        raise ValueError(f"sidecar XML error: {e}") from None
+        raise ValueError(f"malformed XML: {e}") from None
     owned_element, owned_attribute, prefixes = _EDITS[kind]
     out: list[str] = []
     dropping = inside = seen = 0
@@ -244,7 +258,7 @@ def edit_sidecar(xml: str, kind: str, new: str) -> str:
             out = [t for t in out if t]
         seen += 1
     if not seen:
-        raise ValueError("sidecar has no rdf:Description")
+        raise ValueError("nothing to edit, rdf:Description is missing")
     return "".join(out)
 
 
@@ -262,9 +276,9 @@ def rewrite_sidecars(df: DataFrame, kind: str, new: Column, xml: str = "xml", pa
                     text = raw if isinstance(raw, str) else bytes(raw).decode("utf-8")
                     out.append((key, edit_sidecar(text, kind, value or ""), None))
                 except UnicodeDecodeError:
-                    out.append((key, None, "sidecar is not valid UTF-8"))
-                except ValueError as e:
-                    out.append((key, None, str(e)))
+                    out.append((key, None, "bytes are not UTF-8 text"))
+                except Exception as e:
+                    out.append((key, None, str(e) if type(e) is ValueError else f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=["path", "xml", "error"], dtype=object)
 
     rows = df.select(F.col(path).alias("path"), F.col(xml).alias("xml"), new.cast("string").alias("new"))

@@ -19,8 +19,7 @@ class TemplatesFileError(ValueError):
 def template_warnings(templates: DataFrame, name: str = "name", field: str = "field", value: str = "value") -> DataFrame:
     """A blank value clears its field wherever the template is applied; say so."""
     blank = templates.where((trim_unicode(F.col(value)) == "") & F.col(field).isin(*IPTC_FIELDS))
-    text = F.concat(F.lit("template '"), F.col(name), F.lit("': empty '"), F.col(field),
-                    F.lit("' CLEARS that field on every image it is applied to"))
+    text = F.concat(F.lit("blank "), F.col(field), F.lit(" of "), F.col(name), F.lit(" removes the value it meets"))
     return blank.select(name, field, text.alias("warning"))
 
 

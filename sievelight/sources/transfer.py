@@ -1,16 +1,15 @@
 """Jobs with side effects on files. Each returns one result row per input row.
 
 Every file is written under a unique temporary name beside its target, flushed
-to disk and renamed, so a task that runs twice leaves the same file and a lost
-executor leaves no half of one. Paths are on a file system that all executors
-mount. Always drain the result with an action, and do not count on laziness.
+to disk and moved, so a task that runs twice leaves the same file and a lost
+executor leaves no half of one. Paths are local ones on a file system that all executors
+mount, or have a scheme; a row whose scheme no executor can open fails by itself, as
+does any other bad row. Always drain the result with an action, and do not count on laziness.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,30 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.sources.jobs import per_file
+from sievelight.sources.places import open_read, reason_of, size_of, write_whole
 
 CHUNK = 1 << 20
 
 
-def _local(path: str) -> str:
-    return path.removeprefix("file://").removeprefix("file:")
-
-
-def _place(target: str, write) -> tuple:
-    """Run ``write(handle, temporary name)`` and move the result to ``target``."""
-    os.makedirs(os.path.dirname(target) or ".", exist_ok=True)
-    part = f"{target}.part-{uuid.uuid4().hex}"
-    try:
-        with open(part, "wb") as f:
-            done = write(f)
-            f.flush()
-            os.fsync(f.fileno())
-        return done, part
-    except OSError:
-        if os.path.exists(part):
-            os.remove(part)
-        raise
-
-
 def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tasks: int | None = None) -> DataFrame:
     """One file per row under its exact name: path, ok, reason."""
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,11 +29,12 @@ def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tas
             out = []
             for target, text in zip(batch["path"], batch["xml"]):
                 try:
-                    _, part = _place(_local(target), lambda f: f.write(text.encode()))
-                    os.replace(part, _local(target))
+                    if text is None:
+                        raise ValueError("there is no text to write")
+                    write_whole(target, lambda f, data=text.encode(): f.write(data))
                     out.append((target, True, None))
-                except OSError as e:
-                    out.append((target, False, str(e)))
+                except Exception as e:
+                    out.append((target, False, reason_of(e)))
             yield pd.DataFrame(out, columns=["path", "ok", "reason"])
 
     rows = df.select(F.col(path).alias("path"), F.col(xml).alias("xml"))
@@ -62,7 +43,7 @@ def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tas
 
 def _digest(path: str) -> str:
     seen = hashlib.sha256()
-    with open(path, "rb") as f:
+    with open_read(path) as f:
         while chunk := f.read(CHUNK):
             seen.update(chunk)
     return seen.hexdigest()
@@ -70,21 +51,21 @@ def _digest(path: str) -> str:
 
 def _copy(source: str, target: str) -> tuple[str, str]:
     """Copy, hashing on the way, then read back what the disk holds and compare."""
-    seen = hashlib.sha256()
+    seen, there = hashlib.sha256(), []
 
     def write(f) -> None:
-        with open(source, "rb") as src:
+        with open_read(source) as src:
             while chunk := src.read(CHUNK):
                 seen.update(chunk)
                 f.write(chunk)
 
-    _, part = _place(target, write)
-    there = _digest(part)
-    if there != seen.hexdigest():
-        os.remove(part)
-        raise OSError("hash mismatch after copy")
-    os.replace(part, target)
-    return seen.hexdigest(), there
+    def check(part: str) -> None:
+        there.append(_digest(part))
+        if there[0] != seen.hexdigest():
+            raise OSError("the copy reads back with another hash")
+
+    write_whole(target, write, check)
+    return seen.hexdigest(), there[0]
 
 
 def copy_files(plan: DataFrame, row_id: str = "image_id", tasks: int | None = None) -> DataFrame:
@@ -92,22 +73,25 @@ def copy_files(plan: DataFrame, row_id: str = "image_id", tasks: int | None = No
 
     ``plan`` needs src_path, dst_folder, name, action and src_sidecar (NULL when
     there is none). A sidecar travels with its image; a failure stays in its row.
+    A row that the plan refuses (``refused`` says why) is a failure and touches no file.
     """
-    rows = plan.select(F.col(row_id).alias("image_id"), "src_path", "dst_folder", "name", "action", "src_sidecar")
+    refused = F.col("refused") if "refused" in plan.columns else F.lit(None).cast("string")
+    rows = plan.select(F.col(row_id).alias("image_id"), "src_path", "dst_folder", "name", "action", "src_sidecar",
+                       refused.alias("refused"))
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
-                hashes, reason = (None, None), None
-                target = os.path.join(_local(row.dst_folder), row.name)
+                hashes, reason = (None, None), row.refused if isinstance(row.refused, str) else None
                 try:
-                    if row.action in ("Copy", "CopyRenamed"):
-                        hashes = _copy(_local(row.src_path), target)
-                    if row.action != "Skip" and isinstance(row.src_sidecar, str):
-                        _copy(_local(row.src_sidecar), target + ".xmp")
-                except OSError as e:
-                    reason = str(e)
+                    target = f"{row.dst_folder.rstrip('/')}/{row.name}"
+                    if reason is None and row.action in ("Copy", "CopyRenamed"):
+                        hashes = _copy(row.src_path, target)
+                    if reason is None and row.action != "Skip" and isinstance(row.src_sidecar, str):
+                        _copy(row.src_sidecar, target + ".xmp")
+                except Exception as e:
+                    reason = reason_of(e)
                 out.append((row.image_id, row.name, row.action, reason is None, reason, *hashes))
             yield pd.DataFrame(
                 out, columns=["image_id", "name", "action", "ok", "reason", "src_hash", "dst_hash"])
@@ -124,9 +108,9 @@ def hash_files(df: DataFrame, path: str = "path", tasks: int | None = None) -> D
             out = []
             for p in batch["path"]:
                 try:
-                    out.append((p, os.path.getsize(_local(p)), _digest(_local(p)), None))
-                except OSError as e:
-                    out.append((p, None, None, str(e)))
+                    out.append((p, size_of(p), _digest(p), None))
+                except Exception as e:
+                    out.append((p, None, None, reason_of(e)))
             yield pd.DataFrame(out, columns=["path", "size", "hash", "error"], dtype=object)
 
     rows = df.select(F.col(path).alias("path"))

@@ -8,7 +8,7 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path[:0] = [str(ROOT), str(Path(__file__).resolve().parent)]
 
-from sievelight.operators.lanes import ROWS_PER_SLICE, SLICE_BYTES  # noqa: E402
+from sievelight.operators.lanes import ROWS_PER_SLICE  # noqa: E402
 from sievelight.session import build_session  # noqa: E402
 
 
@@ -23,10 +23,8 @@ def spark():
 
 @pytest.fixture
 def sliced(spark):
-    """Make every lane of more than a few rows run in slices."""
+    """Make every lane of more than ``rows`` rows run in slices."""
     def on(rows: int) -> None:
-        spark.conf.set(SLICE_BYTES, "0")
         spark.conf.set(ROWS_PER_SLICE, str(rows))
     yield on
-    spark.conf.unset(SLICE_BYTES)
     spark.conf.unset(ROWS_PER_SLICE)

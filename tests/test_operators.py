@@ -15,9 +15,9 @@ from sievelight.operators import views as W
 
 # -- views ----------------------------------------------------------------------
 
-VIEW = [(0, "Picked", "f.ARW", "2026:07:22 10:00:01.000"), (1, "Rejected", "e.ARW", "2026:07:22 10:00:02.000"),
-        (2, "Unmarked", "d.ARW", None), (3, "Picked", "c.ARW", "2026:07:22 09:59:59.000"),
-        (4, "Unmarked", "b.ARW", "2026:07:22 10:00:03.000"), (5, "Rejected", "a.ARW", None)]
+# One session: name order is 30, 10, 50, 20, 40; two frames have no time.
+VIEW = [(10, "Rejected", "m2.nef", "2019:03:01 08:15:00.250"), (20, "Unmarked", "q7.nef", None), (30, "Picked", "k9.nef", "2019:03:01 08:15:00.750"),
+        (40, "Picked", "z1.nef", None), (50, "Unmarked", "n4.nef", "2019:02:28 23:59:59.000")]
 
 
 @pytest.fixture
@@ -30,18 +30,18 @@ def ids(df):
 
 
 def test_view_orders(frames):
-    by_time, by_name = [3, 0, 1, 4, 5, 2], [5, 4, 3, 2, 1, 0]
+    by_time, by_name = [50, 10, 30, 20, 40], [30, 10, 50, 20, 40]
     assert ids(W.view(frames)) == by_time
     assert ids(W.view(frames, ascending=False)) == by_time[::-1]
     assert ids(W.view(frames, key=None)) == by_name
     assert ids(W.view(frames, key=None, ascending=False)) == by_name[::-1]
-    assert ids(W.view(frames, "Picked")) == [3, 0]
-    assert W.pick_counts(frames).first().asDict() == {"all": 6, "picked": 2, "rejected": 2, "unmarked": 2}
+    assert ids(W.view(frames, "Picked")) == [30, 40]
+    assert W.pick_counts(frames).first().asDict() == {"all": 5, "picked": 2, "rejected": 1, "unmarked": 2}
 
 
 def test_provisional_until_complete(frames):
-    for status, want in (("Loaded", [3, 0, 1, 4, 5, 2]), ("Failed", [3, 0, 1, 4, 5, 2]), ("Placeholder", [5, 4, 3, 2, 1, 0])):
-        rows = frames.withColumn("status", F.when(F.col("path") == 2, status).otherwise("Loaded"))
+    for status, want in (("Loaded", [50, 10, 30, 20, 40]), ("Failed", [50, 10, 30, 20, 40]), ("Placeholder", [30, 10, 50, 20, 40])):
+        rows = frames.withColumn("status", F.when(F.col("path") == 20, status).otherwise("Loaded"))
         assert ids(W.provisional_positions(rows, ["session_id"]).orderBy("position")) == want
 
 
@@ -68,24 +68,24 @@ def test_selection(spark, frames):
     pick = lambda *p: spark.createDataFrame([("s", i) for i in p], "session_id string, path int")
     span = lambda a, t, base: sorted(r.path for r in S.extend_range(
         view, spark.createDataFrame([("s", a, t)], "session_id string, anchor int, target int"), base, ["session_id"], "path").collect())
-    # View order is 3, 0, 1, 4, 5, 2.
-    assert span(0, 4, pick()) == [0, 1, 4] and span(4, 0, pick(2)) == [0, 1, 2, 4] and span(0, 77, pick(2)) == [2]
+    # View order is 50, 10, 30, 20, 40.
+    assert span(10, 20, pick()) == [10, 20, 30] and span(20, 10, pick(50)) == [10, 20, 30, 50] and span(10, 77, pick(20)) == [20]
     assert sorted(r.path for r in S.toggle(pick(1, 2), pick(2, 3), ["session_id", "path"]).collect()) == [1, 3]
     batch = lambda sel, cur: sorted(r.path for r in S.batch_rows(view, sel, ["session_id"], "path", cur).collect())
-    assert batch(pick(1, 99), pick(3)) == [1] and batch(pick(), pick(3)) == [3] and batch(pick(), pick(99)) == []
-    assert S.count_in_view(view, pick(1, 2, 99), ["session_id", "path"]).first().selected == 2
+    assert batch(pick(10, 99), pick(30)) == [10] and batch(pick(), pick(30)) == [30] and batch(pick(), pick(99)) == []
+    assert S.count_in_view(view, pick(10, 20, 99), ["session_id", "path"]).first().selected == 2
     assert S.count_in_view(view, pick(), ["session_id", "path"]).first().selected == 0
 
 
 def test_marks(spark, frames):
-    names = ["a.ARW", "../a.ARW", "x\\y", "c:z", "..", "nope.ARW"]
+    names = ["m2.nef", "up/m2.nef", "d\\m2.nef", "E:m2", "..", "other.nef"]
     marks = spark.createDataFrame([("s", n) for n in names], "session_id string, file_name string")
     got = {r.file_name: r.reason for r in S.validate_marks(marks, frames, ["session_id"]).collect()}
-    assert got["a.ARW"] is None and got["nope.ARW"] == "no such file in folder"
-    assert len([r for r in got.values() if r == "must be a file name, not a path"]) == 4
-    ordered = spark.createDataFrame([(0, "Picked", 1), (0, "Rejected", 2), (0, "Unmarked", 3), (1, "Picked", 1)], "path int, mark string, n int")
+    assert got["m2.nef"] is None and got["other.nef"] == "not among the session's files"
+    assert len([r for r in got.values() if r == "the mark names a folder"]) == 4
+    ordered = spark.createDataFrame([(10, "Picked", 1), (10, "Unmarked", 3), (10, "Rejected", 2), (30, "Rejected", 1)], "path int, mark string, n int")
     got = {r.path: r.pick for r in S.apply_marks(frames, ordered, ["path"], "n").collect()}
-    assert (got[0], got[1], got[3]) == ("Unmarked", "Picked", "Picked")
+    assert (got[10], got[30], got[40]) == ("Unmarked", "Rejected", "Picked")
 
 
 def test_edit_beats_stored_even_with_null(spark):
@@ -104,19 +104,19 @@ def test_add_keywords(spark):
 
 
 def test_template_batch(spark):
-    df = spark.createDataFrame([(i, "Old Town" if i == 0 else None, "h" if i == 0 else None, None, None, ["Birds"] if i == 0 else []) for i in range(3)],
+    df = spark.createDataFrame([(7, "Lyon", None, "kept", "x", ["Sea", "sky"]), (8, None, "gone", None, None, []), (9, None, None, None, None, ["SEA"])],
                                "id int, city string, headline string, title string, creator string, keywords array<string>")
-    ctx = capture_context(F.lit("2026:07:25 17:41:23"), F.lit(None).cast("timestamp"), F.format_string("DSC%05d.ARW", "id"), F.lit("X"))
+    ctx = capture_context(F.lit("2018:11:03 06:00:59"), F.lit(None).cast("timestamp"), F.format_string("P%03d.nef", "id"), F.lit("B2"))
     df = df.withColumns({"s": F.lit(1), "context": ctx})
-    out = M.apply_template(df, {"title": "{filename} #{seq}", "creator": "Ana", "headline": ""}, ["birds", "{date}"], ["s"], ["id"])
+    out = M.apply_template(df, {"headline": "{seq} of {date}", "city": "Bergen", "creator": " "}, ["sea", "{filename}"], ["s"], ["id"])
     rows = out.orderBy("id").collect()
-    assert [r.title for r in rows] == ["DSC00000 #1", "DSC00001 #2", "DSC00002 #3"]
-    assert (rows[0].city, rows[0].headline, rows[0].creator) == ("Old Town", None, "Ana")
-    assert [r.keywords for r in rows] == [["Birds", "2026-07-25"], ["birds", "2026-07-25"], ["birds", "2026-07-25"]]
+    assert [r.headline for r in rows] == ["1 of 2018-11-03", "2 of 2018-11-03", "3 of 2018-11-03"]
+    assert [(r.city, r.creator, r.title) for r in rows] == [("Bergen", None, "kept"), ("Bergen", None, None), ("Bergen", None, None)]
+    assert [r.keywords for r in rows] == [["Sea", "sky", "P007"], ["sea", "P008"], ["SEA", "P009"]]
     back = M.revert_batch(out, df, ["id"], ["title", "creator", "headline", "city", "keywords"])
     assert M.changed_rows(df, back, ["id"], ["title", "creator", "headline", "city", "keywords"]).count() == 0
     with pytest.raises(ValueError):
-        M.apply_template(df, {"title": "ok", "city": "{oops}"}, [], ["s"], ["id"])
+        M.apply_template(df, {"city": "ok", "title": "{what}"}, [], ["s"], ["id"])
 
 
 def test_edits_that_change_nothing(spark):
@@ -169,15 +169,15 @@ def test_plan_modes(spark):
 def test_plan_guards(spark):
     order = dict(order=["image_id"])
     plan = P.plan_copy(sources(spark, ["b.ARW", "a.ARW", "c.ARW"]), listing(spark, []), template="same.{ext}", **order)
-    with pytest.raises(P.CopyPlanError, match="'same.ARW' is produced by both b.ARW and a.ARW"):
+    with pytest.raises(P.CopyPlanError, match="b.ARW and a.ARW would both become same.ARW"):
         P.guard_plan(plan, **order)
     plan = P.plan_copy(sources(spark, ["a.ARW", "b.ARW"]), listing(spark, ["a.ARW"]), mode="Abort", **order)
-    with pytest.raises(P.CopyPlanError, match="already has 1"):
+    with pytest.raises(P.CopyPlanError, match="1 target names"):
         P.guard_plan(plan, mode="Abort", **order)
     plan = P.plan_copy(sources(spark, ["a.ARW", "b.ARW"], size=10), listing(spark, []), **order)
-    with pytest.raises(P.CopyPlanError, match="need 20 bytes, 19"):
+    with pytest.raises(P.CopyPlanError, match="20 bytes and 19"):
         P.guard_plan(plan, free_bytes=19, **order)
-    with pytest.raises(P.CopyPlanError, match="inside"):
+    with pytest.raises(P.CopyPlanError, match="below"):
         P.guard_plan(plan, folders=("/card", "/card/selects"), **order)
     assert P.guard_plan(plan, free_bytes=20, folders=("/card", "/out"), **order) is plan
 

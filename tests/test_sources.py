@@ -39,7 +39,7 @@ def test_listing_errors_are_rows(spark, tmp_path):
     good, failed = L.split_failed(rows)
     assert sorted(r.file_name for r in good.collect()) == ["good.ARW", "link.ARW"]
     assert sorted((r.file_name or "", r.reason.split(":")[0]) for r in failed.collect()) == [
-        ("", "cannot list folder"), ("broken.ARW", "unreadable entry")]
+        ("", "folder not listed"), ("broken.ARW", "entry not read")]
     assert good.count() + failed.count() == rows.count()
 
 
@@ -122,7 +122,7 @@ def test_missing_file_is_a_row(spark, tmp_path):
     df = spark.createDataFrame([(str(tmp_path / "gone.ARW"),), (str(tmp_path / "here.ARW"),)], "path string")
     (tmp_path / "here.ARW").write_bytes(tiff("<", MAIN, EXIF))
     got = {os.path.basename(r.path): r.error for r in J.extract_capture_metadata(df).collect()}
-    assert got["here.ARW"] is None and "cannot read" in got["gone.ARW"]
+    assert got["here.ARW"] is None and "not read" in got["gone.ARW"]
 
 
 def test_previews_and_audit(spark, tmp_path):
@@ -217,7 +217,8 @@ def test_parse_forms(spark):
     assert rows[11].iptc.description == ("long text " * 5000).strip()
 
 
-KEYWORDS = [[], ["plain"], ["Ünïcode", "日本"], ["a&b", "x<y>z", "\"quoted\" 'it'"], ["a|b|c"], [f"k{i}" for i in range(40)]]
+# The five characters XML reserves, text beyond one UTF-16 unit, a long list, a long word and one that looks like markup.
+KEYWORDS = [["<>&'" + '"'], ["naïve", "жук", "𝄞 clef"], [str(n * n) for n in range(150)], ["w" * 5000], ["<rdf:li>x</rdf:li>", "]]>", "&#38;"], []]
 
 
 def test_render_read_round_trip(spark):
@@ -251,7 +252,7 @@ def test_rewrite_keeps_foreign_and_is_stable(spark):
     assert "Oslo" not in X.edit_sidecar(out, "iptc", "")
 
 
-@pytest.mark.parametrize("doc,reason", [("<a/>", "no rdf:Description"), ("", "XML error"), ("<a", "XML error"), (b"\xff", "UTF-8")])
+@pytest.mark.parametrize("doc,reason", [("<a/>", "rdf:Description"), ("", "malformed XML"), ("<a", "malformed XML"), (b"\xff", "UTF-8")])
 def test_rewrite_refuses(spark, doc, reason):
     df = spark.createDataFrame([("p", doc if isinstance(doc, bytes) else doc.encode())], "path string, xml binary")
     r = X.rewrite_sidecars(df, "pick", F.lit("1")).first()
@@ -263,7 +264,7 @@ def test_written_sidecars_are_read_back(spark, tmp_path):
     out = rows.where("pick is not null").select(F.concat("path", F.lit(".xmp")).alias("path"), X.render_sidecar(F.col("pick")).alias("xml"))
     assert {r.ok for r in write_sidecar_files(out).collect()} == {True}
     assert not [n for n in os.listdir(tmp_path) if ".part-" in n]
-    cars = X.read_sidecars(spark, str(tmp_path)).withColumn("path", F.regexp_replace("path", "^file:", ""))
+    cars = X.read_sidecars(spark, str(tmp_path))
     got = attach_sidecars(rows.select("path"), cars.select("path", "pick", "keywords"), ["path"])
     assert sorted((file, pick) for file, pick in got.select(file_name(F.col("path")), "pick").collect()) == [
         ("a b.ARW", "Picked"), ("none.ARW", "Unmarked"), ("é.ARW", "Rejected")]
@@ -300,6 +301,45 @@ def test_copy_job(spark, tmp_path):
     assert sorted(os.listdir(out)) == ["a.ARW", "a_2.ARW", "a_2.ARW.xmp", "b.ARW"]
 
 
+def test_bad_rows_stay_rows(spark, tmp_path):
+    (tmp_path / "a.ARW").write_bytes(b"a")
+    bad = spark.createDataFrame([("nowhere://h/x.xmp", "<a/>"), (f"{tmp_path}/n.xmp", None), (f"{tmp_path}/ok.xmp", "<a/>")], "path string, xml string")
+    wrote = {r.path.rpartition("/")[2]: (r.ok, r.reason) for r in write_sidecar_files(bad).collect()}
+    assert wrote["ok.xmp"] == (True, None) and not wrote["x.xmp"][0] and "no text" in wrote["n.xmp"][1]
+    assert sorted(os.listdir(tmp_path)) == ["a.ARW", "ok.xmp"]
+    hashed = hash_files(spark.createDataFrame([("nowhere://h/x",), (f"{tmp_path}/gone",), (None,), (f"{tmp_path}/a.ARW",)], "path string")).collect()
+    assert sum(r.error is not None and r.hash is None for r in hashed) == 3
+    facts = J.extract_capture_metadata(spark.createDataFrame([("nowhere://h/x.ARW",), (f"{tmp_path}/a.ARW",)], "path string")).collect()
+    assert all(r.error for r in facts)
+    listed = L.scan_files(spark, ["nowhere://h/", str(tmp_path)])
+    assert sorted((r.status, r.file_name or "") for r in listed.collect()) == [("Failed", ""), ("Placeholder", "a.ARW"), ("Placeholder", "ok.xmp")]
+    (tmp_path / "e.ARW.xmp").write_bytes(b"")
+    cars = {r.path: r.error for r in X.read_sidecars(spark, str(tmp_path)).collect()}
+    assert cars[f"{tmp_path}/ok"] is None and "malformed" in cars[f"{tmp_path}/e.ARW"]
+
+
+def test_unreadable_copies_never_match(spark):
+    side = spark.createDataFrame([("x", None, None, "gone"), ("y", 1, "h", None)], "name string, size long, hash string, error string")
+    assert {r.name: r.verdict for r in verify_copies(side, side).collect()} == {"x": "unreadable", "y": "match"}
+
+
+def test_refused_rows_touch_no_file(spark, tmp_path):
+    card, out = tmp_path / "card", tmp_path / "out"
+    card.mkdir(), out.mkdir()
+    (card / "f").write_text("f")
+    rows = [(i, "s", str(out), n, 1, None) for i, n in enumerate(["d.ARW", "d.ARW", "../up.ARW", "ok.ARW"])]
+    src = spark.createDataFrame(rows, "image_id int, session_id string, dest string, file_name string, size long, src_sidecar_mtime timestamp")
+    there = spark.createDataFrame([(str(out), "d.ARW", 5, None)], "dest string, name string, size long, sidecar_mtime timestamp")
+    plan = plan_copy(src, there, order=["image_id"]).select(
+        "image_id", F.lit(f"{card}/f").alias("src_path"), F.col("dest").alias("dst_folder"), "name", "action", "refused",
+        F.lit(None).cast("string").alias("src_sidecar"))
+    assert plan.count() == 4
+    got = {r.image_id: (r.ok, r.reason) for r in copy_files(plan).collect()}
+    assert got == {0: (False, "several sources take this name"), 1: (False, "several sources take this name"),
+                   2: (False, "the name leaves the destination"), 3: (True, None)}
+    assert os.listdir(out) == ["ok.ARW"] and sorted(os.listdir(tmp_path)) == ["card", "out"]
+
+
 def test_verify_finds_changes(spark, tmp_path):
     a, b = tmp_path / "a", tmp_path / "b"
     a.mkdir(), b.mkdir()
