@@ -135,10 +135,14 @@ def stream_bursts(spark, sf):
 
 
 @query("dedupe_requests", """
-SELECT user_id, event_type, min(event_id) AS event_id FROM events GROUP BY user_id, event_type""")
+WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM events),
+ r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 172800000000 THEN 1 ELSE 0 END)
+   OVER (PARTITION BY user_id, event_type ORDER BY ts) AS run FROM l)
+SELECT user_id, event_type, min(ts) AS first FROM r GROUP BY user_id, event_type, run""")
 def dedupe_requests(spark, sf):
-    rows = table(spark, sf, "events").select("user_id", "event_type", "event_id")
-    return L.dedupe_requests(rows, ["user_id", "event_type"], "event_id").select("user_id", "event_type", "event_id")
+    rows = table(spark, sf, "events").select("user_id", "event_type", "ts")
+    kept = L.dedupe_requests(rows, ["user_id", "event_type"], "ts", "2 days")
+    return kept.select("user_id", "event_type", F.col("ts").alias("first"))
 
 
 @query("watch_folder", "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS file_name, CAST(strlen(text) AS BIGINT) AS size FROM documents")

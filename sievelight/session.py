@@ -30,9 +30,12 @@ def build_session(app: str = "sievelight", master: str | None = None, **conf: st
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder every executor can reach, under ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) gets a machine-local one.
+    Only a local master without that setting (tests) gets a machine-local one; on a cluster it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sievelight.functions.text import canonical_path
 from sievelight.sources.files import frame_columns
 from sievelight.sources.jobs import ship_package
 from sievelight.streaming.edits import coalesce_edits
@@ -28,17 +29,24 @@ def watch_folder(spark: SparkSession, path: str, glob: str | None = None, per_ba
         reader = reader.option("pathGlobFilter", glob)
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    found = reader.load(path).select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    found = reader.load(path).select(canonical_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
     return found.withColumns({
         **frame_columns(F.col("path")), "status": F.lit("Placeholder"), "reason": F.lit(None).cast("string"),
     }).select("session_id", "path", "file_name", "size", "mtime", "status", "reason")
 
 
 def dedupe_requests(requests: DataFrame, keys: list[str], time: str = "ts", horizon: str = "1 minute") -> DataFrame:
-    """Requests for the same thing coalesce; a stream remembers them for ``horizon``."""
+    """Requests for the same thing coalesce until none has come for ``horizon``.
+
+    In batch the first row of each session of requests stays. A stream remembers
+    a request for ``horizon`` after it and drops what comes within, so the
+    two agree where requests of one thing are either closer together than
+    ``horizon`` in all or further apart.
+    """
     if requests.isStreaming:
         return requests.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
-    return requests.groupBy(*keys).agg(F.min_by(F.struct(*requests.columns), time).alias("_r")).select("_r.*")
+    spaced = requests.groupBy(*keys, F.session_window(time, horizon).alias("_w"))
+    return spaced.agg(F.min_by(F.struct(*requests.columns), time).alias("_r")).select("_r.*")
 
 
 def flush_barrier(query: StreamingQuery, log: DataFrame, written: DataFrame, gap_ms: int = 700) -> DataFrame:
@@ -75,15 +83,16 @@ _STATE = T.StructType([
 
 
 def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", has_subsec: str = "has_subsec",
-                  seq: str = "seq", max_gap_ms: int = 600, min_run: int = 3, watermark: str = "10 seconds") -> DataFrame:
-    """Bursts with sequence numbers on a live stream: camera, first_us, last_us, burst_size.
+                  seq: str = "seq", session: list[str] = (), max_gap_ms: int = 600, min_run: int = 3, watermark: str = "10 seconds") -> DataFrame:
+    """Bursts with sequence numbers on a live stream: session columns, camera, first_us, last_us, burst_size.
 
-    Per camera the state is the open run and the frames the watermark has not
+    A run that crosses two sessions is two. Per session and camera the state is the open run and the frames the watermark has not
     passed, which are read in time order once it has. One camera takes some
     tens of frames a second, so a key's work is bounded by the hardware.
     """
     ship_package(frames.sparkSession)
     gap, wide = max_gap_ms * 1000, max(max_gap_ms, 1000) * 1000
+    keys = [*session, "camera"]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         waiting, first, last, fine, number, size = state.get if state.exists else ([], None, None, None, None, 0)
@@ -95,7 +104,7 @@ def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", h
 
         def close() -> None:
             if size >= (2 if (number or 0) >= 1 else min_run):
-                done.append((key[0], first, last, size))
+                done.append((*key, first, last, size))
 
         for us, is_fine, n in sorted((w for w in waiting if w[0] < safe), key=lambda w: (w[0], w[2] or 0)):
             numbered = (n or 0) >= 1
@@ -117,11 +126,11 @@ def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", h
         elif state.exists:
             state.remove()
         if done:
-            yield pd.DataFrame(done, columns=["camera", "first_us", "last_us", "burst_size"])
+            yield pd.DataFrame(done, columns=[*keys, "first_us", "last_us", "burst_size"])
 
     rows = frames.withWatermark(time, watermark).select(
-        F.col(camera).cast("string").alias("camera"), F.col(time).alias(time), F.unix_micros(time).alias("us"),
+        *[F.col(c).cast("string").alias(c) for c in session], F.col(camera).cast("string").alias("camera"), F.col(time).alias(time), F.unix_micros(time).alias("us"),
         F.col(has_subsec).alias("fine"), F.col(seq).cast("bigint").alias("seq"))
-    return rows.groupBy("camera").applyInPandasWithState(
-        step, "camera string, first_us long, last_us long, burst_size long", _STATE, "append",
+    return rows.groupBy(*keys).applyInPandasWithState(
+        step, ", ".join(f"{k} string" for k in keys) + ", first_us long, last_us long, burst_size long", _STATE, "append",
         GroupStateTimeout.EventTimeTimeout)

@@ -1,29 +1,38 @@
 """Tables that micro-batches keep current: the edit state, live counts, failures.
 
 Each batch writes only its own folder ``v=<batch id>``, replacing it when the
-batch runs again, and reads only folders before it. A batch that is lost and
-replayed therefore gives the same table.
+batch runs again, and reads only finished folders before it. A batch that is lost and
+replayed therefore gives the same table, and a read during a batch sees the table before it.
 """
 
 from __future__ import annotations
 
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sievelight.schema import PICKS
+from sievelight.sources.places import place_of
 from sievelight.streaming.edits import fold_edits, merge_states
 
 
+def finished_versions(root: str, before: int | None = None) -> list[int]:
+    """Numbers of the version folders under ``root`` that their batch has finished, ascending."""
+    store, inner = place_of(root)
+    found = store.get_file_info(FileSelector(inner, allow_not_found=True))
+    versions = [int(f.base_name[2:]) for f in found if f.type == FileType.Directory and f.base_name.startswith("v=")]
+    return sorted(v for v in versions if (before is None or v < before)
+                  and store.get_file_info(f"{inner.rstrip('/')}/v={v}/_SUCCESS").type == FileType.File)
+
+
 def read_versions(spark: SparkSession, root: str, schema: T.StructType, before: int | None = None) -> DataFrame:
-    """All rows under ``root`` with their ``v``; no rows when nothing is there yet."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """All rows of finished versions under ``root`` with their ``v``; no rows when nothing is there yet."""
     full = T.StructType([*schema.fields, T.StructField("v", T.LongType())])
-    if not fs.exists(path):
+    done = finished_versions(root, before)
+    if not done:
         return spark.createDataFrame([], full)
-    rows = spark.read.schema(full).parquet(root)
-    return rows if before is None else rows.where(F.col("v") < before)
+    return spark.read.schema(full).option("basePath", root).parquet(*[f"{root.rstrip('/')}/v={v}" for v in done])
 
 
 class StateTable:
@@ -31,7 +40,9 @@ class StateTable:
 
     A batch rewrites only the buckets it touches, as a new version; the newest
     version of a bucket is its content. Choose ``buckets`` so that one is a few
-    hundred MB. Live counts are kept as differences, so no batch recounts the table.
+    hundred MB; a table keeps the number it began with. Live counts are kept as
+    differences, so no batch recounts the table. A read opens the newest folder
+    of each bucket only, and ``vacuum`` deletes the older ones.
     """
 
     def __init__(self, spark: SparkSession, root: str, edits: T.StructType, buckets: int = 64):
@@ -42,13 +53,32 @@ class StateTable:
             *[T.StructField(p, part(p)) for p in ("pick", "keywords", "fields")],
             T.StructField("bucket", T.IntegerType()),
         ])
+        store, inner = place_of(self.root)
+        store.create_dir(inner, recursive=True)
+        named = [f.base_name for f in store.get_file_info(FileSelector(inner)) if f.base_name.startswith("buckets=")]
+        if named and named != [f"buckets={buckets}"]:
+            raise ValueError(f"this table was made with {named[0]}")
+        store.create_dir(f"{inner}/buckets={buckets}")
         self.counts_schema = T.StructType([T.StructField("pick", T.StringType()), T.StructField("delta", T.LongType())])
 
+    def _folders(self, before: int | None) -> tuple[list[str], list[str]]:
+        """The newest finished folder of each bucket, and the older ones."""
+        store, inner = place_of(f"{self.root}/state")
+        newest: dict[str, int] = {}
+        found = []
+        for v in finished_versions(f"{self.root}/state", before):
+            for folder in store.get_file_info(FileSelector(f"{inner}/v={v}")):
+                if folder.base_name.startswith("bucket="):
+                    found.append((v, folder.base_name, folder.path))
+                    newest[folder.base_name] = max(v, newest.get(folder.base_name, v))
+        keep = [f"{self.root}/state/v={v}/{b}" for v, b, _ in found if newest[b] == v]
+        return keep, [path for v, b, path in found if newest[b] != v]
+
     def _newest(self, before: int | None) -> DataFrame:
-        rows = read_versions(self.spark, f"{self.root}/state", self.schema, before)
-        # At most one row per bucket, so this broadcast is bounded by design.
-        newest = rows.groupBy("bucket").agg(F.max("v").alias("v"))
-        return rows.join(F.broadcast(newest), ["bucket", "v"], "left_semi").drop("v")
+        folders, _ = self._folders(before)
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).option("basePath", f"{self.root}/state").parquet(*folders).select(self.schema.fieldNames())
 
     def read(self) -> DataFrame:
         return self._newest(None).drop("bucket")
@@ -61,13 +91,23 @@ class StateTable:
         old = self._newest(batch_id).join(F.broadcast(touched), "bucket", "left_semi")
         merged = merge_states(old.drop("bucket").unionByName(fresh.drop("bucket"))).withColumn("bucket", bucket)
         home = f"{self.root}/state/v={batch_id}"
-        merged.write.mode("overwrite").partitionBy("bucket").parquet(home)
+        # A bucket's rows go to a few files of their own, not to one per shuffle partition.
+        spread = F.pmod(F.xxhash64("path"), F.lit(4))
+        merged.repartition(F.col("bucket"), spread).write.mode("overwrite").partitionBy("bucket").parquet(home)
         new = self.spark.read.schema(self.schema).parquet(home)
         gone = self._newest(batch_id).join(F.broadcast(new.select("bucket").distinct()), "bucket", "left_semi")
         pick = F.coalesce("pick.value", F.lit("Unmarked")).alias("pick")
         delta = new.select(pick, F.lit(1).alias("d")).unionByName(gone.select(pick, F.lit(-1).alias("d")))
         delta.groupBy("pick").agg(F.sum("d").alias("delta")).write.mode("overwrite").parquet(f"{self.root}/counts/v={batch_id}")
 
+    def vacuum(self) -> int:
+        """Delete the buckets that a newer finished version has replaced; how many. Call it between batches."""
+        store, _ = place_of(self.root)
+        newest, old = self._folders(None)
+        for folder in old:
+            store.delete_dir(folder)
+        return len(old)
+
     def live_counts(self) -> DataFrame:
         """all, picked, rejected, unmarked over every path with an edit."""
         rows = read_versions(self.spark, f"{self.root}/counts", self.counts_schema)

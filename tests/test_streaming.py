@@ -143,3 +143,21 @@ def test_requests_coalesce_in_a_stream(spark, tmp_path):
     _run(L.dedupe_requests(_stream(spark, df, str(tmp_path), 3), ["image"]), str(tmp_path))
     assert sorted(r.image for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3]
     assert sorted((r.image, r.n) for r in L.dedupe_requests(df, ["image"]).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+
+
+def test_state_table_keeps_its_files_few(spark, tmp_path):
+    """Twenty batches of one path each: a read opens one version of a bucket, and vacuum leaves no other."""
+    log = edits(spark, *[(i, f"p{i}", "mark", "Picked") for i in range(3)])
+    table = StateTable(spark, str(tmp_path / "state"), log.schema, buckets=2)
+    files = set()
+    for i in range(20):
+        table.upsert(edits(spark, (100 + i, f"p{i % 3}", "mark", "Rejected")), i)
+        files.add(len(table._newest(None).inputFiles()))
+    assert max(files) <= 2 * 4
+    before = sorted(map(str, table.read().collect()))
+    assert table.vacuum() > 0 and table.vacuum() == 0
+    assert sorted(map(str, table.read().collect())) == before and len(before) == 3
+    (tmp_path / "state" / "state" / "v=99").mkdir()
+    assert table.read().count() == 3
+    with pytest.raises(ValueError, match="buckets=2"):
+        StateTable(spark, str(tmp_path / "state"), log.schema, buckets=4)
