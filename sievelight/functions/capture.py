@@ -62,6 +62,30 @@ def capture_context(exif_time: Column, mtime: Column, name: Column, camera: Colu
     ))
 
 
+# Layout versions of the enciphered block that hold the sequence fields, the places of
+# the fields in it, and its cipher: a byte p below 249 is written as p cubed modulo 249.
+SEQUENCE_VERSIONS = (0x23, 0x24, 0x26, 0x28, 0x31, 0x32, 0x33, 0x41, 0x43)
+RELEASE_MODE_AT, IMAGE_NUMBER_AT, CIPHER = 0x09, 0x12, 249
+
+
+def sequence_fields(block: Column) -> Column:
+    """Release mode and image number (from 1) of an enciphered block; NULL where its version has none."""
+    plain = list(range(256))
+    for p in range(CIPHER):
+        plain[p ** 3 % CIPHER] = p
+
+    def raw(at: int) -> Column:
+        return F.conv(F.hex(F.substring(block, at + 1, 1)), 16, 10).cast("int")
+
+    def byte(at: int) -> Column:
+        return F.element_at(F.array(*map(F.lit, plain)), raw(at) + 1)
+
+    number = sum((byte(IMAGE_NUMBER_AT + i).cast("bigint") * (1 << 8 * i) for i in range(1, 4)), byte(IMAGE_NUMBER_AT).cast("bigint"))
+    fields = F.struct(byte(RELEASE_MODE_AT).cast("bigint").alias("release_mode"),
+                      F.least(number + 1, F.lit(0xFFFFFFFF).cast("bigint")).alias("image_number"))
+    return F.when((F.octet_length(block) > IMAGE_NUMBER_AT + 3) & raw(0).isin(*SEQUENCE_VERSIONS), fields)
+
+
 def burst_seq(release_mode: Column, number: Column) -> Column:
     """Release mode 0 declares a single frame, whatever number it carries."""
     return F.when(release_mode == 0, F.lit(0)).otherwise(number)

@@ -13,12 +13,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievelight.functions.capture import burst_seq, valid_orientation
+from sievelight.functions.capture import burst_seq, sequence_fields, valid_orientation
 from sievelight.functions.text import ascii_lower, name_extension, normalize_make
 from sievelight.operators.previews import flag_implausible
 from sievelight.sources.jobs import per_file
 from sievelight.sources.places import reason_of
-from sievelight.sources.ranged import Ranged, exif_facts, jpeg_complete, jpeg_exif, preview_pointers
+from sievelight.sources.ranged import Ranged, exif_facts, jpeg_claims, jpeg_complete, jpeg_exif
 
 
 def _per_file(df: DataFrame, columns: list[str], content: str | None, schema: str,
@@ -65,8 +65,9 @@ def extract_capture_metadata(frames: DataFrame, content: str | None = None, task
     raw = _per_file(
         frames.withColumn("_jpeg", _is_jpeg(F.col("path"))), ["path", "_jpeg"], content,
         "path string, _jpeg boolean, make string, model string, serial string, capture_time string, subsec string, "
-        "release_mode long, image_number long, orientation int, error string", read, tasks)
-    sequence = F.when(~F.col("_jpeg"), burst_seq(F.col("release_mode"), F.col("image_number")))
+        "sequence_block binary, orientation int, error string", read, tasks)
+    raw = raw.withColumn("_fields", sequence_fields(F.col("sequence_block")))
+    sequence = F.when(~F.col("_jpeg"), burst_seq(F.col("_fields.release_mode"), F.col("_fields.image_number")))
     return raw.select(
         "path", F.when(F.col("_jpeg"), F.col("make")).otherwise(normalize_make(F.col("make"))).alias("make"),
         "model", "serial", "capture_time", "subsec", sequence.alias("sequence_number"),
@@ -80,15 +81,19 @@ def index_previews(frames: DataFrame, content: str | None = None, tasks: int | N
     array, so the checks need no shuffle.
     """
     def read(src: Ranged, row: dict) -> Iterator[dict]:
-        found, turn, error = preview_pointers(src)
-        yield {"size": src.size, "orientation": turn, "error": error, "found": found}
-
-    pointer = "array<struct<offset:bigint,len:bigint,width:int,height:int,whole_file:boolean>>"
-    files = _per_file(frames, ["path"], content,
-                      f"path string, size long, orientation int, error string, found {pointer}", read, tasks)
-    sound = F.filter("found", lambda p: (p["len"] > 0) & (p["offset"] + p["len"] <= F.col("size"))
+        yield {"size": src.size, **jpeg_claims(src)}
+
+    claim = ("array<struct<offset:bigint,len:bigint,width:bigint,height:bigint,own_width:bigint,own_height:bigint,"
+             "starts:boolean,whole_file:boolean,turn:bigint>>")
+    files = _per_file(frames, ["path"], content, f"path string, size long, error string, claims {claim}", read, tasks)
+    stated = lambda p: (p["width"] > 0) & (p["height"] > 0)
+    side = lambda p, name: F.when(stated(p), p[name]).otherwise(p[f"own_{name}"]).cast("int").alias(name)
+    found = F.transform(F.filter("claims", lambda p: p["starts"]), lambda p: F.struct(
+        p["offset"].alias("offset"), p["len"].alias("len"), side(p, "width"), side(p, "height"), p["whole_file"].alias("whole_file")))
+    sound = F.filter(found, lambda p: (p["len"] > 0) & (p["offset"] + p["len"] <= F.col("size"))
                      & (p["width"] > 0) & (p["height"] > 0))
-    files = files.withColumn("found", sound)
+    turn = F.get(F.filter(F.transform("claims", lambda p: p["turn"]), lambda t: t != 0), F.lit(0)).cast("int")
+    files = files.withColumns({"found": sound, "orientation": turn})
     first = F.filter("found", lambda p, i: F.array_position(F.transform("found", lambda q: q["offset"]), p["offset"]) == i + 1)
     previews = files.where("error is null").select(
         "path", valid_orientation(F.col("orientation")).alias("orientation"), F.explode(first).alias("p"))
