@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.packed import chunks
+from sievelight.sources.jobs import ship_package
 
 NONE = np.iinfo(np.int64).max
 CACHE_WORDS = 300_000
@@ -188,6 +189,7 @@ def encode(df: DataFrame, vocabulary: str, id_column: str = "doc_id", text_colum
     with open(vocabulary, encoding="utf-8") as f:
         text = f.read()
     shared = df.sparkSession.sparkContext.broadcast((hash(text), text))
+    ship_package(df.sparkSession)
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -210,6 +212,8 @@ def decode(df: DataFrame, vocabulary: str, ids_column: str = "ids", decoded: str
         text = f.read()
     shared = df.sparkSession.sparkContext.broadcast((hash(text), text))
 
+    ship_package(df.sparkSession)
+
     @F.pandas_udf("string")
     def run(column):
         vocabulary = _encoder(shared).vocabulary

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.packed import chunks, mix
 from sievelight.llm.tables import free_name, written
+from sievelight.sources.jobs import ship_package
 
 ORDER = 4
 HASH_BITS = 22
@@ -203,6 +204,7 @@ def build_model(counts: DataFrame) -> Model | None:
 
 def train_model(train: DataFrame) -> Model | None:
     """Models from ``train(text, lang)``; rows without a text or a language teach nothing."""
+    ship_package(train.sparkSession)
     return build_model(count_grams(train.where(F.col("text").isNotNull() & F.col("lang").isNotNull())))
 
 
@@ -220,6 +222,7 @@ def predict(df: DataFrame, model: Model | None, text_column: str = "text", prefi
             df = df.withColumnRenamed(name, free_name(df, name))
     kept = keep or [c for c in df.columns]
     rows = df if text_column in kept else df.select(*kept, text_column)
+    ship_package(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm.packed import chunks
+from sievelight.sources.jobs import ship_package
 
 # The kinds of the base patterns in their order, then those that cues add.
 BASE = ("email", "ip", "card", "phone")
@@ -127,6 +128,7 @@ def find_personal(df: DataFrame, id_column: str = "doc_id", text_column: str = "
     Spans count code points. A null or empty text has none; repeated rows and
     null ids pass as they are; other columns are not read.
     """
+    ship_package(df.sparkSession)
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
