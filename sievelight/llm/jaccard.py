@@ -211,14 +211,16 @@ def link_groups(docs: DataFrame, size: int = SHINGLE, bound: int = BOUND, keep:
     rows = docs.select("doc_id", "text")
     cut = written(tiles(rows, size, bound), "tiles")
     real = cut.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # Equal sets are folded to their smallest id before any tile is formed.
+    # Equal sets are folded to their smallest id, which alone stands in a block.
     copies = real.groupBy("c1", "c2").agg(F.min("doc_id").alias("same"), F.max("doc_id").alias("_high")).where("same < _high").drop("_high")
     copied = written(real.select("doc_id", "c1", "c2").join(copies, ["c1", "c2"]).where("doc_id <> same"), "copies")
-    single = real.join(copied, ["doc_id", "c1", "c2"], "left_anti")
-    keyed = single.select("doc_id", F.explode("keys").alias("key"))
+    # Ids with a set of their own; the keys stay out of this join, which is as narrow at every size.
+    own = real.select("doc_id", "c1", "c2").join(copied, ["doc_id", "c1", "c2"], "left_anti").select("doc_id").distinct()
+    keyed = real.select("doc_id", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
     # Merge joins, here and with the texts: one plan at every size, and a hot key's rows can be split.
     meets = keyed.join(shared.hint("merge"), "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
+    meets = meets.join(own.select(F.col("doc_id").alias("a")), "a", "left_semi")
     blocks = components(meets).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
     near = links(rows, written(blocks, "blocks"), size, bound)
     # A copy has the set of its smallest id, so one link stands for all of it.
