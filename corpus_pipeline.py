@@ -12,6 +12,10 @@ from sievelight.llm.tables import table, written
 # The stages learn from the corpus and fold it, which SQL over the tables does not express.
 ORACLE_SQL = None
 
+# Near-duplicates by five-word shingles; the three words and 90 of op7_jaccard are that query's contract only.
+NEAR_SHINGLE = 5
+NEAR_BOUND = 80  # hundredths
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language that the models accept."""
@@ -30,7 +34,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of each group of near-duplicates, and all documents outside groups."""
-    groups = jaccard.link_groups(docs, keep=["doc_id"])
+    groups = jaccard.link_groups(docs, size=NEAR_SHINGLE, bound=NEAR_BOUND, keep=["doc_id"])
     copies = written(groups.where("component_id <> doc_id").select("doc_id").distinct(), "group-copies")
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 

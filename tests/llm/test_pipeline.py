@@ -78,6 +78,35 @@ def test_stages(spark, corpus):
         assert np.frombuffer(r["ids"], "<u4").tolist() == want and r["n_tokens"] == len(want)
 
 
+def test_near_copies_of_scattered_changes_go(spark):
+    """The stage against all pairs at five words and 0.8, with copies that three words and 0.9 do not link."""
+    rng = random.Random(22)
+    texts = []
+    for n_words in (120, 200, 300):
+        words = prose(rng, n_words).split(" ")
+        texts.append(" ".join(words))
+        for changes in range(1, n_words // 30 + 1):
+            copy = list(words)
+            for k in range(changes):
+                copy[10 + k * (n_words - 20) // changes] = f"changed{k}"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()}
+
+    def left(size, bound):
+        sets = [shingles(t, size) for t in texts]
+        group = list(range(len(sets)))
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets[:i]):
+                if 100 * len(x & y) >= bound * len(x | y):
+                    low, high = sorted((group[i], group[j]))
+                    group = [low if g == high else g for g in group]
+        return set(group)
+
+    assert got == left(5, 80)
+    assert len(got) < len(left(3, 90))
+
+
 def test_run_equals_the_stages(spark, corpus):
     folder, tables = corpus
     got = [r.asDict() for r in corpus_pipeline.run(spark, folder).collect()]
