@@ -1,7 +1,7 @@
 """Personal data found from anchors.
 
-One automaton pass finds at-signs, schemes, plus-signs, digits and identifier
-cues. From each anchor a local parser expands to both sides as far as its kind
+One automaton pass finds at-signs, schemes, plus-signs, digits, identifier
+cues and the country codes of IBANs. From each anchor a local parser expands to both sides as far as its kind
 allows and validates the result, so the cost follows the number of anchors.
 Every row stands alone; texts of any length run in memory proportional to
 themselves.
@@ -30,10 +30,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'`{}|\\^]+")
 _IBAN = re.compile(r"[ :#=]{0,3}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
+# Characters of an IBAN by country, without spaces.
+_IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU",
+}
+_IBAN_CHARS = {code: n for n, codes in _IBAN_CHARS.items() for code in codes.split()}
 _ACCOUNT = re.compile(r"(?: (?:no|number|nr)\.?)?[ ]?[:#=]? ?([0-9](?:[ -]?[0-9]){5,19})", re.IGNORECASE)
 _SECRET = re.compile(r"[\"']? ?[:=] ?[\"']?([A-Za-z0-9_+/=-]{8,})")
 _DIGITS = re.compile(r"[^0-9]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_CAPITALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _CUES = {
     "iban": ("iban",), "account": ("account", "acct", "konto", "cuenta", "compte", "passport", "ssn"),
@@ -50,6 +59,8 @@ def automaton() -> ahocorasick.Automaton:
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize()}:
                 found.add_word(form, (kind, len(form)))
+    for code in _IBAN_CHARS:
+        found.add_word(code, ("code", len(code)))
     found.make_automaton()
     return found
 
@@ -67,6 +78,19 @@ def valid_iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int, end: int) -> int:
+    """Where the IBAN ends that begins a run of groups, by the length of its country; for other countries the longest run of whole groups; -1 if none."""
+    places = [i for i in range(start, end) if text[i] != " "]
+    chars = _IBAN_CHARS.get(text[start:start + 2])
+    for n in (chars,) if chars else range(len(places), 14, -1):
+        if n <= len(places):
+            stop = places[n - 1] + 1
+            inside = stop < len(text) and text[stop] in _CAPITALS
+            if not inside and valid_iban(text[start:stop]):
+                return stop
+    return -1
+
+
 def _octet(part: str) -> bool:
     part = part.lstrip("0")
     return len(part) < 3 or len(part) == 3 and part <= "255"
@@ -111,13 +135,19 @@ def find(text: str, marks: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
                 done["url"] = m.end()
                 if end > m.start():
                     out.append((start, end, "url"))
+        elif mark in ("iban", "code"):
+            # After its cue, or by itself where a country's code begins a word.
+            if at and (text[at - 1].isalpha() or mark == "code" and text[at - 1].isdigit()) or at < done["iban"]:
+                continue
+            if (m := _IBAN.match(text, at if mark == "code" else last + 1)) and (end := iban_end(text, m.start(1), m.end(1))) > 0:
+                done["iban"] = end
+                out.append((m.start(1), end, "iban"))
         else:
-            pattern = {"iban": _IBAN, "account": _ACCOUNT, "secret": _SECRET}[mark]
+            pattern = {"account": _ACCOUNT, "secret": _SECRET}[mark]
             if at and text[at - 1].isalpha() or at < done[mark] or not (m := pattern.match(text, last + 1)):
                 continue
-            if mark != "iban" or valid_iban(m[1]):
-                done[mark] = m.end(1)
-                out.append((m.start(1), m.end(1), mark))
+            done[mark] = m.end(1)
+            out.append((m.start(1), m.end(1), mark))
     out.sort(key=lambda s: (s[0], KINDS.index(s[2])))
     return out
 

@@ -126,6 +126,21 @@ def test_personal_cues():
     assert personal.find("IBAN: DE88 3704 0044 0532 0130 00, accountant 12345678", marks) == []
 
 
+def test_personal_iban_before_capitals_and_digits():
+    marks = personal.automaton()
+    german, french, norse = "DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3M02 606", "NO9386011117947"
+    for iban in (german, german.replace(" ", ""), french, norse):
+        for before in ("IBAN: ", "iban ", "Pay to ", "", "("):
+            for after in (" BIC COBADEFF", " Please pay", " 1234 5678 9012", " A", ") X", " " + german[:9], " and more", "", "."):
+                text = before + iban + after
+                spans = [(text[a:b], k) for a, b, k in personal.find(text, marks) if k == "iban"]
+                assert spans == [(iban, "iban")], text
+    assert [text for text in (german + "7", german.replace("89", "88"), "X" + german, "0" + german, german[:-1] + " BIC X")
+            if any(k == "iban" for *_, k in personal.find(text, marks))] == []
+    two = f"IBAN {german} {french} BIC"
+    assert [two[a:b] for a, b, k in personal.find(two, marks) if k == "iban"] == [german, french]
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     told = language.identify(docs, keep=["doc_id", "lang"]).where(language.held_out()).collect()
