@@ -165,6 +165,49 @@ def test_language_model_by_hand(spark):
         assert np.allclose(total, 1, atol=1e-3)
 
 
+def test_language_keeps_every_gram_apart(spark, monkeypatch):
+    """Counts, contexts and back-offs of a big alphabet by plain dictionaries, over many ranges and a small cache."""
+    monkeypatch.setattr(language, "RANGE_ROWS", 5000)
+    monkeypatch.setattr(language, "CACHE_BYTES", 100_000)
+    rng = random.Random(13)
+    rows = [(i, "".join(chr(0x4e00 + int(20000 * rng.random() ** 3)) for _ in range(rng.choice([1, 700]))), "xy"[i % 2]) for i in range(60)]
+    model = language.train_model(frame(spark, rows))
+    assert model.bits > 3 and model.n_bytes > language.CACHE_BYTES
+    pad = "\0" * (language.ORDER - 1)
+    seen = {x: [{} for _ in range(language.ORDER + 1)] for x in "xy"}
+    for _, text, lang in rows:
+        for i in range(len(text)):
+            g = (pad + text)[i:i + language.ORDER]
+            seen[lang][language.ORDER][g] = seen[lang][language.ORDER].get(g, 0) + 1
+    for grams in seen.values():
+        for k in range(language.ORDER - 1, 0, -1):
+            for g in grams[k + 1]:
+                grams[k][g[1:]] = grams[k].get(g[1:], 0) + 1
+    even = 1 / (len({*seen["x"][1], *seen["y"][1]}) + 1)
+    rules = {}
+    for lang, grams in seen.items():
+        for k in range(1, language.ORDER + 1):
+            once, twice = (sum(n == m for n in grams[k].values()) for m in (1, 2))
+            of = {}
+            for g, n in grams[k].items():
+                total, kinds = of.get(g[:-1], (0, 0))
+                of[g[:-1]] = total + n, kinds + 1
+            rules[lang, k] = min(max(once / (once + 2 * twice) if once else 0.5, 0.1), 0.9), of
+
+    def chance(lang, g):
+        if not g:
+            return even
+        discount, of = rules[lang, len(g)]
+        total, kinds = of.get(g[:-1], (0, 0))
+        lower = chance(lang, g[1:])
+        return (max(seen[lang][len(g)].get(g, 0) - discount, 0) + discount * kinds * lower) / total if total else lower
+
+    for text in (rows[1][1], rows[2][1], rows[3][1][:40] + rows[4][1][:40], "q"):
+        grams = language.Grams([text])
+        want = [[chance(x, (pad + text)[i:i + language.ORDER]) for x in "xy"] for i in range(len(text))]
+        assert np.allclose(model.score(grams, grams.at), np.log2(want), atol=1e-4)
+
+
 def test_language_messy(spark, messy_rows):
     docs = frame(spark, messy_rows)
     rows = language.identify(docs).collect()
