@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontaminate, importance, jaccard, language, linededup, personal, quality, sharding, suffix
+from sievelight.llm import bpe, decontaminate, importance, jaccard, language, licenses, linededup, personal, quality, sharding, suffix
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -164,3 +164,27 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["begin"])
     return done.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"),
                        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+_TEMPLATES = ", ".join(f"('{label}', {exact}, '{text}')" for exact, some in ((True, licenses.PHRASES), (False, licenses.NOTICES)) for text, label in some)
+
+
+@query("op11_licenses", r"""
+    WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    t AS (SELECT label, exact, string_split(words, ' ') AS p FROM (VALUES """ + _TEMPLATES + r""") AS v(label, exact, words)),
+    u AS (SELECT *, CAST(greatest(8, pow(2, ceil(log2(len(p))))) AS BIGINT) AS width, len(list_distinct(p)) AS size FROM t),
+    b AS (SELECT *, w[s + 1:s + 2 * width] AS span FROM (SELECT *, unnest(range(0, len(w), width)) AS s FROM w, u)),
+    m AS (SELECT *, len(list_intersect(list_distinct(p), span)) AS common FROM b),
+    h AS (SELECT *, CASE WHEN exact THEN list_transform(list_filter(range(0, width), lambda i: span[i + 1:i + len(p)] = p), lambda i: i + s) END AS places
+          FROM m WHERE 100 * common >= (CASE WHEN exact THEN 100 ELSE """ + str(licenses.BOUND) + r""" END) * size),
+    r AS (SELECT doc_id, coalesce(sum(len(places)), 0) AS n_base, min(list_min(places)) AS first_word, max(list_max(places)) AS last_word,
+                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE exact) AS base_labels,
+                 string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(common / size) AS score
+          FROM h WHERE NOT exact OR len(places) > 0 GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+    FROM w LEFT JOIN r USING (doc_id)""")
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return told.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
