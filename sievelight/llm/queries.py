@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievelight.llm import bpe, decontaminate, importance, jaccard, language, licenses, linededup, personal, quality, sharding, suffix
+from sievelight.llm import bpe, collocations, decontaminate, importance, jaccard, language, licenses, linededup, personal, quality, sharding, suffix, trie
 from sievelight.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -188,3 +188,48 @@ _TEMPLATES = ", ".join(f"('{label}', {exact}, '{text}')" for exact, some in ((Tr
 def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     told = licenses.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return told.withColumn("base_labels", F.array_join("base_labels", ",")).withColumn("labels", F.array_join("labels", ","))
+
+
+@query("op13_collocations", rf"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+                          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS g, count(*) AS f
+          FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) AS v(k)) GROUP BY ALL),
+    n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+    c AS (SELECT lang, k, g, f AS a, string_split(g, ' ') AS s FROM g WHERE k > 1 AND f >= {collocations.LEAST}),
+    cut AS (SELECT c.*, j, array_to_string(s[1:j], ' ') AS left_part, array_to_string(s[j + 1:], ' ') AS right_part
+            FROM c, (VALUES (1), (2)) AS v(j) WHERE j < k),
+    sc AS (SELECT cut.lang, cut.g, cut.k, a, s, j, x.f AS l, y.f AS r, CAST(a AS HUGEINT) * a * 1000000 // (CAST(x.f AS HUGEINT) * y.f) AS score
+           FROM cut JOIN g x ON x.lang = cut.lang AND x.g = left_part JOIN g y ON y.lang = cut.lang AND y.g = right_part),
+    best AS (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1),
+    held AS (SELECT lang, array_to_string(s[i:i + 1], ' ') AS g, max(a) AS longer FROM (SELECT *, unnest([1, 2]) AS i FROM c WHERE k = 3) GROUP BY ALL)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, best.g) AS rank, best.g AS phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM best LEFT JOIN held USING (lang, g) JOIN n USING (lang)
+    WHERE longer IS NULL OR 100 * longer < {collocations.SUBSUMED} * a
+    QUALIFY rank <= {collocations.TOP}""")
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_conversation_trie", r"""
+    WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM conversations WHERE conv_id IS NOT NULL),
+    c AS (SELECT conv_id, list(struct_pack(k := md5(strlen(role) || ':' || role || text), n := length(text)) ORDER BY i) AS s FROM t GROUP BY conv_id),
+    h AS (SELECT *, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                    lambda acc, b: list_reduce(list_prepend(xor(acc, b), range(8)), lambda x, j: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)),
+                    4294967295) % 6 AS h FROM c),
+    r AS (SELECT h.conv_id, list_concat(coalesce(b.s[1:h], []), h.s[h + 1:]) AS s FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100),
+    k AS (SELECT conv_id, list_transform(s, lambda x: x.k) AS k, s FROM r),
+    p AS (SELECT conv_id, d, array_to_string(k[1:d], ',') AS p, array_to_string(k[1:d - 1], ',') AS up, s[d].n AS n, d = len(s) AS ends
+          FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM k)),
+    n AS (SELECT p, d, min(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * coalesce(min(n), 0) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM p GROUP BY p, d),
+    ch AS (SELECT up AS p, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+    f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN ch USING (p)),
+    a AS (SELECT array_to_string(l[1:d], ',') AS p, sum(saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+          FROM (SELECT CASE WHEN d = 0 THEN [] ELSE string_split(p, ',') END AS l, saved, n_children, unnest(range(0, d + 1)) AS d FROM f) GROUP BY 1)
+    SELECT f.conv_id, f.d AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, a.n_leaves, CAST(a.saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+    FROM f JOIN a USING (p) LEFT JOIN n u ON f.d > 0 AND u.p = f.up""")
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(table(spark, sf_dir, "conversations"))))
