@@ -166,7 +166,7 @@ def read_off(lang: str, x: np.ndarray, y: np.ndarray, z: np.ndarray, n: np.ndarr
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
     at = np.flatnonzero(new)
     total = np.add.reduceat(n, at)
-    longest = np.maximum.reduceat(np.where(z != END, n, 0), at)
+    longest = np.maximum.reduceat(np.where((z != END) & (n >= least), n, 0), at)
     first = np.flatnonzero(np.concatenate([[True], x[at][1:] != x[at][:-1]]))
     counted = np.add.reduceat(total, first)
     yield _rows("word", lang, len(first), x=pa.array(signed(x[at][first])), n=pa.array(counted))
