@@ -56,6 +56,7 @@ def templates(docs: DataFrame, phrases: list[tuple[str, str]], notices: list[tup
     """
     given = [(label, exact, text) for exact, some in ((True, phrases), (False, notices)) for text, label in some]
     entries = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(e).alias("exact"), F.lit(t).alias("text")) for x, e, t in given])
+    entries = entries.cast("array<struct<label: string, exact: boolean, text: string>>")
     rows = docs.sparkSession.range(1).select(F.posexplode(entries).alias("template", "_given")).select("template", "_given.*")
     rows = rows.withColumn("words", words_of(F.col("text"))).where(F.size("words") > 0)
     vocabulary = rows.select(F.explode("words").alias("term")).distinct()
