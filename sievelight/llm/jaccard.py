@@ -3,13 +3,16 @@
 Sets are cut by size into bands, and a set that may link to a smaller one of the band
 below stands in that band too. In a band the hash range is cut into more parts
 than two linked sets can differ in shingles, so linked sets agree entirely in at least one
-part: a tile is a band and the content of one part. Rows of a tile meet through its smallest id only. Sets
-that meet, directly or in a chain, form a block that holds every link of its members.
+part: a tile is a band and the content of one part. Empty parts are no tiles. If linked sets differ in
+``d`` shingles at most, one of more than ``d`` filled parts agrees with its partner in a filled part. Sets with fewer (small ones, by
+chance) stand in the tiles of their first shingles as well, of which two linked sets must share one.
 
-Inside a block each set has a hashed bitmap. ``|A| - |bits of A not in B|`` bounds the overlap from
-above; pairs that pass are intersected as sorted arrays. A block's sets are
-compared with its smallest member first. Only where some do not link to it are pairs of
-slices of the block compared, and pairs already connected are skipped.
+Each set is compared with the smallest id it meets in any tile. That links most families whole. Tiles
+that then still hold sets of two or more components are compared inside: every set outside the tile's largest
+component with every set of another component, slice by slice. Tiles of the same sets are compared once.
+
+Each set has a hashed bitmap. ``|A| - |bits of A not in B|`` bounds the overlap from
+above; pairs that pass are intersected as sorted arrays, unless they are connected already.
 """
 
 from __future__ import annotations
@@ -19,17 +22,19 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievelight.llm.groups import components
+from sievelight.llm.groups import components, spread_join
 from sievelight.llm.packed import LOWER, chunks, mix, signed, span_hashes, text_bytes, words
 from sievelight.llm.tables import free_name, written
 
 SHINGLE = 3
 BOUND = 90  # hundredths
 BITMAP_BYTES = 512
-SLICE = 512
+SLICE = 512  # sets of a tile that are compared in one task with as many others,
+SLICE_SHINGLES = 1 << 20  # or fewer, if they have more shingles than this
+PARTS = 1.2  # parts of a band for each one that linked sets need
 
 
 def shingle_sets(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -67,14 +72,14 @@ def band_of(n: int, bound: int) -> int:
     return band
 
 
-def parts_of(band: int, bound: int) -> int:
-    """One more part than the shingles by which two linked sets that stand in a band can differ."""
+def most_different(band: int, bound: int) -> int:
+    """Shingles by which two linked sets that stand in a band can differ."""
     edge = band_edge(band + 1, bound)
-    return int((edge + edge * 100 / bound) * (100 - bound) / (100 + bound) + 1e-6) + 1
+    return int((edge + edge * 100 / bound) * (100 - bound) / (100 + bound) + 1e-6)
 
 
 def tile_keys(hashes: np.ndarray, bound: int) -> np.ndarray:
-    """Keys of the tiles of one set: one per part of each band where it stands."""
+    """Keys of the tiles of one set: one per filled part of each band where it stands, and those of first shingles if these are few."""
     n = len(hashes)
     band = band_of(n, bound)
     bands = [band, band - 1] if band and n * bound < 100 * band_edge(band, bound) + 1 else [band]
@@ -82,12 +87,18 @@ def tile_keys(hashes: np.ndarray, bound: int) -> np.ndarray:
     np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
     out = []
     for b in bands:
-        parts = parts_of(b, bound)
+        differ = most_different(b, bound)
+        parts = int(PARTS * (differ + 1))
         # A part is a range of the hash space, so its content is a slice of the sorted set.
         cuts = np.searchsorted(hashes, (np.arange(1, parts) * (2.0 ** 64 / parts)).astype(np.uint64))
         edges = np.concatenate([[0], cuts, [n]])
-        content = sums[edges[1:]] - sums[edges[:-1]] + np.diff(edges).astype(np.uint64)
-        out.append(mix(content * np.uint64(3) + mix(np.arange(parts, dtype=np.uint64) + np.uint64(1_000_003 * (b + 1)))))
+        size = np.diff(edges)
+        filled = np.flatnonzero(size)
+        content = (sums[edges[1:]] - sums[edges[:-1]] + size.astype(np.uint64))[filled]
+        out.append(mix(content * np.uint64(3) + mix(filled.astype(np.uint64) + np.uint64(1_000_003 * (b + 1)))))
+        if len(filled) <= differ:
+            first = hashes[:n - -(-n * bound // 100) + 1]
+            out.append(mix(first * np.uint64(5) + mix(np.full(1, 1_000_003 * (b + 1) - 1, np.uint64))))
     return np.concatenate(out)
 
 
@@ -130,71 +141,128 @@ def may_link(sizes: np.ndarray, maps: np.ndarray, size: int, one: np.ndarray, bo
     return 100 * most >= bound * (sizes + size - most)
 
 
-def links_within(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, bound: int) -> list[tuple]:
-    """Links that join into one group all that link, between rows of ``left`` and of ``right`` (flags); connected pairs are skipped."""
+def links_within(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, bound: int, group: np.ndarray | None = None) -> list[tuple]:
+    """Links that join into one group all that link, between rows of ``left`` and of ``right`` (flags).
+
+    ``group`` numbers what is connected already; such pairs are skipped.
+    """
     order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order])
     maps = np.stack([bitmap(sets[i]) for i in order]) if order else np.zeros((0, BITMAP_BYTES), np.uint8)
-    group = np.arange(len(order))
+    group = np.arange(len(order)) if group is None else group[order]
     left, right = left[order], right[order]
     out = []
     for i in range(len(order)):
         end = int(np.searchsorted(sizes, sizes[i] * 100 // bound, "right"))
         rest = slice(i + 1, end)
-        wanted = (left[i] & right[rest]) | (right[i] & left[rest])
-        for j in i + 1 + np.flatnonzero(wanted & may_link(sizes[rest], maps[rest], int(sizes[i]), maps[i], bound)):
+        wanted = ((left[i] & right[rest]) | (right[i] & left[rest])) & (group[rest] != group[i])
+        near = i + 1 + np.flatnonzero(wanted)
+        if len(near):
+            near = near[may_link(sizes[near], maps[near], int(sizes[i]), maps[i], bound)]
+        for j in near:
             if group[i] != group[j] and similar(sets[order[i]], sets[order[j]], bound):
                 group[group == group[j]] = group[i]
                 out.append((ids[order[i]], ids[order[j]]))
     return out
 
 
-def links(docs: DataFrame, blocks: DataFrame, size: int, bound: int) -> DataFrame:
-    """Links ``(a, b)`` whose components are those of all links, between the rows of each block (``doc_id, block``)."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+def meetings(keyed: DataFrame) -> DataFrame:
+    """``key, doc_id, low`` for every row of ``keyed`` (``key, doc_id``) that is not the smallest of its tile, ``low``.
+
+    Keys are dealt once and their rows come in order, so a tile is never held as a whole.
+    """
+    low = F.first("doc_id").over(Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return keyed.select("key", "doc_id", low.alias("low")).where("doc_id <> low").distinct()
+
+
+def _set(column: pa.Array) -> list[np.ndarray]:
+    return [np.asarray(x, np.int64).view(np.uint64) for x in column.to_numpy(zero_copy_only=False)]
+
+
+def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``shingles`` of the rows of ``docs`` that ``wanted`` names, with all columns of ``wanted``."""
+    types = [(f.name, f.dataType.simpleString()) for f in wanted.schema.fields]
+    names = [name for name, _ in types]
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, at = shingle_sets(batch, size)
             yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("block"),
-                pa.array([signed(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))],
-                ["doc_id", "block", "shingles"])
+                *(batch.column(c) for c in names),
+                pa.array([signed(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))], [*names, "shingles"])
+
+    rows = docs.join(wanted, "doc_id").select(*names, "text")
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types) + ", shingles array<long>")
+
 
-    members = docs.join(blocks.hint("merge"), "doc_id").select("doc_id", "block", "text").mapInArrow(
-        sets_of, f"doc_id {id_type}, block {id_type}, shingles array<long>")
-    members = written(members, "block-sets")
-    centre = members.where(F.col("doc_id") == F.col("block")).select("block", F.col("shingles").alias("centre"))
+def star_links(sets: DataFrame, bound: int) -> DataFrame:
+    """Links ``(a, b)`` between each row of ``sets`` and the row whose id is its ``star``."""
+    id_type = sets.schema["doc_id"].dataType.simpleString()
+    centre = sets.where("centre").select(F.col("doc_id").alias("star"), F.col("shingles").alias("other"))
 
     def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.asarray(x, np.int64).view(np.uint64) for x in batch.column("shingles").to_numpy(zero_copy_only=False)]
-            mid = [np.asarray(x, np.int64).view(np.uint64) for x in batch.column("centre").to_numpy(zero_copy_only=False)]
             linked = [bool(may_link(np.array([len(a)]), bitmap(a)[None], len(b), bitmap(b), bound)[0]) and similar(a, b, bound)
-                      for a, b in zip(own, mid, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), pa.array(linked)], ["doc_id", "block", "linked"])
-
-    star = written(members.join(centre, "block").mapInArrow(against, f"doc_id {id_type}, block {id_type}, linked boolean"), "stars")
-    direct = star.where("linked").select(F.col("doc_id").alias("a"), F.col("block").alias("b"))
-    # Rows off the centre meet all rows of their block, slice by slice; there are slices of both.
-    loose = star.where("NOT linked").select("doc_id", "block").distinct()
-    sizes = members.groupBy("block").count().join(loose.groupBy("block").agg(F.count("*").alias("n_loose")), "block")
-    sizes = written(sizes.select("block", F.ceil(F.col("count") / SLICE).alias("parts"), F.ceil(F.col("n_loose") / SLICE).alias("homes")), "open-blocks")
-    inside = members.join(sizes, "block")
-    right = inside.select("doc_id", "block", "shingles", F.lit(False).alias("loose"), F.pmod(F.xxhash64("doc_id"), "parts").alias("part"),
+                      for a, b in zip(_set(batch.column("shingles")), _set(batch.column("other")), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("star")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+
+    pairs = sets.where("doc_id <> star").join(centre, "star").select("doc_id", "star", "shingles", "other")
+    return pairs.mapInArrow(against, f"a {id_type}, b {id_type}")
+
+
+def open_tiles(placed: DataFrame) -> DataFrame:
+    """``key, main, parts, homes`` of the tiles of ``placed`` (``key, doc_id, n, component``) that hold two components or more.
+
+    ``main`` is the tile's largest component. Of tiles with the same sets one is left.
+    """
+    counted = placed.groupBy("key", "component").agg(
+        F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("sign"))
+    tile = counted.groupBy("key").agg(
+        F.max(F.struct("rows", "component")).alias("most"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("sign").alias("sign"),
+        F.count("*").alias("components")).where("components > 1")
+    tile = tile.groupBy("sign", "rows", "n").agg(F.min("key").alias("key"), F.first("most").alias("most"))
+    loose = F.col("rows") - F.col("most.rows")
+    slices = F.greatest(F.ceil(F.col("rows") / SLICE), F.ceil(F.col("n") / SLICE_SHINGLES))
+    return tile.select("key", F.col("most.component").alias("main"), slices.alias("parts"), F.ceil(slices * loose / F.col("rows")).alias("homes"))
+
+
+def tile_links(placed: DataFrame, opened: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
+    """Links ``(a, b)`` that join into one component all sets that link inside an open tile."""
+    id_type = placed.schema["doc_id"].dataType.simpleString()
+    inside = placed.join(opened, "key").join(sets.where("own").select("doc_id", "shingles"), "doc_id")
+    row = ["key", "doc_id", "component", "shingles"]
+    right = inside.select(*row, F.lit(False).alias("loose"), F.pmod(F.xxhash64("doc_id"), "parts").alias("part"),
                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)).alias("home"))
-    left = inside.join(loose, ["doc_id", "block"], "left_semi").select(
-        "doc_id", "block", "shingles", F.lit(True).alias("loose"),
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("doc_id"), "homes").alias("home"))
+    left = inside.where("component <> main").select(
+        *row, F.lit(True).alias("loose"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
+        F.pmod(F.xxhash64("doc_id"), "homes").alias("home"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         sets = [np.asarray(x, np.int64).view(np.uint64) for x in frame["shingles"]]
-        at_home = frame["loose"].to_numpy(bool)
-        found = links_within(list(frame["doc_id"]), sets, at_home, ~at_home, bound)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    pairs = left.unionByName(right).groupBy("block", "home", "part").applyInPandas(compare, f"a {id_type}, b {id_type}")
-    return direct.unionByName(pairs)
+        loose = frame["loose"].to_numpy(bool)
+        group = pd.factorize(frame["component"])[0]
+        return pd.DataFrame(links_within(list(frame["doc_id"]), sets, loose, ~loose, bound, group), columns=["a", "b"])
+
+    return left.unionByName(right).groupBy("key", "home", "part").applyInPandas(compare, f"a {id_type}, b {id_type}")
+
+
+def set_links(docs: DataFrame, keyed: DataFrame, size: int, bound: int) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all links between the rows of ``docs`` whose tile ``keyed`` tells."""
+    meets = written(meetings(keyed), "meetings")
+    lows = meets.select(F.col("low").alias("doc_id")).distinct()
+    stars = meets.groupBy("doc_id").agg(F.min("low").alias("star"))
+    # A set's own row: that with its star, or for one that is the smallest of all its tiles the row as a centre.
+    centres = lows.join(stars, "doc_id", "left").select("doc_id", F.col("doc_id").alias("star"), F.lit(True).alias("centre"), F.isnull("star").alias("own"))
+    wanted = written(stars.select("doc_id", "star", F.lit(False).alias("centre"), F.lit(True).alias("own")).unionByName(centres), "stars")
+    sets = written(set_table(docs, wanted, size), "sets")
+    direct = written(star_links(sets, bound), "direct")
+    known = components(direct).withColumnRenamed("node", "doc_id")
+    own = sets.where("own").groupBy("doc_id").agg(F.max(F.size("shingles")).alias("n"))
+    where = own.join(known, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    members = meets.select("key", "doc_id").unionByName(meets.select("key", F.col("low").alias("doc_id")).distinct())
+    placed = written(members.join(where, "doc_id"), "placed")
+    opened = written(open_tiles(placed), "open-tiles")
+    return direct.unionByName(tile_links(placed, opened, sets, bound))
 
 
 def link_groups(docs: DataFrame, size: int = SHINGLE, bound: int = BOUND, keep: list[str] | None = None) -> DataFrame:
@@ -211,18 +279,12 @@ def link_groups(docs: DataFrame, size: int = SHINGLE, bound: int = BOUND, keep:
     rows = docs.select("doc_id", "text")
     cut = written(tiles(rows, size, bound), "tiles")
     real = cut.where("doc_id IS NOT NULL AND n_shingles > 0")
-    # Equal sets are folded to their smallest id, which alone stands in a block.
-    copies = real.groupBy("c1", "c2").agg(F.min("doc_id").alias("same"), F.max("doc_id").alias("_high")).where("same < _high").drop("_high")
-    copied = written(real.select("doc_id", "c1", "c2").join(copies, ["c1", "c2"]).where("doc_id <> same"), "copies")
-    # Ids with a set of their own; the keys stay out of this join, which is as narrow at every size.
-    own = real.select("doc_id", "c1", "c2").join(copied, ["doc_id", "c1", "c2"], "left_anti").select("doc_id").distinct()
-    keyed = real.select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("key", "low")
-    # Merge joins, here and with the texts: one plan at every size, and a hot key's rows can be split.
-    meets = keyed.join(shared.hint("merge"), "key").where("doc_id <> low").select(F.col("doc_id").alias("a"), F.col("low").alias("b")).distinct()
-    meets = meets.join(own.select(F.col("doc_id").alias("a")), "a", "left_semi")
-    blocks = components(meets).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
-    near = links(rows, written(blocks, "blocks"), size, bound)
+    # Equal sets are folded to their smallest id, which alone stands in tiles.
+    copies = real.groupBy("c1", "c2").agg(F.min("doc_id").alias("same"), F.max("doc_id").alias("_high"), F.count("*").alias("_rows")).where("same < _high").drop("_high")
+    copied = spread_join(real.select("doc_id", "c1", "c2"), copies, ["c1", "c2"], "_rows", ["doc_id"])
+    copied = written(copied.where("doc_id <> same").select("doc_id", "c1", "c2", "same"), "copies")
+    keyed = real.join(copied, ["doc_id", "c1", "c2"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
+    near = set_links(rows, keyed, size, bound)
     # A copy has the set of its smallest id, so one link stands for all of it.
     all_links = near.unionByName(copied.select(F.col("doc_id").alias("a"), F.col("same").alias("b")))
     found = written(components(all_links), "components").select(F.col("node").alias("doc_id"), F.col("component"))

@@ -4,7 +4,9 @@ Every measure is counted in the plan from the whole text. Its quantile sketch is
 a histogram over values cut to six significant binary digits, so a quantile is
 off by at most 1/32 of its value; sketches merge by adding counts, which gives the
 sketch of a language, and of everything, from those of its sources. The limits of
-a group are Tukey fences around its quartiles and are joined back to its documents.
+a group are Tukey fences around its quartiles, moved out to its 99th (and 1st) percentile and three steps of
+the sketch where that lies further out, as in groups where most texts have none of what is measured. There
+is no fixed limit: what fails in a clean source may pass in one full of it. Limits are joined back to the documents.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from pyspark.sql import functions as F
 
 from sievelight.llm.tables import written
 
-# Measure: (the least spread its quartiles count as, whether low values fail too).
+# Measures, and whether low values fail too.
 MEASURES = {
-    "symbols": (20, False),  # symbols per 1,000 words
-    "word_length": (50, True),  # characters per 100 words
-    "dup_lines": (200, False),  # repeated lines per 1,000 lines
-    "repeats": (100, False),  # words in repeated windows per 1,000 words
+    "symbols": False,  # symbols per 1,000 words
+    "word_length": True,  # characters per 100 words
+    "dup_lines": False,  # repeated lines per 1,000 lines
+    "repeats": False,  # words in repeated windows per 1,000 words
 }
 FENCE = 3
 GROUP_ROWS = 200
@@ -125,14 +127,20 @@ def fences(sketch: DataFrame, groups: tuple[str, str] = ("lang", "source")) -> D
     upto = whole.orderBy("value")
     ranked = every.withColumn("_upto", F.sum("n").over(upto)).withColumn("_total", F.sum("n").over(whole))
 
-    def quartile(q: int) -> Column:
-        return F.min(F.when(F.col("_upto") * 4 >= F.col("_total") * q, F.col("value")))
+    def quantile(hundredths: int) -> Column:
+        return F.min(F.when(F.col("_upto") * 100 >= F.col("_total") * hundredths, F.col("value")))
 
-    quartiles = ranked.groupBy(*key).agg(quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("_total").alias("rows"))
-    spread = F.greatest(F.col("q3") - F.col("q1"), F.element_at(F.create_map(
-        *[F.lit(x) for m, (least, _) in MEASURES.items() for x in (m, least)]), F.col("measure"))) * FENCE
-    both = F.col("measure").isin([m for m, (_, two) in MEASURES.items() if two])
-    fenced = quartiles.select(*key, "rows", F.when(both, F.col("q1") - spread).otherwise(0).alias("low"), (F.col("q3") + spread).alias("high"))
+    quartiles = ranked.groupBy(*key).agg(*[quantile(q).alias(f"q{q}") for q in (1, 25, 75, 99)], F.max("_total").alias("rows"))
+    spread = (F.col("q75") - F.col("q25")) * FENCE
+
+    def steps(value: str) -> Column:
+        """Three steps of the sketch at a value: a 32nd of it, or one."""
+        return F.greatest(F.expr(f"{value} DIV 32"), F.lit(1)) * FENCE
+
+    both = F.col("measure").isin([m for m, two in MEASURES.items() if two])
+    fenced = quartiles.select(
+        *key, "rows", F.when(both, F.least(F.col("q25") - spread, F.col("q1") - steps("q1"))).otherwise(0).alias("low"),
+        F.greatest(F.col("q75") + spread, F.col("q99") + steps("q99")).alias("high"))
     pairs = fenced.where("_level = 0").drop("_level").alias("p")
     firsts = fenced.where("_level = 1").alias("f")
     alls = fenced.where("_level = 2").alias("a")

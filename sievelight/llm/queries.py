@@ -91,12 +91,11 @@ _LEVELS = {0: ("lang", "source"), 1: ("lang", "NULL"), 2: ("NULL", "NULL")}
                                    for m, sql in _RATES.items()) + """),
     c AS (SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS v
           FROM v WHERE v IS NOT NULL),
-    lv AS (""" + " UNION ALL ".join(f"SELECT {i} AS level, {a} AS lang, {s} AS source, measure, v FROM c" for i, (a, s) in _LEVELS.items()) + """),
-    f AS (SELECT level, lang, source, measure, count(*) AS n, quantile_disc(v, 0.25) AS q1, quantile_disc(v, 0.75) AS q3
-          FROM lv GROUP BY ALL),
-    g AS (SELECT *, CASE measure """ + " ".join(f"WHEN '{m}' THEN {s}" for m, (s, _) in quality.MEASURES.items()) + f""" END AS least FROM f),
-    h AS (SELECT *, CASE WHEN measure = 'word_length' THEN q1 - {quality.FENCE} * greatest(q3 - q1, least) ELSE 0 END AS low,
-                 q3 + {quality.FENCE} * greatest(q3 - q1, least) AS high FROM g),
+    lv AS (""" + " UNION ALL ".join(f"SELECT {i} AS level, {a} AS lang, {s} AS source, measure, v FROM c" for i, (a, s) in _LEVELS.items()) + f"""),
+    l AS (SELECT level, lang, source, measure, count(*) AS n, list_sort(list(v)) AS v FROM lv GROUP BY ALL),
+    f AS (SELECT *, v[(n + 3) // 4] AS q25, v[(3 * n + 3) // 4] AS q75, v[(n + 99) // 100] AS q1, v[(99 * n + 99) // 100] AS q99 FROM l),
+    h AS (SELECT *, CASE WHEN measure = 'word_length' THEN least(q25 - 3 * (q75 - q25), q1 - 3 * greatest(q1 // 32, 1)) ELSE 0 END AS low,
+                 greatest(q75 + 3 * (q75 - q25), q99 + 3 * greatest(q99 // 32, 1)) AS high FROM f),
     lim AS (SELECT p.lang, p.source, p.measure,
                    CASE WHEN p.n >= {quality.GROUP_ROWS} THEN p.low WHEN q.n >= {quality.GROUP_ROWS} THEN q.low ELSE r.low END AS low,
                    CASE WHEN p.n >= {quality.GROUP_ROWS} THEN p.high WHEN q.n >= {quality.GROUP_ROWS} THEN q.high ELSE r.high END AS high

@@ -115,5 +115,24 @@ def test_quality_fences_adapt(spark):
     assert not kept[5000] and sum(kept[i] for i in range(300)) == 300 and sum(kept[1000 + i] for i in range(300)) == 300
 
 
+def test_repeaters_fail_in_a_clean_source_only(spark):
+    """A quarter of repeated words, or half the lines, is too much where others have none and common where most have it."""
+    rng = random.Random(17)
+
+    def repeater():
+        phrase = prose(rng, 9)
+        return " ".join([prose(rng, 27), phrase, prose(rng, 27), phrase])
+
+    def lines():
+        return "\n".join([prose(rng, 12), *[prose(rng, 3)] * 4, prose(rng, 12), prose(rng, 12)])
+
+    rows = [(i, prose(rng, 72), "en", "clean") for i in range(300)]
+    rows += [(1000 + i, repeater(), "en", "songs") for i in range(300)] + [(2000 + i, lines(), "en", "lists") for i in range(300)]
+    rows += [(5000, repeater(), "en", "clean"), (5001, lines(), "en", "clean")]
+    kept = {r.doc_id: r.kept for r in quality.judge(frame(spark, rows)).collect()}
+    assert not kept[5000] and not kept[5001]
+    assert all(sum(kept[a + i] for i in range(300)) >= 297 for a in (0, 1000, 2000))
+
+
 def test_quality_equals_sql(spark):
     assert oracle.compare(spark, oracle.duck(SMALL), QUERIES["op2_quality"], ORACLES["op2_quality"], SMALL) is None
