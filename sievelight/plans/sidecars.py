@@ -16,11 +16,9 @@ from sievelight.sources.transfer import copy_files, hash_files, write_sidecar_fi
 def _state(spark, sf):
     """A document is one image: whole text as description, language and source as keywords."""
     pick = F.when(F.col("lang") == "de", "Picked").when(F.col("lang") == "fr", "Rejected").otherwise("Unmarked")
-    words = F.when(F.col("lang") != "es", F.array("lang", F.concat(F.lit("a&b <"), F.col("source")))).otherwise(
-        F.array().cast("array<string>"))
     return table(spark, sf, "documents").select(
-        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".ARW")).alias("path"), pick.alias("pick"), words.alias("keywords"),
-        F.when(F.col("lang") != "es", F.col("text")).alias("description"),
+        "doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".ARW")).alias("path"), pick.alias("pick"),
+        F.array("lang", F.concat(F.lit("a&b <"), F.col("source"))).alias("keywords"), F.col("text").alias("description"),
         F.when(F.col("lang") == "en", F.col("source")).alias("city"))
 
 
@@ -51,8 +49,8 @@ _HEAD = _lines("'<?xpacket begin=\"\" id=\"W5M0MpCehiHzreSzNTczkc9d\"?>'",
                "' <rdf:RDF xmlns:rdf=\"http://www.w3.org/1999/02/22-rdf-syntax-ns#\">'", "'  <rdf:Description rdf:about=\"\"'")
 _XMP = 'xmlns:xmp="http://ns.adobe.com/xap/1.0/"'
 _TAIL = _lines("''", "'  </rdf:Description>'", "' </rdf:RDF>'", "'</x:xmpmeta>'", "'<?xpacket end=\"w\"?>'", "''")
-_XML = (f"{_HEAD} || CASE WHEN lang = 'es' THEN chr(10) || '    {_XMP}' || {_RATING.format('')} || '>' "
-        f"ELSE ' {_XMP}' || {_RATING.format(' ')} || '{_SPACES}>' || {_BLOCK} END || {_TAIL}")
+_XML = f"{_HEAD} || ' {_XMP}' || {_RATING.format(' ')} || '{_SPACES}>' || {_BLOCK} || {_TAIL}"
+_MARKS = f"{_HEAD} || chr(10) || '    {_XMP}' || {_RATING.format(chr(10) + '    ')} || '>' || {_TAIL}"
 
 
 @query("render_sidecars", f"SELECT doc_id, md5({_XML}) AS xml FROM documents")
@@ -60,12 +58,21 @@ def render_sidecars(spark, sf):
     return _rendered(spark, sf).select("doc_id", F.md5("xml").alias("xml"))
 
 
+def _marks(spark, sf):
+    """Sidecars of marks alone, without keywords and texts."""
+    return _state(spark, sf).withColumn("xml", X.render_sidecar(F.col("pick"), F.array().cast("array<string>"), {}))
+
+
+@query("render_sidecars_marks", f"SELECT doc_id, {_MARKS} AS xml FROM documents")
+def render_sidecars_marks(spark, sf):
+    return _marks(spark, sf).select("doc_id", "xml")
+
+
 @query("read_sidecars", r"""
 WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '[\x00-\x1f\x7f-\x9f]', '', 'g')) AS t FROM documents)
 SELECT CAST(doc_id AS VARCHAR) || '.ARW' AS path,
   CASE lang WHEN 'de' THEN 'Picked' WHEN 'fr' THEN 'Rejected' ELSE 'Unmarked' END AS pick,
-  CASE WHEN lang = 'es' THEN '' ELSE lang || '|a&b <' || source END AS keywords,
-  CASE WHEN lang <> 'es' AND t <> '' THEN md5(t) END AS description, CASE WHEN lang = 'en' THEN source END AS city, CAST(NULL AS VARCHAR) AS error
+  lang || '|a&b <' || source AS keywords, CASE WHEN t <> '' THEN md5(t) END AS description, CASE WHEN lang = 'en' THEN source END AS city, CAST(NULL AS VARCHAR) AS error
 FROM d""")
 def read_sidecars(spark, sf):
     parsed = X.parse_sidecars(_rendered(spark, sf), "xml")
@@ -87,7 +94,6 @@ WITH x AS (SELECT doc_id, lang, {_XML} AS xml FROM documents)
 SELECT CAST(doc_id AS VARCHAR) || '.ARW' AS path, md5(CASE lang
    WHEN 'de' THEN replace(xml, ' xmp:Rating="1"{_SPACES}>', '{_SPACES} xmp:Rating="-1">')
    WHEN 'fr' THEN replace(xml, ' xmp:Rating="-1"{_SPACES}>', '{_SPACES} xmp:Rating="-1">')
-   WHEN 'es' THEN replace(xml, chr(10) || '    {_XMP}>', ' {_XMP} xmp:Rating="-1">')
    ELSE replace(xml, '{_SPACES}>', '{_SPACES} xmp:Rating="-1">') END) AS xml, CAST(NULL AS VARCHAR) AS error FROM x""")
 def rewrite_sidecars(spark, sf):
     """Every image is rejected; all other bytes of its sidecar stay."""
@@ -95,10 +101,18 @@ def rewrite_sidecars(spark, sf):
     return out.select("path", F.md5("xml").alias("xml"), "error")
 
 
-@query("rewrite_sidecars_stable", f"""SELECT CAST(doc_id AS VARCHAR) || '.ARW' AS path, md5({_XML}) AS xml FROM documents WHERE lang <> 'es'""")
+@query("rewrite_sidecars_marks", f"""
+SELECT CAST(doc_id AS VARCHAR) || '.ARW' AS path, {_HEAD} || ' {_XMP} xmp:Rating="-1">' || {_TAIL} AS xml, CAST(NULL AS VARCHAR) AS error
+FROM documents""")
+def rewrite_sidecars_marks(spark, sf):
+    """The same in sidecars that have no block of keywords and texts."""
+    return X.rewrite_sidecars(_marks(spark, sf), "pick", F.lit("-1")).select("path", "xml", "error")
+
+
+@query("rewrite_sidecars_stable", f"""SELECT CAST(doc_id AS VARCHAR) || '.ARW' AS path, md5({_XML}) AS xml FROM documents""")
 def rewrite_sidecars_stable(spark, sf):
     """Writing the same metadata again, twice, gives the same bytes."""
-    rows = _rendered(spark, sf).where("description is not null")
+    rows = _rendered(spark, sf)
     block = X.iptc_block(F.col("keywords"), {"description": F.col("description"), "city": F.col("city")})
     once = X.rewrite_sidecars(rows, "iptc", block).select("path", "xml")
     again = once.join(rows.select("path", block.alias("block")), "path")
