@@ -34,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """A table of one small file is one partition; rows that get Python work each are dealt over the shuffle partitions first."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` read as frames: a day is a session, ``user_id % 5`` is a camera."""
     shot = F.col("_shot")

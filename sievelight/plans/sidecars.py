@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight.functions.text import file_name
 from sievelight.operators import copyplan as P
-from sievelight.plans.registry import query, table
+from sievelight.plans.registry import dealt, query, table
 from sievelight.session import shared_folder
 from sievelight.sources import sidecars as X
 from sievelight.sources.template_files import template_warnings
@@ -22,9 +22,13 @@ def _state(spark, sf):
         F.when(F.col("lang") == "en", F.col("source")).alias("city"))
 
 
+def _xml(rows):
+    return rows.withColumn("xml", X.render_sidecar(
+        F.col("pick"), F.col("keywords"), {"description": F.col("description"), "city": F.col("city")}))
+
+
 def _rendered(spark, sf):
-    xml = X.render_sidecar(F.col("pick"), F.col("keywords"), {"description": F.col("description"), "city": F.col("city")})
-    return _state(spark, sf).withColumn("xml", xml)
+    return _xml(dealt(_state(spark, sf)))
 
 
 _ESCAPE = r"replace(replace(replace(regexp_replace({}, '[\x00-\x1f\x7f-\x9f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -55,7 +59,7 @@ _MARKS = f"{_HEAD} || chr(10) || '    {_XMP}' || {_RATING.format(chr(10) + '
 
 @query("render_sidecars", f"SELECT doc_id, md5({_XML}) AS xml FROM documents")
 def render_sidecars(spark, sf):
-    return _rendered(spark, sf).select("doc_id", F.md5("xml").alias("xml"))
+    return _xml(_state(spark, sf)).select("doc_id", F.md5("xml").alias("xml"))
 
 
 def _marks(spark, sf):

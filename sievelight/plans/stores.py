@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sievelight.operators import cache as K
 from sievelight.operators import previews as V
-from sievelight.plans.registry import EVENT_FRAMES, event_frames, query, table
+from sievelight.plans.registry import EVENT_FRAMES, dealt, event_frames, query, table
 from sievelight.plans.synthetic import raw_file
 from sievelight.schema import CACHE_VERSION
 from sievelight.sources import files as L
@@ -63,7 +63,7 @@ def split_failed(spark, sf):
 # -- byte jobs on files built from events ------------------------------------------
 
 def _event_files(spark, sf):
-    rows = event_frames(spark, sf)
+    rows = dealt(event_frames(spark, sf))
     damaged = F.col("event_type") == "error"
     content = raw_file(
         F.when(F.col("camera") == 0, "SONY").otherwise("Canon"), F.concat(F.lit(" ILCE-"), F.col("camera").cast("string")),

@@ -10,7 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-FILES_PER_TASK = "spark.sievelight.filesPerTask"
+FILE_TASKS = "spark.sievelight.fileTasks"
 
 _shipped: set[str] = set()
 
@@ -29,14 +29,15 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def per_file(rows: DataFrame, job: Callable, schema: str, tasks: int | None = None) -> DataFrame:
+def per_file(rows: DataFrame, job: Callable, schema: str, tasks: int | None = None, held: bool = False) -> DataFrame:
     """``mapInPandas`` over rows that each name or hold one file.
 
-    Rows are counted and dealt out ``filesPerTask`` (128) to a task, since a file
-    costs far more than its row; ``tasks`` sets the number of tasks itself.
+    Rows that name a file are dealt to ``tasks`` tasks (``spark.sievelight.fileTasks``, or the number of shuffle
+    partitions), since opening a file costs far more than its row. Rows that hold the bytes (``held``) are read where
+    they lie unless ``tasks`` is given: moving them would cost more than the work. Nothing runs while the plan is built.
     """
     spark = rows.sparkSession
     ship_package(spark)
-    if tasks is None:
-        tasks = max(1, -(-rows.count() // int(spark.conf.get(FILES_PER_TASK, "128"))))
-    return rows.repartition(tasks).mapInPandas(job, schema)
+    if tasks is None and not held:
+        tasks = int(spark.conf.get(FILE_TASKS, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+    return (rows.repartition(tasks) if tasks else rows).mapInPandas(job, schema)

@@ -42,7 +42,7 @@ def _per_file(df: DataFrame, columns: list[str], content: str | None, schema: st
                         src.close()
             yield pd.DataFrame([[r.get(n) for n in names] for r in out], columns=names, dtype=object)
 
-    return per_file(rows, job, schema, tasks)
+    return per_file(rows, job, schema, tasks, held=content is not None)
 
 
 def _is_jpeg(path: Column) -> Column:

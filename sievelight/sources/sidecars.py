@@ -165,7 +165,7 @@ def parse_sidecars(df: DataFrame, content: str = "content", path: str = "path",
             yield pd.DataFrame(out, columns=["path", "facts", "error"])
 
     raw = per_file(df.select(path, content, *([failed] if failed else [])), job,
-                   "path string, facts array<struct<what:string,text:string>>, error string")
+                   "path string, facts array<struct<what:string,text:string>>, error string", held=True)
 
     def texts(what: str) -> Column:
         return F.transform(F.filter("facts", lambda f: f["what"] == what), lambda f: f["text"])
@@ -282,4 +282,4 @@ def rewrite_sidecars(df: DataFrame, kind: str, new: Column, xml: str = "xml", pa
             yield pd.DataFrame(out, columns=["path", "xml", "error"], dtype=object)
 
     rows = df.select(F.col(path).alias("path"), F.col(xml).alias("xml"), new.cast("string").alias("new"))
-    return per_file(rows, job, "path string, xml string, error string")
+    return per_file(rows, job, "path string, xml string, error string", held=True)
