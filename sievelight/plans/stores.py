@@ -9,16 +9,31 @@ from sievelight.operators import previews as V
 from sievelight.plans.registry import EVENT_FRAMES, dealt, event_frames, query, table
 from sievelight.plans.synthetic import raw_file
 from sievelight.schema import CACHE_VERSION
+from sievelight.session import shared_folder
 from sievelight.sources import files as L
 from sievelight.sources import media as J
+from sievelight.sources.transfer import write_sidecar_files
 
 # -- listings -------------------------------------------------------------------
 
 
-@query("scan_files", """
-SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS session_id, regexp_extract(url, '([^/]*)$', 1) AS file_name FROM pages""")
+@query("scan_files", r"""
+SELECT CAST(page_id AS VARCHAR) || ' ' || regexp_extract(url, '([^/]*)$', 1) AS file_name, CAST(strlen(html) AS BIGINT) AS size, 'Placeholder' AS status
+FROM pages""")
 def scan_files(spark, sf):
-    """The naming rules of a listing; the listing itself is tested on folders."""
+    """Pages lie in a folder as files, named by their number and the end of their url; the folder is listed."""
+    folder = shared_folder(spark, "pages")
+    name = F.concat(F.col("page_id").cast("string"), F.lit(" "), L.frame_columns(F.col("url"))["file_name"])
+    files = table(spark, sf, "pages").select(F.concat(F.lit(f"{folder}/"), name).alias("path"), F.col("html").alias("xml"))
+    write_sidecar_files(files).write.format("noop").mode("overwrite").save()
+    found = L.scan_files(spark, folder)
+    return found.where(F.col("session_id") == folder.removeprefix("file:")).select("file_name", "size", "status")
+
+
+@query("frame_names", """
+SELECT page_id, regexp_replace(url, '/[^/]*$', '') AS session_id, regexp_extract(url, '([^/]*)$', 1) AS file_name FROM pages""")
+def frame_names(spark, sf):
+    """The naming rules of a listing."""
     return table(spark, sf, "pages").select("page_id", *[c.alias(n) for n, c in L.frame_columns(F.col("url")).items()])
 
 

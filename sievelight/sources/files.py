@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 import os
 import stat
 from collections.abc import Iterator
 from itertools import islice
+from zlib import crc32
 
 import pandas as pd
 from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sievelight.functions.text import ascii_lower, file_name, name_extension, name_stem, parent_folder
-from sievelight.sources.jobs import per_file
+from sievelight.sources.jobs import per_file, ship_package
 from sievelight.sources.places import open_read, place_of, reason_of
 
 # The usual camera RAW extensions and the two JPEG ones. Pass
@@ -22,20 +25,61 @@ RAW_EXTENSIONS = ("3fr", "ari", "arw", "cr2", "cr3", "crm", "crw", "dcr", "dcs",
                   "mef", "mos", "mrw", "nef", "nrw", "orf", "ori", "pef", "qtk", "raf", "raw", "rw2", "rwl", "srw",
                   "x3f")
 JPEG_EXTENSIONS = ("jpg", "jpeg")
+SHARES = 8  # tasks that list one folder
 
 
 def frame_columns(path: Column) -> dict[str, Column]:
     return {"session_id": parent_folder(path), "file_name": file_name(path)}
 
 
-def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file directly inside each folder; the folder is the session."""
-    folders = [paths] if isinstance(paths, str) else paths
-    return list_folders(spark.createDataFrame([(p,) for p in folders], "folder string"))
+_LISTING = "folder string, path string, size long, mtime_us long, reason string"
 
 
-def list_folders(folders: DataFrame, folder: str = "folder", tasks: int | None = None) -> DataFrame:
-    """List a table of folders, spread over the cluster by folder.
+class FolderSource(DataSource):
+    """``spark.read.format("sievelight_folders")``: options ``folders`` (a JSON list) and ``shares``.
+
+    A partition is a folder and a share of its names, by a hash of the name: every task walks the names, which is cheap, and asks for the
+    size and time of its own, which is not. So one huge folder is the work of many tasks.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "sievelight_folders"
+
+    def schema(self) -> str:
+        return _LISTING
+
+    def reader(self, schema) -> FolderReader:
+        return FolderReader(json.loads(self.options["folders"]), int(self.options.get("shares", SHARES)))
+
+
+class FolderShare(InputPartition):
+    def __init__(self, folder: str, share: int, shares: int):
+        self.folder, self.share, self.shares = folder, share, shares
+
+
+class FolderReader(DataSourceReader):
+    def __init__(self, folders: list[str], shares: int):
+        self.folders, self.shares = folders, shares
+
+    def partitions(self) -> list[FolderShare]:
+        return [FolderShare(f, i, self.shares) for f in self.folders for i in range(self.shares)]
+
+    def read(self, partition: FolderShare) -> Iterator[tuple]:
+        for entry in _entries(partition.folder, partition.share, partition.shares):
+            yield (partition.folder, *entry)
+
+
+def scan_files(spark: SparkSession, paths: str | list[str], shares: int = SHARES) -> DataFrame:
+    """One row per file directly inside each folder; the folder is the session. ``shares`` tasks list one folder."""
+    ship_package(spark)
+    spark.dataSource.register(FolderSource)
+    folders = json.dumps([paths] if isinstance(paths, str) else list(paths))
+    return _as_frames(spark.read.format(FolderSource.name()).option("folders", folders).option("shares", str(shares)).load())
+
+
+def list_folders(folders: DataFrame, folder: str = "folder", tasks: int | None = None, shares: int = 1) -> DataFrame:
+    """List a table of folders, spread over the cluster by folder and, with ``shares``, by parts of each folder's names.
 
     Names, sizes and times only; Spark's own file reader leaves empty files out.
     An entry that cannot be read is a Failed row, and so is a folder (without a
@@ -44,13 +88,16 @@ def list_folders(folders: DataFrame, folder: str = "folder", tasks: int | None =
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["folder", "path", "size", "mtime_us", "reason"]
         for batch in batches:
-            for home in batch["folder"]:
-                entries = _entries(home)
+            for home, share in zip(batch["folder"], batch["share"], strict=True):
+                entries = _entries(home, share, shares)
                 while rows := [(home, *e) for e in islice(entries, 10_000)]:
                     yield pd.DataFrame(rows, columns=columns, dtype=object)
 
-    rows = per_file(folders.select(F.col(folder).alias("folder")), job,
-                    "folder string, path string, size long, mtime_us long, reason string", tasks)
+    parts = folders.select(F.col(folder).alias("folder"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    return _as_frames(per_file(parts, job, _LISTING, tasks))
+
+
+def _as_frames(rows: DataFrame) -> DataFrame:
     failed = F.col("reason").isNotNull()
     return rows.select(
         F.coalesce(frame_columns(F.col("path"))["session_id"], F.col("folder")).alias("session_id"), "path",
@@ -58,18 +105,24 @@ def list_folders(folders: DataFrame, folder: str = "folder", tasks: int | None =
         F.timestamp_micros("mtime_us").alias("mtime"), F.when(failed, "Failed").otherwise("Placeholder").alias("status"), "reason")
 
 
-def _entries(home: str) -> Iterator[tuple]:
-    """(path, size, mtime in microseconds, reason) of each file in one folder; whatever fails is a row."""
+def _entries(home: str, share: int = 0, shares: int = 1) -> Iterator[tuple]:
+    """(path, size, mtime in microseconds, reason) of each file of one share of a folder; whatever fails is a row.
+
+    The first share tells of a folder that cannot be listed. A store that is no local file system tells sizes with the names, so
+    there the first share has all.
+    """
     try:
         store, root = place_of(home)
         if store.type_name != "local":
-            for info in store.get_file_info(FileSelector(root)):
+            for info in store.get_file_info(FileSelector(root)) if share == 0 else ():
                 if info.type == FileType.File:
                     when = info.mtime_ns // 1000 if info.mtime_ns is not None else None
                     yield f"{home.rstrip('/')}/{info.base_name}", info.size, when, None
             return
         with os.scandir(root) as found:
             for entry in found:
+                if shares > 1 and crc32(os.fsencode(entry.name)) % shares != share:
+                    continue
                 path = entry.path.encode(errors="replace").decode()
                 try:
                     facts = entry.stat()
@@ -78,7 +131,10 @@ def _entries(home: str) -> Iterator[tuple]:
                 except OSError as e:
                     yield path, None, None, f"entry not read: {e.strerror}"
     except Exception as e:
-        yield None, None, None, f"folder not listed: {getattr(e, 'strerror', None) or reason_of(e)}"
+        if share and os.path.isdir(home.removeprefix("file://").removeprefix("file:")):
+            raise  # the first share may have read it; Spark tries this one again
+        if not share:
+            yield None, None, None, f"folder not listed: {getattr(e, 'strerror', None) or reason_of(e)}"
 
 
 def read_files(files: DataFrame, path: str = "path", tasks: int | None = None) -> DataFrame:

@@ -43,6 +43,22 @@ def test_listing_errors_are_rows(spark, tmp_path):
     assert good.count() + failed.count() == rows.count()
 
 
+def test_a_huge_folder_is_many_tasks(spark, tmp_path):
+    for i in range(2000):
+        (tmp_path / f"{i:05d} é.ARW").write_bytes(b"x" * (i % 7))
+    os.symlink(tmp_path / "gone", tmp_path / "broken.ARW")
+    for rows in (L.scan_files(spark, [str(tmp_path), str(tmp_path / "none")], shares=5),
+                 L.list_folders(spark.createDataFrame([(str(tmp_path),), (str(tmp_path / "none"),)], "folder string"), shares=5, tasks=10)):
+        got = rows.withColumn("task", F.spark_partition_id()).collect()
+        good = [r for r in got if r.status != "Failed"]
+        assert sorted((r.file_name, r.size) for r in good) == [(f"{i:05d} é.ARW", i % 7) for i in range(2000)]
+        assert sorted(r.reason.split(":")[0] for r in got if r.status == "Failed") == ["entry not read", "folder not listed"]
+        per_task = {}
+        for r in good:
+            per_task[r.task] = per_task.get(r.task, 0) + 1
+        assert len(per_task) >= 3 and max(per_task.values()) < 1400
+
+
 def test_unreadable_raw_does_not_hide_its_jpeg(spark):
     df = spark.createDataFrame([("s", "a.ARW", "Failed"), ("s", "a.JPG", "Loaded")], "session_id string, file_name string, status string")
     assert L.hide_paired(df).count() == 2
