@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievelight.plans.registry import EVENT_FRAMES, event_frames, query, table
+from sievelight.plans.bursts import BURSTS, GAP_US, SECOND_US
+from sievelight.plans.registry import event_frames, query, table
 from sievelight.session import shared_folder
 from sievelight.sources.transfer import write_sidecar_files
 from sievelight.streaming import edits as E
 from sievelight.streaming import live as L
-from sievelight.streaming.tables import FailureLedger, StateTable
+from sievelight.streaming.tables import FailureLedger, LateRows, StateTable
 
 MINUTE_MS = 60_000
 
@@ -68,6 +69,26 @@ def _drain(spark, sf, sink, prepare=lambda rows: rows):
     run.trigger(availableNow=True).start().awaitTermination()
 
 
+def _drain_in_order(spark, rows, time, transform, slices=3):
+    """Rows as a stream of slices of time, any order within a slice, through ``transform(stream, watermark)``; what came out.
+
+    Two rows of no key, long after all others, make the watermark pass everything.
+    """
+    folder, done = shared_folder(spark, "slices"), shared_folder(spark, "drained")
+    low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
+    width = (high - low) // slices + 1
+    for i in range(slices):
+        rows.where(F.floor((F.unix_micros(time) - low) / width) == i).write.parquet(f"{folder}/slice={i}")
+    for i in (slices, slices + 1):
+        at = F.timestamp_micros(F.lit(high + (i - slices + 1) * 10 * (width + 86_400_000_000)))
+        last = spark.range(1).select(*[(at if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        last.write.parquet(f"{folder}/slice={i}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/*")
+    run = transform(stream, f"{width} microseconds").writeStream.format("parquet").option("path", done)
+    run.option("checkpointLocation", shared_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(done)
+
+
 def _state_table(spark, sf):
     state = StateTable(spark, shared_folder(spark, "state"), _edits(table(spark, sf, "events")).schema, buckets=4)
     _drain(spark, sf, state.upsert, _edits)
@@ -82,11 +103,11 @@ def latest_state(spark, sf):
 
 @query("late_edits", f"WITH {_EDITS} {_STATE}")
 def late_edits(spark, sf):
-    """Old edits folded after new ones: the first day comes in last and changes nothing newer."""
+    """Edits in any order, split by the watermark: state folded from those on time, then from the side table, undoes nothing newer."""
     log = _edits(table(spark, sf, "events"))
-    late = F.col("ts") < "2024-01-15"
-    state = E.merge_states(E.fold_edits(log.where(~late)).unionByName(E.fold_edits(log.where(late))))
-    rows = E.current_state(state)
+    split = LateRows(spark, shared_folder(spark, "late"), log.schema, delay_ms=240 * MINUTE_MS)
+    _drain(spark, sf, split.append, _edits)
+    rows = E.current_state(E.merge_states(E.fold_edits(split.on_time()).unionByName(E.fold_edits(split.late()))))
     return rows.select("path", "pick", F.array_join("keywords", "|").alias("keywords"), F.col("fields.title").alias("title"))
 
 
@@ -125,24 +146,38 @@ def flush_barrier(spark, sf):
     return written().unionByName(still_open)
 
 
-@query("stream_bursts", f"""WITH {EVENT_FRAMES},
- l AS (SELECT *, lag(time_us) OVER w AS p FROM frames WINDOW w AS (PARTITION BY session_id, camera ORDER BY time_us)),
- r AS (SELECT *, sum(CASE WHEN p IS NULL OR time_us - p > 600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY session_id, camera ORDER BY time_us) AS run FROM l)
-SELECT session_id, camera, min(time_us) AS first_us, max(time_us) AS last_us, count(*) AS burst_size FROM r GROUP BY session_id, camera, run HAVING count(*) >= 3""")
+@query("stream_bursts", f"""WITH {BURSTS}
+SELECT session_id, camera, min(time_us) AS first_us, max(time_us) AS last_us, count(*) AS burst_size FROM g WHERE burst_id IS NOT NULL
+GROUP BY session_id, camera, burst_id""")
 def stream_bursts(spark, sf):
-    rows = L.burst_windows(event_frames(spark, sf), ["session_id", "camera"], "mtime", 600_000_000)
-    return rows.select("session_id", "camera", F.unix_micros("first").alias("first_us"), F.unix_micros("last").alias("last_us"), "burst_size")
+    """The drained stream has the bursts of the batch operator, with sequence numbers."""
+    frames = event_frames(spark, sf).select("session_id", "camera", "mtime", "has_subsec", "seq", "image_id")
+    found = _drain_in_order(spark, frames, "mtime", lambda stream, watermark: L.stream_bursts(
+        stream, time="mtime", session=["session_id"], tie="image_id", max_gap_ms=GAP_US // 1000, second_ms=SECOND_US // 1000, watermark=watermark))
+    return found.withColumn("camera", F.col("camera").cast("long"))
 
 
-@query("dedupe_requests", """
+_REQUESTS = """
 WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM events),
  r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > 172800000000 THEN 1 ELSE 0 END)
    OVER (PARTITION BY user_id, event_type ORDER BY ts) AS run FROM l)
-SELECT user_id, event_type, min(ts) AS first FROM r GROUP BY user_id, event_type, run""")
+SELECT user_id, event_type, min(ts) AS first FROM r GROUP BY user_id, event_type, run"""
+
+
+def _requests(rows, watermark=None):
+    kept = L.dedupe_requests(rows, ["user_id", "event_type"], "ts", "2 days", watermark)
+    return kept.select("user_id", "event_type", F.col("ts").alias("first"))
+
+
+@query("dedupe_requests", _REQUESTS)
 def dedupe_requests(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_type", "ts")
-    kept = L.dedupe_requests(rows, ["user_id", "event_type"], "ts", "2 days")
-    return kept.select("user_id", "event_type", F.col("ts").alias("first"))
+    return _drain_in_order(spark, rows, "ts", _requests).where("user_id IS NOT NULL")
+
+
+@query("dedupe_requests_batch", _REQUESTS)
+def dedupe_requests_batch(spark, sf):
+    return _requests(table(spark, sf, "events").select("user_id", "event_type", "ts"))
 
 
 @query("watch_folder", "SELECT CAST(doc_id AS VARCHAR) || '.txt' AS file_name, CAST(strlen(text) AS BIGINT) AS size FROM documents")

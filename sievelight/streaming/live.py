@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sievelight.functions.text import canonical_path
 from sievelight.sources.files import frame_columns
@@ -35,17 +35,14 @@ def watch_folder(spark: SparkSession, path: str, glob: str | None = None, per_ba
     }).select("session_id", "path", "file_name", "size", "mtime", "status", "reason")
 
 
-def dedupe_requests(requests: DataFrame, keys: list[str], time: str = "ts", horizon: str = "1 minute") -> DataFrame:
-    """Requests for the same thing coalesce until none has come for ``horizon``.
+def dedupe_requests(requests: DataFrame, keys: list[str], time: str = "ts", horizon: str = "1 minute", watermark: str | None = None) -> DataFrame:
+    """Requests for the same thing coalesce until none has come for ``horizon``: the first row of each such run stays.
 
-    In batch the first row of each session of requests stays. A stream remembers
-    a request for ``horizon`` after it and drops what comes within, so the
-    two agree where requests of one thing are either closer together than
-    ``horizon`` in all or further apart.
+    A stream and a batch run one plan and give the same rows. The stream's state is the open run of each thing, whose
+    first row comes out when the watermark (``horizon`` behind, or ``watermark``) passes the run's end; rows later than that are dropped.
     """
-    if requests.isStreaming:
-        return requests.withWatermark(time, horizon).dropDuplicatesWithinWatermark(keys)
-    spaced = requests.groupBy(*keys, F.session_window(time, horizon).alias("_w"))
+    rows = requests.withWatermark(time, watermark or horizon) if requests.isStreaming else requests
+    spaced = rows.groupBy(*keys, F.session_window(time, horizon).alias("_w"))
     return spaced.agg(F.min_by(F.struct(*requests.columns), time).alias("_r")).select("_r.*")
 
 
@@ -73,64 +70,94 @@ def burst_windows(frames: DataFrame, keys: list[str], time: str = "ts", gap_us:
     return runs.where(F.col("burst_size") >= min_run).drop("_w")
 
 
-_STATE = T.StructType([
-    T.StructField("waiting", T.ArrayType(T.StructType([
-        T.StructField("us", T.LongType()), T.StructField("fine", T.BooleanType()), T.StructField("seq", T.LongType()),
-    ]))),
-    T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("fine", T.BooleanType()),
-    T.StructField("seq", T.LongType()), T.StructField("size", T.LongType()),
-])
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_FRAME = T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("fine", T.BooleanType()), T.StructField("seq", T.LongType())])
+_RUN = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("fine", T.BooleanType()),
+                     T.StructField("seq", T.LongType()), T.StructField("size", T.LongType())])
 
 
-def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", has_subsec: str = "has_subsec",
-                  seq: str = "seq", session: list[str] = (), max_gap_ms: int = 600, min_run: int = 3, watermark: str = "10 seconds") -> DataFrame:
-    """Bursts with sequence numbers on a live stream: session columns, camera, first_us, last_us, burst_size.
+class BurstProcessor(StatefulProcessor):
+    """Frames of one camera: a list state of those the watermark has not passed, a value state of the open run, and a timer for the next of them."""
 
-    A run that crosses two sessions is two. Per session and camera the state is the open run and the frames the watermark has not
-    passed, which are read in time order once it has. One camera takes some
-    tens of frames a second, so a key's work is bounded by the hardware.
-    """
-    ship_package(frames.sparkSession)
-    gap, wide = max_gap_ms * 1000, max(max_gap_ms, 1000) * 1000
-    keys = [*session, "camera"]
+    def __init__(self, keys: list[str], gap_us: int, second_us: int, min_run: int):
+        self.keys, self.gap, self.wide, self.min_run = keys, gap_us, max(gap_us, second_us), min_run
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _FRAME)
+        self.run = handle.getValueState("run", _RUN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            self.waiting.appendList([(int(u), int(t), bool(f), None if pd.isna(s) else int(s))
+                                     for u, t, f, s in zip(b["us"], b["tie"], b["fine"], b["seq"], strict=True)])
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, first, last, fine, number, size = state.get if state.exists else ([], None, None, None, None, 0)
-        waiting = [tuple(w) for w in waiting]
-        for b in batches:
-            waiting += [(int(u), bool(f), None if pd.isna(s) else int(s)) for u, f, s in zip(b["us"], b["fine"], b["seq"])]
-        safe = state.getCurrentWatermarkMs() * 1000
-        done = []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
 
-        def close() -> None:
-            if size >= (2 if (number or 0) >= 1 else min_run):
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
+        """Read the frames behind the watermark in time order and close the runs that can grow no more."""
+        safe = watermark_ms * 1000
+        frames = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        first, last, fine, number, size = self.run.get() if self.run.exists() else (None, None, None, None, 0)
+        done: list[tuple] = []
+
+        def finish() -> None:
+            if size >= (2 if (number or 0) >= 1 else self.min_run):
                 done.append((*key, first, last, size))
 
-        for us, is_fine, n in sorted((w for w in waiting if w[0] < safe), key=lambda w: (w[0], w[2] or 0)):
-            numbered = (n or 0) >= 1
-            limit = gap if is_fine and fine else wide
-            joins = size and n != 0 and number != 0 and us - last <= limit and (
-                n > number if numbered and (number or 0) >= 1 else numbered == ((number or 0) >= 1))
+        for us, _, is_fine, n in sorted(w for w in frames if w[0] < safe):
+            both = (n or 0) >= 1, (number or 0) >= 1
+            limit = self.gap if is_fine and fine else self.wide
+            joins = size and n != 0 and number != 0 and us - last <= limit and (n > number if all(both) else both[0] == both[1])
             if not joins:
-                close()
+                finish()
                 first, size = us, 0
             last, fine, number, size = us, is_fine, n, size + 1
-        waiting = [w for w in waiting if w[0] >= safe]
-        if size and last + wide < safe:
-            close()
-            first, last, fine, number, size = None, None, None, None, 0
-        if waiting or size:
-            state.update((waiting, first, last, fine, number, size))
-            wake = min([w[0] for w in waiting] + ([last + wide] if size else []))
-            state.setTimeoutTimestamp(max(wake // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        if done:
-            yield pd.DataFrame(done, columns=[*keys, "first_us", "last_us", "burst_size"])
+        if size and last + self.wide < safe:
+            finish()
+            size = 0
+        waiting = [w for w in frames if w[0] >= safe]
+        self._keep(waiting, (first, last, fine, number, size) if size else None, watermark_ms)
+        return pd.DataFrame(done, columns=[*self.keys, "first_us", "last_us", "burst_size"])
+
+    def _keep(self, waiting: list[tuple], run: tuple | None, watermark_ms: int) -> None:
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        if run:
+            self.run.update(run)
+        else:
+            self.run.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wake = [w[0] for w in waiting] + ([run[1] + self.wide] if run else [])
+        if wake:
+            self.handle.registerTimer(max(min(wake) // 1000 + 1, watermark_ms + 1))
+
+
+def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", has_subsec: str = "has_subsec", seq: str = "seq",
+                  session: list[str] = (), tie: str | None = None, max_gap_ms: int = 600, second_ms: int = 1000, min_run: int = 3,
+                  watermark: str = "10 seconds") -> DataFrame:
+    """Bursts with sequence numbers on a live stream: session columns, camera, first_us, last_us, burst_size.
 
+    A run that crosses two sessions is two; frames of one instant go by ``tie``. Per session and camera the state is the open run and
+    the frames the watermark has not passed, which are read in time order once it has. One camera takes some
+    tens of frames a second, so a key's work is bounded by the hardware. The state lives in RocksDB, which this sets for the session.
+    """
+    ship_package(frames.sparkSession)
+    frames.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    keys = [*session, "camera"]
     rows = frames.withWatermark(time, watermark).select(
         *[F.col(c).cast("string").alias(c) for c in session], F.col(camera).cast("string").alias("camera"), F.col(time).alias(time), F.unix_micros(time).alias("us"),
-        F.col(has_subsec).alias("fine"), F.col(seq).cast("bigint").alias("seq"))
-    return rows.groupBy(*keys).applyInPandasWithState(
-        step, ", ".join(f"{k} string" for k in keys) + ", first_us long, last_us long, burst_size long", _STATE, "append",
-        GroupStateTimeout.EventTimeTimeout)
+        (F.coalesce(F.col(tie).cast("long"), F.lit(0)) if tie else F.lit(0)).cast("long").alias("tie"), F.coalesce(F.col(has_subsec), F.lit(False)).alias("fine"),
+        F.col(seq).cast("bigint").alias("seq"))
+    return rows.groupBy(*keys).transformWithStateInPandas(
+        BurstProcessor(keys, max_gap_ms * 1000, second_ms * 1000, min_run),
+        ", ".join(f"{k} string" for k in keys) + ", first_us long, last_us long, burst_size long", "append", "eventTime")

@@ -116,6 +116,33 @@ class StateTable:
                                                           for p in (PICKS[1], PICKS[2], PICKS[0])])
 
 
+class LateRows:
+    """A stream split in two tables: rows on time, and rows behind the watermark, which stateful operators drop.
+
+    The watermark of a batch is the newest time of the batches before it less ``delay_ms``, as Spark's own. The
+    newest time of each batch is a one-row table, so a batch that runs again, or after a restart, splits alike.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: T.StructType, delay_ms: int, time: str = "ts"):
+        self.spark, self.root, self.schema, self.delay_ms, self.time = spark, root.rstrip("/"), schema, delay_ms, time
+        self.newest = T.StructType([T.StructField("us", T.LongType())])
+
+    def append(self, batch: DataFrame, batch_id: int) -> None:
+        """``foreachBatch`` sink for all rows of a stream."""
+        seen = read_versions(self.spark, f"{self.root}/newest", self.newest, batch_id).agg(F.max("us")).first()[0]
+        us = F.unix_micros(self.time)
+        late = F.coalesce(us < (seen - self.delay_ms * 1000), F.lit(False)) if seen is not None else F.lit(False)
+        batch.where(~late).write.mode("overwrite").parquet(f"{self.root}/on_time/v={batch_id}")
+        batch.where(late).write.mode("overwrite").parquet(f"{self.root}/late/v={batch_id}")
+        batch.agg(F.max(us).alias("us")).write.mode("overwrite").parquet(f"{self.root}/newest/v={batch_id}")
+
+    def on_time(self) -> DataFrame:
+        return read_versions(self.spark, f"{self.root}/on_time", self.schema).drop("v")
+
+    def late(self) -> DataFrame:
+        return read_versions(self.spark, f"{self.root}/late", self.schema).drop("v")
+
+
 class FailureLedger:
     """Every failed row of a results stream, and counts of them."""
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sievelight.operators.bursts import group_bursts
 from sievelight.streaming import edits as E
 from sievelight.streaming import live as L
-from sievelight.streaming.tables import FailureLedger, StateTable
+from sievelight.streaming.tables import FailureLedger, LateRows, StateTable
 
 SCHEMA = "seq long, ts timestamp, path string, kind string, pick string, keywords array<string>, fields struct<title:string>"
 START = datetime(2026, 7, 26, 10, tzinfo=timezone.utc)
@@ -112,6 +112,23 @@ def test_state_table_replay_and_late_edits(spark, tmp_path):
         "all": len(picks), **{s.lower(): picks.count(s) for s in ("Picked", "Rejected", "Unmarked")}}
 
 
+def test_late_rows_go_to_the_side_table(spark, tmp_path):
+    rows = [(i, START + timedelta(seconds=s)) for i, s in enumerate([0, 50, 10, 100, 39, 40, 41, 99, 300, 239, 240])]
+    df = spark.createDataFrame(rows, "n int, ts timestamp")
+    split = LateRows(spark, str(tmp_path / "split"), df.schema, delay_ms=60_000)
+    assert split.late().count() == 0
+    batches = [(0, 1, 2), (3, 4), (5, 6), (), (7, 8), (9, 10)]
+    for _ in range(2):  # all batches run again
+        for i, some in enumerate(batches):
+            split.append(df.where(F.col("n").isin(*some)) if some else df.limit(0), i)
+    seen, late = None, set()
+    for some in batches:
+        late |= {n for n in some if seen is not None and rows[n][1] < seen - timedelta(seconds=60)}
+        seen = max([rows[n][1] for n in some] + ([seen] if seen else []))
+    assert {r.n for r in split.late().collect()} == late == {9}
+    assert sorted(r.n for r in split.on_time().collect()) == sorted(set(range(11)) - late)
+
+
 def test_failure_ledger(spark, tmp_path):
     rows = spark.createDataFrame([(1, True), (2, False), (3, False)], "id int, ok boolean")
     ledger = FailureLedger(spark, str(tmp_path / "f"), rows.schema)
@@ -137,12 +154,23 @@ def test_stream_bursts_with_sequences_equal_batch(spark, tmp_path):
     assert {(r.camera, r.first_us, r.burst_size) for r in got} == want and len(got) == len(want) > 20
 
 
-def test_requests_coalesce_in_a_stream(spark, tmp_path):
-    rows = [(i, START + timedelta(seconds=i), i % 4) for i in range(40)]
+def test_requests_coalesce_alike_in_a_stream_and_a_batch(spark, tmp_path):
+    """Runs longer than the horizon in all stay one; a pause longer than it makes two."""
+    rng = random.Random(3)
+    t, rows = 0, []
+    for i in range(300):
+        t += rng.choice([1, 5, 20, 59, 60, 61, 90])
+        rows.append((i, START + timedelta(seconds=t), i % 2 if t % 7 else 5))
     df = spark.createDataFrame(rows, "n int, ts timestamp, image int")
-    _run(L.dedupe_requests(_stream(spark, df, str(tmp_path), 3), ["image"]), str(tmp_path))
-    assert sorted(r.image for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [0, 1, 2, 3]
-    assert sorted((r.image, r.n) for r in L.dedupe_requests(df, ["image"]).collect()) == [(0, 0), (1, 1), (2, 2), (3, 3)]
+    end = spark.createDataFrame([(999, START + timedelta(days=9), -1), (1000, START + timedelta(days=10), -1)], df.schema)
+    _run(L.dedupe_requests(_stream(spark, df.unionByName(end), str(tmp_path), 3), ["image"]), str(tmp_path))
+    got = {(r.n, r.image) for r in spark.read.parquet(f"{tmp_path}/out").collect() if r.image >= 0}
+    last, want = {}, set()
+    for n, ts, image in rows:
+        if image not in last or ts - last[image] > timedelta(minutes=1):
+            want.add((n, image))
+        last[image] = ts
+    assert got == want == {(r.n, r.image) for r in L.dedupe_requests(df, ["image"]).collect()} and len(want) > 60
 
 
 def test_state_table_keeps_its_files_few(spark, tmp_path):
