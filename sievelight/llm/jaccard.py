@@ -2,22 +2,24 @@
 
 Sets are cut by size into bands, and a set that may link to a smaller one of the band
 below stands in that band too. In a band the hash range is cut into more parts
-than two linked sets can differ in shingles, so linked sets agree entirely in at least one
-part: a tile is a band and the content of one part. Empty parts are no tiles. If linked sets differ in
-``d`` shingles at most, one of more than ``d`` filled parts agrees with its partner in a filled part. Sets with fewer (small ones, by
-chance) stand in the tiles of their first shingles as well, of which two linked sets must share one.
-
-Each set is compared with the smallest id it meets in any tile. That links most families whole. Tiles
-that then still hold sets of two or more components are compared inside: every set outside the tile's largest
-component with every set of another component, slice by slice. Tiles of the same sets are compared once.
-
-Each set has a hashed bitmap. ``|A| - |bits of A not in B|`` bounds the overlap from
-above; pairs that pass are intersected as sorted arrays, unless they are connected already.
+than two linked sets can differ in shingles: a tile is a band and the content of one part. A set that can differ
+from its partners in ``d`` shingles agrees with each of them in all its filled parts but ``d``, so it stands in the
+tiles of its ``d + 1`` largest parts only, ties by content. That order is the same for both sets, and of the parts in which they agree the
+largest is among those of both. A set of ``d`` filled parts or fewer (a small one, by chance) stands in
+the tiles of its first shingles as well, of which two linked sets must share one.
+
+Each set is compared with the smallest id it meets in any tile. That links most families whole. Tiles of
+one smallest id make one group, where each set stands once. Groups that still hold two or more components
+are compared inside: every set outside the group's largest component with every set of another component, slice by slice.
+
+Each set has a hashed bitmap of four bits a shingle or more. ``|A| - |bits of A not in B|`` bounds the overlap from
+above; only pairs that pass are listed, and intersected as sorted arrays. Groups are compared by bitmaps alone, which are
+a sixteenth of the sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,8 @@ from sievelight.llm.tables import free_name, written
 
 SHINGLE = 3
 BOUND = 90  # hundredths
-BITMAP_BYTES = 512
-SLICE = 512  # sets of a tile that are compared in one task with as many others,
+LEAST_BITS = 512
+SLICE = 512  # sets of a group that are compared in one task with as many others,
 SLICE_SHINGLES = 1 << 20  # or fewer, if they have more shingles than this
 PARTS = 1.2  # parts of a band for each one that linked sets need
 
@@ -72,62 +74,90 @@ def band_of(n: int, bound: int) -> int:
     return band
 
 
-def most_different(band: int, bound: int) -> int:
-    """Shingles by which two linked sets that stand in a band can differ."""
-    edge = band_edge(band + 1, bound)
-    return int((edge + edge * 100 / bound) * (100 - bound) / (100 + bound) + 1e-6)
+def parts_of(band: int, bound: int) -> int:
+    """Parts of a band: ``PARTS`` times the shingles by which its largest sets and their partners can differ."""
+    return int(PARTS * (most_different(int(band_edge(band + 1, bound)), bound) + 1))
+
+
+def most_different(n: int, bound: int) -> int:
+    """Shingles by which a set of ``n`` and one that it links to can differ."""
+    return n * (100 - bound) // bound
 
 
 def tile_keys(hashes: np.ndarray, bound: int) -> np.ndarray:
-    """Keys of the tiles of one set: one per filled part of each band where it stands, and those of first shingles if these are few."""
+    """Keys of the tiles of one set in each band where it stands, see the module's docstring."""
     n = len(hashes)
     band = band_of(n, bound)
     bands = [band, band - 1] if band and n * bound < 100 * band_edge(band, bound) + 1 else [band]
+    differ = most_different(n, bound)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
     out = []
     for b in bands:
-        differ = most_different(b, bound)
-        parts = int(PARTS * (differ + 1))
+        parts = parts_of(b, bound)
         # A part is a range of the hash space, so its content is a slice of the sorted set.
         cuts = np.searchsorted(hashes, (np.arange(1, parts) * (2.0 ** 64 / parts)).astype(np.uint64))
         edges = np.concatenate([[0], cuts, [n]])
         size = np.diff(edges)
         filled = np.flatnonzero(size)
-        content = (sums[edges[1:]] - sums[edges[:-1]] + size.astype(np.uint64))[filled]
-        out.append(mix(content * np.uint64(3) + mix(filled.astype(np.uint64) + np.uint64(1_000_003 * (b + 1)))))
+        content = mix((sums[edges[1:]] - sums[edges[:-1]] + size.astype(np.uint64))[filled])
+        largest = np.lexsort((content, size[filled]))[-(differ + 1):]
+        out.append(mix(content[largest] * np.uint64(3) + mix(filled[largest].astype(np.uint64) + np.uint64(1_000_003 * (b + 1)))))
         if len(filled) <= differ:
             first = hashes[:n - -(-n * bound // 100) + 1]
             out.append(mix(first * np.uint64(5) + mix(np.full(1, 1_000_003 * (b + 1) - 1, np.uint64))))
     return np.concatenate(out)
 
 
-def tiles(docs: DataFrame, size: int, bound: int) -> DataFrame:
-    """``doc_id, n_shingles, copy, keys``: each row's set size, a 128-bit hash of its set, and its tile keys."""
+def _per_text(docs: DataFrame, size: int, columns: str, values: Callable[[list[np.ndarray], np.ndarray, np.ndarray], list[pa.Array]]) -> DataFrame:
+    """``doc_id`` and what ``values`` makes of the shingle sets of each batch of texts (the sets, all hashes, where each begins)."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", *(c.split()[0] for c in columns.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, at = shingle_sets(batch, size)
             sets = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            keys = [signed(tile_keys(s, bound)) if len(s) else np.zeros(0, np.int64) for s in sets]
-            sums = np.zeros((2, len(hashes) + 1), np.uint64)
-            np.cumsum(mix(hashes), out=sums[0, 1:])
-            np.cumsum(mix(hashes + np.uint64(77)), out=sums[1, 1:])
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(np.diff(at)), pa.array(signed(mix(sums[0][at[1:]] - sums[0][at[:-1]]))),
-                pa.array(signed(mix(sums[1][at[1:]] - sums[1][at[:-1]]))), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "c1", "c2", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *values(sets, hashes, at)], names)
+
+    return docs.mapInArrow(run, f"doc_id {id_type}, {columns}")
+
+
+def set_sums(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, n_shingles, c1, c2``: each row's set size and a 128-bit hash of its set."""
+    def values(sets: list[np.ndarray], hashes: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        sums = np.zeros((2, len(hashes) + 1), np.uint64)
+        np.cumsum(mix(hashes), out=sums[0, 1:])
+        np.cumsum(mix(hashes + np.uint64(77)), out=sums[1, 1:])
+        return [pa.array(np.diff(at)), *(pa.array(signed(mix(s[at[1:]] - s[at[:-1]]))) for s in sums)]
+
+    return _per_text(docs, size, "n_shingles long, c1 long, c2 long", values)
+
+
+def tiles(docs: DataFrame, size: int, bound: int) -> DataFrame:
+    """``doc_id, key``: the tiles of each row."""
+    def values(sets: list[np.ndarray], hashes: np.ndarray, at: np.ndarray) -> list[pa.Array]:
+        return [pa.array([signed(tile_keys(s, bound)) if len(s) else np.zeros(0, np.int64) for s in sets], pa.list_(pa.int64()))]
+
+    return _per_text(docs, size, "keys array<long>", values).select("doc_id", F.explode("keys").alias("key"))
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, n_shingles long, c1 long, c2 long, keys array<long>")
 
+def width_of(n: int) -> int:
+    """Bits of the bitmap of a set: a power of two, four for each shingle or more."""
+    return max(LEAST_BITS, 1 << int(4 * n - 1).bit_length())
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_BYTES * 8, np.uint8)
-    bits[(hashes >> np.uint64(20)) % np.uint64(BITMAP_BYTES * 8)] = 1
+
+def bitmap(hashes: np.ndarray, width: int) -> np.ndarray:
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes >> np.uint64(20)) % np.uint64(width)] = 1
     return np.packbits(bits)
 
 
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """A bitmap as it would be with fewer bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, width // 8), axis=0)
+
+
 def similar(a: np.ndarray, b: np.ndarray, bound: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -141,38 +171,29 @@ def may_link(sizes: np.ndarray, maps: np.ndarray, size: int, one: np.ndarray, bo
     return 100 * most >= bound * (sizes + size - most)
 
 
-def links_within(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, bound: int, group: np.ndarray | None = None) -> list[tuple]:
-    """Links that join into one group all that link, between rows of ``left`` and of ``right`` (flags).
-
-    ``group`` numbers what is connected already; such pairs are skipped.
-    """
-    order = sorted(range(len(ids)), key=lambda i: len(sets[i]))
-    sizes = np.array([len(sets[i]) for i in order])
-    maps = np.stack([bitmap(sets[i]) for i in order]) if order else np.zeros((0, BITMAP_BYTES), np.uint8)
-    group = np.arange(len(order)) if group is None else group[order]
-    left, right = left[order], right[order]
+def near_pairs(ids: list, sizes: np.ndarray, maps: list[np.ndarray], loose: np.ndarray, group: np.ndarray, bound: int) -> list[tuple]:
+    """Pairs of a loose row and one that is not loose, of different groups, that sizes and bitmaps do not keep apart."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, loose, group = sizes[order], loose[order], group[order]
+    width = min((len(m) * 8 for m in maps), default=LEAST_BITS)
+    maps = np.stack([folded(maps[i], width) for i in order]) if len(order) else np.zeros((0, width // 8), np.uint8)
     out = []
-    for i in range(len(order)):
+    for i in np.flatnonzero(loose):
+        begin = int(np.searchsorted(sizes, -(-sizes[i] * bound // 100), "left"))
         end = int(np.searchsorted(sizes, sizes[i] * 100 // bound, "right"))
-        rest = slice(i + 1, end)
-        wanted = ((left[i] & right[rest]) | (right[i] & left[rest])) & (group[rest] != group[i])
-        near = i + 1 + np.flatnonzero(wanted)
-        if len(near):
-            near = near[may_link(sizes[near], maps[near], int(sizes[i]), maps[i], bound)]
-        for j in near:
-            if group[i] != group[j] and similar(sets[order[i]], sets[order[j]], bound):
-                group[group == group[j]] = group[i]
-                out.append((ids[order[i]], ids[order[j]]))
+        near = begin + np.flatnonzero(~loose[begin:end] & (group[begin:end] != group[i]))
+        near = near[may_link(sizes[near], maps[near], int(sizes[i]), maps[i], bound)]
+        out += [(ids[order[i]], ids[order[j]]) for j in near]
     return out
 
 
 def meetings(keyed: DataFrame) -> DataFrame:
-    """``key, doc_id, low`` for every row of ``keyed`` (``key, doc_id``) that is not the smallest of its tile, ``low``.
+    """``doc_id, low``: each id of ``keyed`` (``key, doc_id``) with the smallest ids, ``low``, of the tiles where it is not the smallest.
 
     Keys are dealt once and their rows come in order, so a tile is never held as a whole.
     """
     low = F.first("doc_id").over(Window.partitionBy("key").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return keyed.select("key", "doc_id", low.alias("low")).where("doc_id <> low").distinct()
+    return keyed.select("doc_id", low.alias("low")).where("doc_id <> low").distinct()
 
 
 def _set(column: pa.Array) -> list[np.ndarray]:
@@ -180,57 +201,66 @@ def _set(column: pa.Array) -> list[np.ndarray]:
 
 
 def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """``shingles`` of the rows of ``docs`` that ``wanted`` names, with all columns of ``wanted``."""
+    """``shingles`` and ``bits`` of the rows of ``docs`` that ``wanted`` names, with all columns of ``wanted``."""
     types = [(f.name, f.dataType.simpleString()) for f in wanted.schema.fields]
     names = [name for name, _ in types]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             hashes, at = shingle_sets(batch, size)
+            sets = [hashes[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([
-                *(batch.column(c) for c in names),
-                pa.array([signed(hashes[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.list_(pa.int64()))], [*names, "shingles"])
+                *(batch.column(c) for c in names), pa.array([signed(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([bitmap(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], [*names, "shingles", "bits"])
 
     rows = docs.join(wanted, "doc_id").select(*names, "text")
-    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types) + ", shingles array<long>")
+    return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types) + ", shingles array<long>, bits binary")
 
 
-def star_links(sets: DataFrame, bound: int) -> DataFrame:
-    """Links ``(a, b)`` between each row of ``sets`` and the row whose id is its ``star``."""
-    id_type = sets.schema["doc_id"].dataType.simpleString()
-    centre = sets.where("centre").select(F.col("doc_id").alias("star"), F.col("shingles").alias("other"))
+def compared(pairs: DataFrame, bound: int) -> DataFrame:
+    """The pairs ``(a, b)`` whose sets ``shingles`` and ``other`` link: by bitmaps, then by intersection of the sorted arrays."""
+    id_type = pairs.schema["a"].dataType.simpleString()
+
+    def linked(a: np.ndarray, b: np.ndarray) -> bool:
+        width = width_of(min(len(a), len(b)))
+        return bool(may_link(np.array([len(a)]), bitmap(a, width)[None], len(b), bitmap(b, width), bound)[0]) and similar(a, b, bound)
 
-    def against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            linked = [bool(may_link(np.array([len(a)]), bitmap(a)[None], len(b), bitmap(b), bound)[0]) and similar(a, b, bound)
-                      for a, b in zip(_set(batch.column("shingles")), _set(batch.column("other")), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("star")], ["a", "b"]).filter(pa.array(linked, pa.bool_()))
+            both = zip(_set(batch.column("shingles")), _set(batch.column("other")), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([linked(a, b) for a, b in both], pa.bool_()))
+
+    return pairs.select("a", "b", "shingles", "other").mapInArrow(run, f"a {id_type}, b {id_type}")
 
-    pairs = sets.where("doc_id <> star").join(centre, "star").select("doc_id", "star", "shingles", "other")
-    return pairs.mapInArrow(against, f"a {id_type}, b {id_type}")
+
+def star_links(sets: DataFrame, bound: int) -> DataFrame:
+    """Links ``(a, b)`` between each row of ``sets`` and the row whose id is its ``star``."""
+    centre = sets.where("centre").select(F.col("doc_id").alias("b"), F.col("shingles").alias("other"))
+    own = sets.where("NOT centre").select(F.col("doc_id").alias("a"), F.col("star").alias("b"), "shingles")
+    return compared(own.join(centre, "b"), bound)
 
 
-def open_tiles(placed: DataFrame) -> DataFrame:
-    """``key, main, parts, homes`` of the tiles of ``placed`` (``key, doc_id, n, component``) that hold two components or more.
+def open_groups(placed: DataFrame) -> DataFrame:
+    """``low, main, parts, homes`` of the groups of ``placed`` (``low, doc_id, n, component``) that hold two components or more.
 
-    ``main`` is the tile's largest component. Of tiles with the same sets one is left.
+    ``main`` is the group's largest component. A group of the same sets as another is left out.
     """
-    counted = placed.groupBy("key", "component").agg(
+    counted = placed.groupBy("low", "component").agg(
         F.count("*").alias("rows"), F.sum("n").alias("n"), F.sum(F.xxhash64("doc_id").cast("decimal(20,0)")).alias("sign"))
-    tile = counted.groupBy("key").agg(
+    group = counted.groupBy("low").agg(
         F.max(F.struct("rows", "component")).alias("most"), F.sum("rows").alias("rows"), F.sum("n").alias("n"), F.sum("sign").alias("sign"),
         F.count("*").alias("components")).where("components > 1")
-    tile = tile.groupBy("sign", "rows", "n").agg(F.min("key").alias("key"), F.first("most").alias("most"))
+    group = group.groupBy("sign", "rows", "n").agg(F.min("low").alias("low"), F.first("most").alias("most"))
     loose = F.col("rows") - F.col("most.rows")
     slices = F.greatest(F.ceil(F.col("rows") / SLICE), F.ceil(F.col("n") / SLICE_SHINGLES))
-    return tile.select("key", F.col("most.component").alias("main"), slices.alias("parts"), F.ceil(slices * loose / F.col("rows")).alias("homes"))
+    return group.select("low", F.col("most.component").alias("main"), slices.alias("parts"), F.ceil(slices * loose / F.col("rows")).alias("homes"))
 
 
-def tile_links(placed: DataFrame, opened: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
-    """Links ``(a, b)`` that join into one component all sets that link inside an open tile."""
+def group_pairs(placed: DataFrame, opened: DataFrame, sets: DataFrame, bound: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different components of an open group that sizes and bitmaps do not keep apart."""
     id_type = placed.schema["doc_id"].dataType.simpleString()
-    inside = placed.join(opened, "key").join(sets.where("own").select("doc_id", "shingles"), "doc_id")
-    row = ["key", "doc_id", "component", "shingles"]
+    inside = placed.join(opened, "low").join(sets.where("own").select("doc_id", F.size("shingles").alias("size"), "bits"), "doc_id")
+    row = ["low", "doc_id", "component", "size", "bits"]
     right = inside.select(*row, F.lit(False).alias("loose"), F.pmod(F.xxhash64("doc_id"), "parts").alias("part"),
                           F.explode(F.sequence(F.lit(0).cast("long"), F.col("homes") - 1)).alias("home"))
     left = inside.where("component <> main").select(
@@ -238,12 +268,13 @@ def tile_links(placed: DataFrame, opened: DataFrame, sets: DataFrame, bound: int
         F.pmod(F.xxhash64("doc_id"), "homes").alias("home"))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.asarray(x, np.int64).view(np.uint64) for x in frame["shingles"]]
-        loose = frame["loose"].to_numpy(bool)
-        group = pd.factorize(frame["component"])[0]
-        return pd.DataFrame(links_within(list(frame["doc_id"]), sets, loose, ~loose, bound, group), columns=["a", "b"])
+        maps = [np.frombuffer(b, np.uint8) for b in frame["bits"]]
+        found = near_pairs(list(frame["doc_id"]), frame["size"].to_numpy(np.int64), maps, frame["loose"].to_numpy(bool),
+                           pd.factorize(frame["component"])[0], bound)
+        return pd.DataFrame(found, columns=["a", "b"])
 
-    return left.unionByName(right).groupBy("key", "home", "part").applyInPandas(compare, f"a {id_type}, b {id_type}")
+    found = left.unionByName(right).groupBy("low", "home", "part").applyInPandas(compare, f"a {id_type}, b {id_type}")
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def set_links(docs: DataFrame, keyed: DataFrame, size: int, bound: int) -> DataFrame:
@@ -259,10 +290,13 @@ def set_links(docs: DataFrame, keyed: DataFrame, size: int, bound: int) -> DataF
     known = components(direct).withColumnRenamed("node", "doc_id")
     own = sets.where("own").groupBy("doc_id").agg(F.max(F.size("shingles")).alias("n"))
     where = own.join(known, "doc_id", "left").select("doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    members = meets.select("key", "doc_id").unionByName(meets.select("key", F.col("low").alias("doc_id")).distinct())
+    members = meets.unionByName(meets.select(F.col("low").alias("doc_id"), "low").distinct())
     placed = written(members.join(where, "doc_id"), "placed")
-    opened = written(open_tiles(placed), "open-tiles")
-    return direct.unionByName(tile_links(placed, opened, sets, bound))
+    pairs = written(group_pairs(placed, written(open_groups(placed), "open-groups"), sets, bound), "near-pairs")
+    arrays = sets.where("own").select("doc_id", "shingles")
+    both = pairs.join(arrays.withColumnRenamed("doc_id", "a"), "a").join(
+        arrays.select(F.col("doc_id").alias("b"), F.col("shingles").alias("other")), "b")
+    return direct.unionByName(compared(both, bound))
 
 
 def link_groups(docs: DataFrame, size: int = SHINGLE, bound: int = BOUND, keep: list[str] | None = None) -> DataFrame:
@@ -277,14 +311,16 @@ def link_groups(docs: DataFrame, size: int = SHINGLE, bound: int = BOUND, keep:
         if name in docs.columns:
             docs = docs.withColumnRenamed(name, free_name(docs, name))
     rows = docs.select("doc_id", "text")
-    cut = written(tiles(rows, size, bound), "tiles")
+    cut = written(set_sums(rows, size), "set-sums")
     real = cut.where("doc_id IS NOT NULL AND n_shingles > 0")
     # Equal sets are folded to their smallest id, which alone stands in tiles.
     copies = real.groupBy("c1", "c2").agg(F.min("doc_id").alias("same"), F.max("doc_id").alias("_high"), F.count("*").alias("_rows")).where("same < _high").drop("_high")
     copied = spread_join(real.select("doc_id", "c1", "c2"), copies, ["c1", "c2"], "_rows", ["doc_id"])
     copied = written(copied.where("doc_id <> same").select("doc_id", "c1", "c2", "same"), "copies")
-    keyed = real.join(copied, ["doc_id", "c1", "c2"], "left_anti").select("doc_id", F.explode("keys").alias("key"))
-    near = set_links(rows, keyed, size, bound)
+    own = real.select("doc_id", "c1", "c2").join(copied, ["doc_id", "c1", "c2"], "left_anti").select("doc_id").distinct()
+    gone = written(copied.select("doc_id").distinct().join(own, "doc_id", "left_anti"), "gone")
+    single = rows.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti")
+    near = set_links(rows, tiles(single, size, bound), size, bound)
     # A copy has the set of its smallest id, so one link stands for all of it.
     all_links = near.unionByName(copied.select(F.col("doc_id").alias("a"), F.col("same").alias("b")))
     found = written(components(all_links), "components").select(F.col("node").alias("doc_id"), F.col("component"))

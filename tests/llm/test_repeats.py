@@ -222,7 +222,10 @@ def test_tiles_hold_every_link():
                     b = np.unique(np.concatenate([a[gone:], rng.integers(1, 1 << 63, new, dtype=np.uint64)]))
                     s = np.unique(a)
                     if len(b) and jaccard.similar(s, b, bound):
-                        assert jaccard.may_link(np.array([len(s)]), jaccard.bitmap(s)[None], len(b), jaccard.bitmap(b), bound)[0]
+                        width = jaccard.width_of(min(len(s), len(b)))
+                        one = jaccard.folded(jaccard.bitmap(s, jaccard.width_of(len(s))), width)
+                        assert (one == jaccard.bitmap(s, width)).all()
+                        assert jaccard.may_link(np.array([len(s)]), one[None], len(b), jaccard.bitmap(b, width), bound)[0]
                         assert np.intersect1d(jaccard.tile_keys(s, bound), jaccard.tile_keys(b, bound)).size
 
 
