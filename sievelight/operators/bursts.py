@@ -68,11 +68,16 @@ def burst_sizes(grouped: DataFrame) -> DataFrame:
 
 
 def dense_burst_index(grouped: DataFrame, session: list[str], order: list[str], row_id: str,
-                      camera: str = "camera") -> DataFrame:
-    """Number the bursts of a session 1, 2, ... by the place of their first frame."""
+                      camera: str = "camera", first_name: str | None = None) -> DataFrame:
+    """Number the bursts of a session 1, 2, ... by the place of their first frame.
+
+    With ``first_name``, a column that names a frame for good (its path), bursts also get ``burst_key``, a 60-bit hash of that of
+    their first frame. It stays when later runs see more bursts, which moves ``burst_index``.
+    """
     keys = [*session, camera, "burst_id"]
-    firsts = grouped.where(F.col("burst_pos") == 1).select(*dict.fromkeys([*keys, *order]))
-    index = Lanes(firsts, session, order).scan(burst_index=position()).rows().select(*keys, "burst_index")
+    named = {"burst_key": F.conv(F.left(F.md5(F.col(first_name).cast("string")), F.lit(15)), 16, 10).cast("bigint")} if first_name else {}
+    firsts = grouped.where(F.col("burst_pos") == 1).withColumns(named).select(*dict.fromkeys([*keys, *order, *named]))
+    index = Lanes(firsts, session, order).scan(burst_index=position()).rows().select(*keys, "burst_index", *named)
     return join_groups(grouped, index, keys, [row_id], may_lack="burst_id")
 
 

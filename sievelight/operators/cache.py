@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyarrow.fs import FileType
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievelight.operators.lanes import Lanes, group_sum, position, running, total
-from sievelight.schema import CACHE_VERSION
+from sievelight.schema import CACHE, CACHE_VERSION
+from sievelight.sources.places import place_of
 
 
 def readable_json(text: Column, ddl: str) -> Column:
@@ -46,6 +49,36 @@ def upsert_cache(cache: DataFrame, fresh: DataFrame, hits: DataFrame, now: int,
     return old.select(*cache.columns).unionByName(new.select(*cache.columns))
 
 
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def read_cache(spark: SparkSession, root: str) -> DataFrame:
+    """The cache table under ``root``; without rows while there is none."""
+    store, inner = place_of(root)
+    if store.get_file_info(inner).type != FileType.Directory:
+        return spark.createDataFrame([], CACHE)
+    return spark.read.schema(T.StructType([*CACHE.fields, T.StructField("bucket", T.IntegerType())])).parquet(root).where(
+        "path IS NOT NULL").select(CACHE.fieldNames())
+
+
+def save_cache(spark: SparkSession, root: str, fresh: DataFrame, hits: DataFrame, now: int, version: int = CACHE_VERSION, buckets: int = 64) -> None:
+    """``upsert_cache`` into the table under ``root``: only partitions with fresh rows or hits are written again.
+
+    The table is both read and replaced. Dynamic overwrite writes beside it and moves each partition when all tasks are done,
+    so a job that fails leaves the old rows. ``fresh`` and ``hits`` must not be computed from the table any more (write them first). Each written partition
+    has one row without a path, which replaces a partition that has become empty. A table keeps its number of ``buckets``.
+    """
+    bucket = _bucket(F.col("path"), buckets)
+    touched = fresh.where("mtime_ns IS NOT NULL").select("path").unionByName(hits.select("path")).select(bucket.alias("bucket")).distinct()
+    old = read_cache(spark, root).withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left_semi").select(CACHE.fieldNames())
+    rows = upsert_cache(old, fresh, hits, now, version).withColumn("bucket", bucket)
+    marks = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE.fields], "bucket")
+    out = rows.select(*CACHE.fieldNames(), "bucket").unionByName(marks).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(4)))
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
+    spark.catalog.refreshByPath(root)
+
+
 def stored_bytes(cache: DataFrame, size: str = "payload_bytes", by: list[str] = ()) -> DataFrame:
     return cache.groupBy(*by).agg(
         F.coalesce(F.sum(size), F.lit(0)).alias("bytes"), F.count(F.lit(1)).alias("rows")

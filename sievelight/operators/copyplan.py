@@ -9,6 +9,7 @@ from sievelight.functions.capture import needs_refresh
 from sievelight.functions.templates import expand_template
 from sievelight.functions.text import inside_folder, leaves_folder, nfc, sidecar_path, suffixed_name, tidy
 from sievelight.operators.lanes import Lanes, join_groups, position, total
+from sievelight.session import stored
 
 # A name ending in _k: without an extension, or with one.
 _SUFFIXED = r"(?s)^(?:(\.?[^.]+)_([1-9][0-9]*)|(.+)_([1-9][0-9]*)(\.[^.]*))\z"
@@ -116,10 +117,11 @@ def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None =
     asked for. Every name a source takes by itself is reserved, so a renamed row
     never lands on another's target. ``refused`` says why a row must not run: its name leaves the
     destination, or several sources take it. ``copy_files`` leaves such rows alone, and
-    ``guard_plan`` stops the whole plan. ``options`` are those of ``plan_actions``.
+    ``guard_plan`` stops the whole plan. ``options`` are those of ``plan_actions``. Actions are written to a table
+    first, since names are looked at several times.
     """
     dest = list(dest)
-    acted = plan_actions(sources, listing, ledger, dest=dest, order=order, **options)
+    acted = stored(plan_actions(sources, listing, ledger, dest=dest, order=order, **options), "plan")
     shared = acted.groupBy(*dest, "natural_name").agg(F.count(F.lit(1)).alias("_copies")).where("_copies > 1")
     acted = acted.join(shared, [*dest, "natural_name"], "left")
     if options.get("mode", "Rename") == "Rename":
@@ -129,7 +131,9 @@ def plan_copy(sources: DataFrame, listing: DataFrame, ledger: DataFrame | None =
             acted.select(*dest, F.col("natural_name").alias("name")))
         near = stem(reserved).join(clash.select(*dest, F.col("name").alias("_stem")), [*dest, "_stem"], "left_semi").drop("_stem")
         free = assign_free_suffix(clash, near, dest).withColumnRenamed("name", "natural_name")
-        acted = acted.join(free, [*dest, "natural_name"], "left")
+        moved = acted.where("action = 'CopyRenamed'").join(free, [*dest, "natural_name"], "left")
+        rest = acted.where("action <> 'CopyRenamed'").withColumn("free_name", F.lit(None).cast("string"))
+        acted = rest.unionByName(moved)
     else:
         acted = acted.withColumn("free_name", F.lit(None).cast("string"))
     name = F.when(F.col("action") == "CopyRenamed", F.col("free_name")).otherwise(F.col("natural_name"))

@@ -39,18 +39,9 @@ def add_keywords(existing: Column, incoming: Column, ascii_only: bool = False) -
     facts = F.struct(existing.alias("old"), fresh.alias("new"), fold(existing).alias("known"), fold(fresh).alias("folded"))
 
     def unite(row: Column) -> Column:
-        # Known folds sort before new ones of the same fold, and those by place; the first of its fold stays.
-        entry = lambda fold, fresh, at, word: F.struct(fold.alias("fold"), F.lit(fresh).alias("fresh"), at.alias("at"), word.alias("word"))
-        known = F.transform(row["known"], lambda f: entry(f, 0, F.lit(0), F.lit(None).cast("string")))
-        new = F.transform(row["new"], lambda w, i: entry(F.get(row["folded"], i), 1, i, w))
-
-        def first(ordered: Column) -> Column:
-            left = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.slice(ordered, 1, F.size(ordered) - 1), lambda e: e["fold"]))
-            kept = F.zip_with(ordered, left, lambda e, f: F.when((e["fresh"] == 1) & ~e["fold"].eqNullSafe(f), F.struct(e["at"], e["word"])))
-            return F.transform(F.array_sort(F.filter(kept, lambda k: k.isNotNull())), lambda k: k["word"])
-
-        added = F.get(F.transform(F.array(F.array_sort(F.concat(known, new))), first), F.lit(0))
-        return F.when(F.size(row["new"]) > 0, F.concat(row["old"], added)).otherwise(row["old"])
+        # By hashes of the folds, which keep their order and appear once; only new ones look up their first spelling.
+        added = F.transform(F.array_except(row["folded"], row["known"]), lambda f: F.get(row["new"], F.array_position(row["folded"], f).cast("int") - 1))
+        return F.concat(row["old"], added)
 
     # A one-element transform names the UDF results, so lambdas may refer to them.
     return F.get(F.transform(F.array(facts), unite), F.lit(0))
@@ -89,7 +80,7 @@ def keyword_coverage(batch: DataFrame, keywords: Column, order: str, row_id: str
     With an integer ``order`` the first place is one decimal (row, then place in
     the row), so that counting stays a hash aggregate instead of a sort.
     """
-    words = batch.select(*by, order, F.posexplode(keywords).alias("_at", "keyword"))
+    words = batch.select(*by, order, F.col(row_id).isNotNull().alias("_row"), F.posexplode_outer(keywords).alias("_at", "keyword"))
     packs = batch.schema[order].dataType.simpleString() in ("int", "bigint")
     if packs:
         shift = F.lit(1 << 31).cast("decimal(12,0)")
@@ -97,18 +88,20 @@ def keyword_coverage(batch: DataFrame, keywords: Column, order: str, row_id: str
         first = F.min(place)
     else:
         first = F.min(F.struct(F.col(order).alias("row"), F.col("_at").alias("at")))
-    seen = words.groupBy(*by, "keyword").agg(F.count(F.lit(1)).alias("n"), first.alias("_first"))
+    # A row counts once, at its first word or at none.
+    starts = F.count_if(F.col("_row") & (F.coalesce("_at", F.lit(0)) == 0)).alias("_starts")
+    seen = words.groupBy(*by, "keyword", F.col("_at").isNull().alias("_none")).agg(F.count(F.lit(1)).alias("n"), first.alias("_first"), starts)
     if packs:
         row = F.floor(F.col("_first") / shift)
         seen = seen.withColumn("_first", F.struct(
             row.cast("bigint").alias("row"), (F.col("_first") - row * shift).cast("int").alias("at")))
     by = list(by)
     # One row per batch, joined by size; a batch with most of the words is split by the skew rule.
-    sizes = batch.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(F.count(row_id).alias("total"))
+    sizes = seen.groupBy(*[F.col(c).alias(f"_b_{c}") for c in by]).agg(F.sum("_starts").alias("total"))
     if not by:
         seen, sizes = seen.withColumn("_one", F.lit(1)), sizes.withColumn("_b__one", F.lit(1))
     keys = by or ["_one"]
-    out = seen.join(sizes, same_keys(keys, [f"_b_{c}" for c in keys]))
+    out = seen.where("NOT _none").join(sizes, same_keys(keys, [f"_b_{c}" for c in keys]))
     return out.select(*by, "keyword", "n", "total", F.col("_first.row").alias("first_row"), F.col("_first.at").alias("first_at"))
 
 

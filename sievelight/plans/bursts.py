@@ -57,13 +57,13 @@ def burst_sizes(spark, sf):
 
 
 @query("dense_burst_index", f"""WITH {BURSTS},
-  f AS (SELECT session_id, camera, burst_id, row_number() OVER (PARTITION BY session_id ORDER BY time_us, image_id) AS burst_index
-        FROM g WHERE burst_pos = 1)
-SELECT g.session_id, g.image_id, f.burst_index FROM g LEFT JOIN f
+  f AS (SELECT session_id, camera, burst_id, row_number() OVER (PARTITION BY session_id ORDER BY time_us, image_id) AS burst_index,
+           CAST('0x' || substr(md5(file_name), 1, 15) AS BIGINT) AS burst_key FROM g WHERE burst_pos = 1)
+SELECT g.session_id, g.image_id, f.burst_index, f.burst_key FROM g LEFT JOIN f
   ON f.session_id = g.session_id AND f.camera = g.camera AND f.burst_id = g.burst_id""")
 def dense_burst_index(spark, sf):
-    rows = B.dense_burst_index(grouped_events(spark, sf), ["session_id"], ORDER, "image_id")
-    return rows.select("session_id", "image_id", "burst_index")
+    rows = B.dense_burst_index(grouped_events(spark, sf), ["session_id"], ORDER, "image_id", first_name="file_name")
+    return rows.select("session_id", "image_id", "burst_index", "burst_key")
 
 
 @query("burst_boundaries", f"""WITH {BURSTS},

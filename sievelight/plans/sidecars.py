@@ -11,6 +11,8 @@ from sievelight.session import shared_folder
 from sievelight.sources import sidecars as X
 from sievelight.sources.template_files import template_warnings
 from sievelight.sources.transfer import copy_files, hash_files, write_sidecar_files
+from sievelight.streaming.edits import coalesce_edits
+from sievelight.streaming.sidecars import write_edits
 
 
 def _state(spark, sf):
@@ -135,6 +137,34 @@ def write_sidecar_files_query(spark, sf):
     return back.select(name.alias("file_name"), F.md5("content").alias("xml"))
 
 
+@query("edit_sidecars", r"""
+WITH d AS (SELECT doc_id, lang, source, trim(regexp_replace(text, '[\x00-\x1f\x7f-\x9f]', '', 'g')) AS t, doc_id % 3 > 0 AS had, doc_id % 2 = 0 AS words FROM documents)
+SELECT CAST(doc_id AS VARCHAR) || '.ARW' AS file_name, 'Rejected' AS pick,
+  CASE WHEN words THEN 'new & ' || source WHEN had THEN lang || '|a&b <' || source ELSE '' END AS keywords,
+  CASE WHEN had AND t <> '' THEN md5(t) END AS description, CAST(NULL AS VARCHAR) AS error FROM d""")
+def edit_sidecars(spark, sf):
+    """Two marks within the pause and, for every other image, keywords: debounced and written into sidecars, two thirds of which are there before."""
+    folder = shared_folder(spark, "edited")
+    place = F.concat(F.lit(f"{folder}/"), "path")
+    rows = _rendered(spark, sf)
+    write_sidecar_files(rows.where("doc_id % 3 > 0").select(F.concat(place, F.lit(".xmp")).alias("path"), "xml")).write.format("noop").mode("overwrite").save()
+    docs = _state(spark, sf).withColumn("path", place)
+
+    def edit(number, ms, kind, pick, keywords):
+        return docs.select(
+            (F.col("doc_id") * 3 + number).alias("seq"), F.timestamp_millis(F.lit(ms)).alias("ts"), "path", F.lit(kind).alias("kind"),
+            F.lit(pick).cast("string").alias("pick"), keywords.alias("keywords"), F.lit(None).cast("struct<title: string>").alias("fields"))
+
+    none = F.lit(None).cast("array<string>")
+    log = edit(0, 0, "mark", "Picked", none).unionByName(edit(1, 500, "mark", "Rejected", none)).unionByName(
+        edit(2, 100, "keywords", None, F.array(F.concat(F.lit("new & "), F.element_at(F.split(F.col("keywords")[1], "<"), 2)))).where("seq % 2 = 0"))
+    done = shared_folder(spark, "edit-results")
+    write_edits(coalesce_edits(log)).write.parquet(done)
+    back = X.read_sidecars(spark, folder)
+    return back.select(file_name(F.col("path")).alias("file_name"), "pick", F.array_join("keywords", "|").alias("keywords"),
+                       F.md5("iptc.description").alias("description"), "error")
+
+
 @query("load_templates", """
 SELECT CAST(p_partkey AS VARCHAR) AS name, 'city' AS field, 'blank city of ' || CAST(p_partkey AS VARCHAR) || ' removes the value it meets' AS warning
 FROM part WHERE p_type = 'ECONOMY'""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sievelight.functions.text import file_name
 from sievelight.operators import cache as K
 from sievelight.operators import previews as V
 from sievelight.plans.registry import EVENT_FRAMES, dealt, event_frames, query, table
@@ -12,6 +13,8 @@ from sievelight.schema import CACHE_VERSION
 from sievelight.session import shared_folder
 from sievelight.sources import files as L
 from sievelight.sources import media as J
+from sievelight.sources import sidecars as X
+from sievelight.sources.folder import open_folders
 from sievelight.sources.transfer import write_sidecar_files
 
 # -- listings -------------------------------------------------------------------
@@ -128,6 +131,37 @@ def audit_jpegs(spark, sf):
     return J.audit_jpegs(claims, content="content").select("path", F.col("width").cast("bigint").alias("width"), "truncated", "implausible")
 
 
+@query("open_folder", """
+WITH f AS (SELECT s_suppkey AS k, s_nationkey AS n, s_acctbal < 0 AS damaged, s_suppkey % 3 = 0 AS rated FROM supplier)
+SELECT CAST(n AS VARCHAR) AS folder, CAST(k AS VARCHAR) || '.ARW' AS file_name, CASE WHEN damaged THEN 'Failed' ELSE 'Loaded' END AS status,
+  CASE WHEN NOT damaged THEN 'ILCE-' || CAST(n % 5 AS VARCHAR) END AS model, CASE WHEN NOT damaged THEN 'S' || CAST(k % 1000 AS VARCHAR) END AS camera,
+  CASE WHEN NOT damaged THEN '2024:01:' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || ' 10:00:00' END AS capture_time,
+  CASE WHEN rated AND k % 2 = 0 THEN 'Picked' WHEN rated THEN 'Rejected' ELSE 'Unmarked' END AS pick,
+  CASE WHEN rated THEN 'nation ' || CAST(n AS VARCHAR) ELSE '' END AS keywords, count(*) OVER () AS first_read, 0 AS second_read FROM f""")
+def open_folder(spark, sf):
+    """Suppliers as RAW files in one folder per nation, some paired or with a sidecar, opened twice: the second time nothing is read."""
+    home = shared_folder(spark, "card")
+    rows = dealt(table(spark, sf, "supplier")).withColumns({"k": F.col("s_suppkey"), "n": F.col("s_nationkey")})
+    place = F.concat(F.lit(f"{home}/"), F.col("n").cast("string"), F.lit("/"), F.col("k").cast("string"))
+    raw = raw_file(F.lit("SONY"), F.concat(F.lit("ILCE-"), (F.col("n") % 5).cast("string")), F.lit(1),
+                   F.concat(F.lit("2024:01:"), F.lpad((F.col("k") % 28 + 1).cast("string"), 2, "0"), F.lit(" 10:00:00")), F.lit("5"),
+                   F.concat(F.lit("S"), (F.col("k") % 1000).cast("string")), F.lit(2), F.lit(7), F.lit(1000), F.lit(700), F.lit(True))
+    content = F.when(F.col("s_acctbal") < 0, F.lit("no image").cast("binary")).otherwise(raw)
+    pick = F.when(F.col("k") % 2 == 0, "Picked").otherwise("Rejected")
+    car = X.render_sidecar(pick, F.array(F.concat(F.lit("nation "), F.col("n").cast("string"))), {}).cast("binary")
+    files = rows.select(F.concat(place, F.lit(".ARW")).alias("path"), content.alias("xml")).unionByName(
+        rows.where("k % 3 = 0").select(F.concat(place, F.lit(".ARW.xmp")), car.alias("xml")).toDF("path", "xml")).unionByName(
+        rows.where("k % 2 = 1").select(F.concat(place, F.lit(".jpg")), F.lit("jpeg").cast("binary")).toDF("path", "xml"))
+    write_sidecar_files(files).write.format("noop").mode("overwrite").save()
+    folders = [f"{home}/{r.n}" for r in rows.select("n").distinct().collect()]  # one per nation
+    cache = shared_folder(spark, "cache")
+    _, first = open_folders(spark, folders, cache, now=1, buckets=4)
+    frames, second = open_folders(spark, folders, cache, now=2, buckets=4)
+    return frames.select(
+        file_name(F.col("session_id")).alias("folder"), "file_name", "status", "model", "camera", "capture_time", "pick",
+        F.array_join("keywords", "|").alias("keywords"), F.lit(first.count()).cast("bigint").alias("first_read"), F.lit(second.count()).alias("second_read"))
+
+
 # -- cache ----------------------------------------------------------------------
 
 def _lines(spark, sf, mtime):
@@ -177,6 +211,27 @@ def upsert_cache(spark, sf):
     return K.upsert_cache(cache, fresh, hits, now=99).select("path", "size", "capture", "last_used")
 
 
+@query("save_cache", f"""WITH {_CACHE_LINES}, c AS (SELECT *, mtime_ns IS NOT NULL AND csize = size AND qty <= 45 AND version = 3 AS hit FROM cache),
+ stored AS (SELECT *, NOT hit AND mtime_ns IS NOT NULL AS fresh FROM c)
+SELECT path, CASE WHEN fresh THEN size ELSE csize END AS size, CASE WHEN fresh OR version <> 3 THEN NULL ELSE capture END AS capture,
+  CASE WHEN fresh OR hit THEN 99 ELSE l_linenumber END AS last_used FROM stored WHERE fresh OR version = 3""")
+def save_cache(spark, sf):
+    """The same through the stored table, which the job reads while it replaces it."""
+    frames, cache = _cache_tables(spark, sf)
+    root = shared_folder(spark, "cache")
+    none = cache.limit(0)
+    K.save_cache(spark, root, cache.where(f"schema_version = {CACHE_VERSION} AND mtime_ns IS NOT NULL"), none, now=0, buckets=8)
+    # Rows as an earlier run left them: their own times of use, and those without an mtime, which a save never stores.
+    old = cache.where(f"schema_version = {CACHE_VERSION}").withColumn("bucket", F.pmod(F.xxhash64("path"), F.lit(8)).cast("int"))
+    old.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
+    hits, misses = K.cache_split(frames, K.read_cache(spark, root), K.readable_json(F.col("capture"), "make string"))
+    known, fresh = shared_folder(spark, "hits"), shared_folder(spark, "fresh")
+    hits.write.parquet(known)
+    misses.select("path", "size", "mtime_ns", F.lit(None).cast("string").alias("capture"), F.lit(0).cast("bigint").alias("payload_bytes")).write.parquet(fresh)
+    K.save_cache(spark, root, spark.read.parquet(fresh), spark.read.parquet(known), now=99, buckets=8)
+    return K.read_cache(spark, root).select("path", "size", "capture", "last_used")
+
+
 @query("stored_bytes", "SELECT source, CAST(sum(n_chars) AS BIGINT) AS bytes, count(*) AS rows FROM documents GROUP BY source")
 def stored_bytes(spark, sf):
     return K.stored_bytes(table(spark, sf, "documents"), "n_chars", ["source"])

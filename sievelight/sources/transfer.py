@@ -23,7 +23,7 @@ CHUNK = 1 << 20
 
 
 def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tasks: int | None = None) -> DataFrame:
-    """One file per row under its exact name: path, ok, reason."""
+    """One file per row, of text or bytes, under its exact name: path, ok, reason."""
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -31,7 +31,7 @@ def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tas
                 try:
                     if text is None:
                         raise ValueError("there is no text to write")
-                    write_whole(target, lambda f, data=text.encode(): f.write(data))
+                    write_whole(target, lambda f, data=text.encode() if isinstance(text, str) else bytes(text): f.write(data))
                     out.append((target, True, None))
                 except Exception as e:
                     out.append((target, False, reason_of(e)))

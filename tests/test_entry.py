@@ -17,7 +17,7 @@ def entry_without(*missing: str) -> subprocess.CompletedProcess:
     return subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
 
 
-@pytest.mark.parametrize("missing", ["corpus_pipeline", "sievelight.llm", "sievelight.llm.queries"])
+@pytest.mark.parametrize("missing", ["corpus_pipeline", "sievelight.llm", "sievelight.llm.queries", "public_tokenizers"])
 def test_optional_queries(missing):
     got = entry_without(missing)
     assert got.returncode == 0 and got.stdout.split()[1] == "False" and int(got.stdout.split()[0]) >= 100
