@@ -331,12 +331,15 @@ def accepted(predicted: DataFrame, trained: Column, model: Model | None, prefix:
     """
     even = -model.even if model else 0.0
     chance = 1.2 / len(model.langs) if model and len(model.langs) > 1 else 0.0
+    if name in predicted.columns:
+        predicted = predicted.withColumnRenamed(name, free_name(predicted, name))
     pred, score, bits = (prefix + c for c in ("pred", "score", "bits"))
-    limits = predicted.where(trained & (F.col(pred) != UNKNOWN)).groupBy(F.col(pred).alias("_lang")).agg(
-        F.percentile_approx(bits, 1 - REJECT_SHARE, 10000).alias("_kept"))
-    limit = F.col("_kept") + F.greatest(F.lit(even) - F.col("_kept"), F.lit(0)) * REJECT_PLACE
+    of, kept = free_name(predicted, "_lang"), free_name(predicted, "_kept")
+    limits = predicted.where(trained & (F.col(pred) != UNKNOWN)).groupBy(F.col(pred).alias(of)).agg(
+        F.percentile_approx(bits, 1 - REJECT_SHARE, 10000).alias(kept))
+    limit = F.col(kept) + F.greatest(F.lit(even) - F.col(kept), F.lit(0)) * REJECT_PLACE
     # One row per learned language.
-    out = predicted.join(F.broadcast(limits), F.col(pred) == F.col("_lang"), "left")
+    out = predicted.join(F.broadcast(limits), F.col(pred) == F.col(of), "left")
     fine = (F.col(bits) <= F.coalesce(limit, F.lit(even))) & (F.col(score) > chance)
     return out.select(*predicted.columns, F.coalesce(fine, F.lit(False)).alias(name))
 
@@ -348,6 +351,13 @@ def held_out(id_column: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """Train on the documents not held out, predict all, and calibrate the rejection: a written table and its limits."""
-    model = train_model(docs.where(~held_out()))
-    return accepted(written(predict(docs, model, keep=keep), "language"), ~held_out(), model)
+    """Train on the documents not held out, predict all, and calibrate the rejection: a written table and its limits.
+
+    Texts without a language teach nothing, neither the models nor the limits. Columns of ``docs`` with the name of
+    a new one move under a leading underscore.
+    """
+    learn = free_name(docs, "_learn")
+    docs = docs.withColumn(learn, ~held_out() & F.col("lang").isNotNull())
+    model = train_model(docs.where(learn))
+    told = written(predict(docs, model, keep=[*keep, learn] if keep else None), "language")
+    return accepted(told, F.col(learn), model).drop(learn)

@@ -29,6 +29,7 @@ from sievelight.llm.tables import written
 LENGTH = 50
 GRAM = 16
 HOT = 50_000
+BUCKET_BYTES = 32 << 20  # bytes of text whose anchors meet in one group
 SORT_BYTES = 2 << 20
 NO_ID = np.iinfo(np.int64).max
 LOW48 = np.uint64((1 << 48) - 1)
@@ -416,9 +417,10 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     if length < 2 * GRAM:
         raise ValueError(f"length must be {2 * GRAM} at least")
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # A bucket's share of the anchors stays the same whatever the corpus holds.
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 + size // BUCKET_BYTES)
     marks = written(repeated_anchors(anchor_blocks(docs, buckets, length)), "anchors")
     hot = written(marks.where("NOT covered").groupBy("anchor").count().where(F.col("count") > HOT).select("anchor"), "hot-anchors")
     marks = marks.join(hot.withColumn("hot", F.lit(True)), "anchor", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))

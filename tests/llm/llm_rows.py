@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 LONG = "lorem ipsum dolor sit amet " * 6000
-CLASHING = ["slot", "shard", "lang_pred", "n_words", "items", "removed", "n_shingles", "component_id", "kept", "ids"]
+CLASHING = ["slot", "shard", "lang_pred", "n_words", "items", "removed", "n_shingles", "component_id", "kept", "ids", "accepted", "_lang", "labels", "score"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
