@@ -213,7 +213,8 @@ def set_table(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 *(batch.column(c) for c in names), pa.array([signed(s) for s in sets], pa.list_(pa.int64())),
                 pa.array([bitmap(s, width_of(len(s))).tobytes() for s in sets], pa.binary())], [*names, "shingles", "bits"])
 
-    rows = docs.join(wanted, "doc_id").select(*names, "text")
+    # A merge join at every size: the texts are dealt once, and a large corpus costs in proportion what a small one does.
+    rows = docs.join(wanted.hint("merge"), "doc_id").select(*names, "text")
     return rows.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in types) + ", shingles array<long>, bits binary")
 
 
