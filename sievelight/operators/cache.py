@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from sievelight.operators.lanes import Lanes, group_sum, position, running, total
 from sievelight.schema import CACHE, CACHE_VERSION
+from sievelight.session import stored
 from sievelight.sources.places import place_of
 
 
@@ -92,19 +93,42 @@ def lru_evict(cache: DataFrame, cap: int, round_size: int = 64, pinned: Column |
     Rows leave in whole rounds of ``round_size``. With ``pinned``, that row never
     leaves, rounds are single rows and one row always stays.
 
-    The oldest-first order is one global lane, so its sums run in slices. A row
-    is due when the rows from it on still exceed the cap; due rows are a prefix
-    of the order, so counting them gives the last round.
+    A row is due when the rows from it on still exceed the cap; due rows are a prefix of the oldest-first order, so counting
+    them gives the last round. Bytes and rows are added up per time of use, and only the rows of the time where the
+    prefix ends are put in order. With ``pinned`` the order is one global lane, whose sums run in slices.
     """
-    keep_last = pinned is not None
+    if pinned is not None:
+        return _evict_around(cache, cap, pinned, size, used, path)
+    times = stored(cache.groupBy(used).agg(F.sum(F.coalesce(F.col(size), F.lit(0))).alias("_bytes"), F.count(F.lit(1)).alias("_rows")), "times-of-use")
+    excess = (times.agg(F.sum("_bytes")).first()[0] or 0) - cap
+    if excess <= 0:
+        return cache.withColumn("evict", F.lit(False))
+    sums = Lanes(times, [], [used]).scan(_past=running(F.col("_bytes")), _upto=running(F.col("_rows"))).rows()
+    sums = stored(sums.select(F.col(used).alias("_time"), (F.col("_past") - F.col("_bytes")).alias("_before"), "_past",
+                              (F.col("_upto") - F.col("_rows")).alias("_older"), "_upto"), "oldest-first")
+
+    def ranked(time) -> DataFrame:
+        """The rows of one time of use in the order of their paths."""
+        rows = cache.where(F.col(used).eqNullSafe(F.lit(time)))
+        return Lanes(rows, [], [path]).scan(_at=position(), _sum=running(F.coalesce(F.col(size), F.lit(0)))).rows()
+
+    last = sums.where((F.col("_before") < excess) & (F.col("_past") >= excess)).first()
+    bytes_before = F.lit(last["_before"]) + F.col("_sum") - F.coalesce(F.col(size), F.lit(0))
+    due = last["_older"] + ranked(last["_time"]).agg(F.count_if(bytes_before < excess)).first()[0]
+    leaving = -(-due // round_size) * round_size
+    end = sums.where((F.col("_older") < leaving) & (F.col("_upto") >= leaving)).first()
+    if end is None:  # the last round takes all that is left
+        return cache.withColumn("evict", F.lit(True))
+    older = F.lit(False) if end["_time"] is None else F.col(used).isNull() | (F.col(used) < F.lit(end["_time"]))
+    others = cache.where(~F.col(used).eqNullSafe(F.lit(end["_time"]))).withColumn("evict", older)
+    border = ranked(end["_time"]).withColumn("evict", F.col("_at") <= leaving - end["_older"])
+    return others.unionByName(border.drop("_at", "_sum"))
+
+
+def _evict_around(cache: DataFrame, cap: int, pinned: Column, size: str, used: str, path: str) -> DataFrame:
     bytes_ = F.coalesce(F.col(size), F.lit(0))
-    rows = cache.withColumn("_pinned", F.coalesce(pinned, F.lit(False)) if keep_last else F.lit(False))
-    lane = Lanes(rows, [], ["_pinned", used, path]).scan(
+    lane = Lanes(cache.withColumn("_pinned", F.coalesce(pinned, F.lit(False))), [], ["_pinned", used, path]).scan(
         _at=position(), _rows=total(), _sum=running(bytes_), _bytes=group_sum(bytes_))
-    lane = lane.with_columns(_due=F.col("_bytes") - (F.col("_sum") - bytes_) > cap)
-    if keep_last:
-        lane = lane.with_columns(evict=F.col("_due") & ~F.col("_pinned") & (F.col("_at") < F.col("_rows")))
-    else:
-        lane = lane.scan(_count=group_sum(F.col("_due").cast("bigint")))
-        lane = lane.with_columns(evict=F.col("_at") <= F.ceil(F.col("_count") / round_size) * round_size)
-    return lane.rows("_pinned", "_at", "_rows", "_sum", "_bytes", "_due", "_count")
+    due = F.col("_bytes") - (F.col("_sum") - bytes_) > cap
+    lane = lane.with_columns(evict=due & ~F.col("_pinned") & (F.col("_at") < F.col("_rows")))
+    return lane.rows("_pinned", "_at", "_rows", "_sum", "_bytes")

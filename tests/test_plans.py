@@ -10,7 +10,8 @@ import pytest
 from sievelight.plans import QUERIES
 
 # Building these runs streams or writes files.
-RUNS_JOBS = {"write_sidecar_files", "copy_files", "watch_folder", "latest_state", "live_counts", "failure_ledger", "flush_barrier"}
+RUNS_JOBS = {"write_sidecar_files", "copy_files", "watch_folder", "latest_state", "live_counts", "failure_ledger", "flush_barrier",
+             "scan_files", "open_folder", "edit_sidecars", "save_cache", "stream_bursts", "dedupe_requests", "late_edits"}
 
 
 def plan_of(spark, name):
@@ -48,6 +49,6 @@ def test_filters_reach_the_scan(spark, name, pushed):
 def test_whole_table_order_never_meets_in_one_task(spark, sliced):
     """Anywhere in the plan, only summaries, one row per slice, may meet in one task."""
     sliced(100)
-    lines = plan_of(spark, "lru_evict").splitlines()
+    lines = plan_of(spark, "lru_evict_pinned").splitlines()
     below = [lines[i + 1] for i, line in enumerate(lines) if "SinglePartition" in line]
     assert below and all(re.search(r"HashAggregate\(keys=\[[^\]]*_slice#", line) for line in below), below
