@@ -35,7 +35,8 @@ from sievelight.sources.places import place_of
 ORDER = 4
 RANGE_ROWS = 1_000_000  # of all orders
 CACHE_BYTES = 256 << 20
-FLUSH_ROWS = 2_000_000
+FLUSH_ROWS = 400_000
+GRAM_BYTES = CHUNK_BYTES // 2  # of text whose n-grams a task holds at once
 CONFIDENCE_CHARS = 20
 REJECT_SHARE = 0.001
 REJECT_PLACE = 0.5
@@ -125,7 +126,7 @@ def count_grams(train: DataFrame) -> DataFrame:
                                                  ["lang", "gram", "n"])
             held.clear()
 
-        for batch in chunks(batches):
+        for batch in chunks(batches, limit=GRAM_BYTES):
             tags = np.array([langs.setdefault(x, len(langs)) for x in batch.column("lang").to_pylist()], np.int64)
             grams = Grams(batch.column("text").to_pylist())
             at = grams.at
@@ -292,7 +293,7 @@ def predict(df: DataFrame, model: Model | None, text_column: str = "text", prefi
     rows = df if text_column in kept else df.select(*kept, text_column)
     ship_package(df.sparkSession)
     # Where not all ranges are held at once, more texts share a look at each.
-    limit = CHUNK_BYTES if model is None or model.n_bytes <= CACHE_BYTES else 4 * CHUNK_BYTES
+    limit = GRAM_BYTES if model is None or model.n_bytes <= CACHE_BYTES else 4 * CHUNK_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, text_column, limit):
