@@ -49,6 +49,20 @@ def coalesce_edits(spark, sf):
     return _flat(writes.withColumn("write_us", F.unix_micros("write_at")).drop("write_at"))
 
 
+@query("coalesce_edits_span", f"""WITH {_EDITS}, s AS (SELECT *, CASE WHEN kind = 'mark' THEN 'pick' ELSE 'metadata' END AS slot FROM edits),
+ l AS (SELECT *, lag(ts) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS p FROM s),
+ r AS (SELECT *, sum(CASE WHEN p IS NULL OR epoch_us(ts) - epoch_us(p) > {2880 * MINUTE_MS * 1000} THEN 1 ELSE 0 END) OVER (PARTITION BY path, slot ORDER BY ts, seq) AS run FROM l),
+ f AS (SELECT *, min(epoch_us(ts)) OVER (PARTITION BY path, slot, run) AS first FROM r),
+ q AS (SELECT *, (epoch_us(ts) - first) // {4320 * MINUTE_MS * 1000} AS part FROM f)
+SELECT path, slot, arg_max(pick, seq) AS pick, {_MERGED},
+  least(epoch_us(max(ts)) + {2880 * MINUTE_MS * 1000}, first + (part + 1) * {4320 * MINUTE_MS * 1000}) AS write_us FROM q GROUP BY path, slot, run, first, part""")
+def coalesce_edits_span(spark, sf):
+    """A pause of two days, and no write later than three days after its first edit; drained from a stream."""
+    writes = _drain_in_order(spark, _edits(table(spark, sf, "events")), "ts", lambda stream, watermark: E.coalesce_edits(
+        stream, 2880 * MINUTE_MS, watermark, max_span_ms=4320 * MINUTE_MS))
+    return _flat(writes.where("path <> -1").withColumn("write_us", F.unix_micros("write_at")).drop("write_at"))
+
+
 @query("merge_keyword_edits", f"WITH {_EDITS} SELECT path, {_MERGED} FROM edits WHERE kind <> 'mark' GROUP BY path")
 def merge_keyword_edits(spark, sf):
     return _flat(E.merge_keyword_edits(_edits(table(spark, sf, "events")), ["path"]))
@@ -72,7 +86,7 @@ def _drain(spark, sf, sink, prepare=lambda rows: rows):
 def _drain_in_order(spark, rows, time, transform, slices=3):
     """Rows as a stream of slices of time, any order within a slice, through ``transform(stream, watermark)``; what came out.
 
-    Two rows of no key, long after all others, make the watermark pass everything.
+    Two rows of the key -1, long after all others, make the watermark pass everything.
     """
     folder, done = shared_folder(spark, "slices"), shared_folder(spark, "drained")
     low, high = rows.agg(F.min(F.unix_micros(time)), F.max(F.unix_micros(time))).first()
@@ -81,7 +95,9 @@ def _drain_in_order(spark, rows, time, transform, slices=3):
         rows.where(F.floor((F.unix_micros(time) - low) / width) == i).write.parquet(f"{folder}/slice={i}")
     for i in (slices, slices + 1):
         at = F.timestamp_micros(F.lit(high + (i - slices + 1) * 10 * (width + 86_400_000_000)))
-        last = spark.range(1).select(*[(at if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        plain = ("string", "bigint", "int", "double")
+        last = spark.range(1).select(*[(at if f.name == time else F.lit(-1 if f.dataType.simpleString() in plain else None)).cast(f.dataType).alias(f.name)
+                                       for f in rows.schema.fields])
         last.write.parquet(f"{folder}/slice={i}")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(f"{folder}/*")
     run = transform(stream, f"{width} microseconds").writeStream.format("parquet").option("path", done)
@@ -172,7 +188,7 @@ def _requests(rows, watermark=None):
 @query("dedupe_requests", _REQUESTS)
 def dedupe_requests(spark, sf):
     rows = table(spark, sf, "events").select("user_id", "event_type", "ts")
-    return _drain_in_order(spark, rows, "ts", _requests).where("user_id IS NOT NULL")
+    return _drain_in_order(spark, rows, "ts", _requests).where("user_id <> -1")
 
 
 @query("dedupe_requests_batch", _REQUESTS)

@@ -7,10 +7,19 @@ slot. A higher ``seq`` is the newer edit, whatever order rows arrive in.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from sievelight.operators.lanes import Lanes, last_seen, previous, running
+from sievelight.sources.jobs import ship_package
 
-from sievelight.operators.lanes import Lanes, previous, running
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 _MARK, _FULL = "kind = 'mark'", "kind = 'iptc'"
 
@@ -35,26 +44,133 @@ def merge_keyword_edits(edits: DataFrame, keys: list[str]) -> DataFrame:
     return edits.where(f"not ({_MARK})").groupBy(*keys).agg(*merged_values()).drop("pick")
 
 
-def coalesce_edits(edits: DataFrame, gap_ms: int = 700, watermark: str = "10 seconds") -> DataFrame:
+def coalesce_edits(edits: DataFrame, gap_ms: int = 700, watermark: str = "10 seconds", max_span_ms: int | None = None) -> DataFrame:
     """One write per (path, slot) once its edits pause for longer than ``gap_ms``.
 
     A stream uses a session window and emits in append mode; rows later than
     ``watermark`` are dropped there, so keep the raw log too. A batch cuts the
     log at the same pauses with a lane per (path, slot), where one path with most
-    of the edits still spreads over many tasks.
+    of the edits still spreads over many tasks. A path that is edited without pause would be written at its end only: with
+    ``max_span_ms`` a run is also cut at each multiple of it after the run's first edit, by a second scan in a batch and by state with a timer in a stream.
     """
     rows = edits.withColumn("slot", slot())
+    if edits.isStreaming and max_span_ms:
+        return spanned_writes(rows.withWatermark("ts", watermark), gap_ms, max_span_ms)
     if edits.isStreaming:
         window = F.session_window("ts", f"{gap_ms} milliseconds")
         writes = rows.withWatermark("ts", watermark).groupBy("path", "slot", window).agg(*merged_values())
         return writes.withColumn("write_at", F.col("session_window.end")).drop("session_window")
     lane = Lanes(rows, ["path", "slot"], ["ts", "seq"]).scan(_before=previous(F.col("ts")))
-    pause = F.unix_micros("ts") - F.unix_micros("_before") > gap_ms * 1000
-    lane = lane.scan(_run=running(F.coalesce(pause, F.lit(True)).cast("int")))
-    writes = lane.rows().groupBy("path", "slot", "_run").agg(*merged_values(), F.max("ts").alias("_last"))
-    return writes.withColumn(
-        "write_at", F.timestamp_micros(F.unix_micros("_last") + gap_ms * 1000)
-    ).drop("_run", "_last")
+    pause = F.coalesce(F.unix_micros("ts") - F.unix_micros("_before") > gap_ms * 1000, F.lit(True))
+    lane = lane.with_columns(_pause=pause).scan(_run=running(F.col("_pause").cast("int")))
+    part, due = [], F.unix_micros("_last") + gap_ms * 1000
+    if max_span_ms:
+        start = F.when(F.col("_pause"), F.unix_micros("ts"))
+        lane = lane.scan(_start=last_seen(start))
+        first = F.coalesce(start, F.col("_start"))
+        lane = lane.with_columns(_first=first, _part=F.floor((F.unix_micros("ts") - first) / (max_span_ms * 1000)))
+        part, due = ["_first", "_part"], F.least(due, F.col("_first") + (F.col("_part") + 1) * max_span_ms * 1000)
+    writes = lane.rows().groupBy("path", "slot", "_run", *part).agg(*merged_values(), F.max("ts").alias("_last"))
+    return writes.withColumn("write_at", F.timestamp_micros(due.cast("long"))).drop("_run", "_last", *part)
+
+
+_EDIT = T.StructType([T.StructField(n, t) for n, t in (
+    ("us", T.LongType()), ("seq", T.LongType()), ("full", T.BooleanType()), ("pick", T.StringType()), ("keywords", T.StringType()), ("fields", T.StringType()))])
+_OPEN = T.StructType([T.StructField(n, t) for n, t in (
+    ("first", T.LongType()), ("last", T.LongType()), ("part", T.LongType()), ("edits", T.LongType()), ("seq", T.LongType()), ("pick", T.StringType()),
+    ("keywords", T.StringType()), ("full", T.LongType()), ("fields", T.StringType()))])
+
+
+class WriteProcessor(StatefulProcessor):
+    """Edits of one path and slot: those the watermark has not passed, the open write, and a timer for the next of them."""
+
+    columns = ["path", "slot", "pick", "keywords", "fields", "sets_fields", "edits", "last_seq", "write_us"]
+
+    def __init__(self, gap_us: int, span_us: int):
+        self.gap, self.span = gap_us, span_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _EDIT)
+        self.open = handle.getValueState("open", _OPEN)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        text = lambda x: x if isinstance(x, str) else None
+        for b in rows:
+            self.waiting.appendList([(int(u), int(s), bool(f), text(p), text(k), text(i)) for u, s, f, p, k, i in zip(
+                *(b[c] for c in _EDIT.fieldNames()), strict=True)])
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _advance(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
+        safe = watermark_ms * 1000
+        edits = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        now = dict(zip(_OPEN.fieldNames(), self.open.get(), strict=True)) if self.open.exists() else None
+        done: list[tuple] = []
+
+        def due() -> int:
+            return min(now["last"] + self.gap, now["first"] + (now["part"] + 1) * self.span)
+
+        def write() -> None:
+            if now["edits"]:
+                done.append((*key, now["pick"], now["keywords"], now["fields"], now["full"] is not None, now["edits"], now["seq"], due()))
+            now.update(edits=0, seq=None, pick=None, keywords=None, full=None, fields=None)
+
+        for us, seq, full, pick, keywords, fields in sorted((w for w in edits if w[0] < safe), key=lambda w: w[:2]):
+            if now is None or us - now["last"] > self.gap:
+                if now:
+                    write()
+                now = dict.fromkeys(_OPEN.fieldNames()) | {"first": us, "last": us, "part": 0, "edits": 0}
+            part = (us - now["first"]) // self.span
+            if part != now["part"]:
+                write()
+            now.update(last=us, part=part, edits=now["edits"] + 1)
+            if now["seq"] is None or seq > now["seq"]:
+                now.update(seq=seq, pick=pick, keywords=keywords)
+            if full and (now["full"] is None or seq > now["full"]):
+                now.update(full=seq, fields=fields)
+        if now and now["first"] + (now["part"] + 1) * self.span <= safe:
+            write()
+        if now and now["last"] + self.gap < safe:
+            write()
+            now = None
+        self._keep([w for w in edits if w[0] >= safe], now, due() if now and now["edits"] else now and now["last"] + self.gap, watermark_ms)
+        return pd.DataFrame(done, columns=self.columns)
+
+    def _keep(self, waiting: list[tuple], now: dict | None, wake_us: int | None, watermark_ms: int) -> None:
+        if waiting:
+            self.waiting.put(waiting)
+        else:
+            self.waiting.clear()
+        if now:
+            self.open.update(tuple(now[n] for n in _OPEN.fieldNames()))
+        else:
+            self.open.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wake = [w[0] for w in waiting] + ([wake_us] if wake_us is not None else [])
+        if wake:
+            self.handle.registerTimer(max(min(wake) // 1000 + 1, watermark_ms + 1))
+
+
+def spanned_writes(rows: DataFrame, gap_ms: int, max_span_ms: int) -> DataFrame:
+    """The streaming form of ``coalesce_edits`` with a longest span; edits without a path are left out. State lives in RocksDB, which this sets for the session."""
+    ship_package(rows.sparkSession)
+    rows.sparkSession.conf.set(STATE_STORE, ROCKSDB)
+    kinds = {c: rows.schema[c].dataType for c in ("path", "keywords", "fields")}
+    flat = rows.where("path IS NOT NULL").select("path", "slot", "ts", F.unix_micros("ts").alias("us"), F.coalesce("seq", F.lit(-1)).alias("seq"),
+                       F.coalesce(F.expr(_FULL), F.lit(False)).alias("full"), "pick",
+                       F.to_json("keywords").alias("keywords"), F.to_json("fields").alias("fields"))
+    out = flat.groupBy("path", "slot").transformWithStateInPandas(
+        WriteProcessor(gap_ms * 1000, max_span_ms * 1000), f"path {kinds['path'].simpleString()}, slot string, pick string, keywords string, fields string, "
+        "sets_fields boolean, edits long, last_seq long, write_us long", "append", "eventTime")
+    return out.select("path", "slot", "pick", F.from_json("keywords", kinds["keywords"]).alias("keywords"), F.from_json("fields", kinds["fields"]).alias("fields"),
+                      "sets_fields", "edits", "last_seq", F.timestamp_micros("write_us").alias("write_at"))
 
 
 # -- the fold into current state --------------------------------------------------

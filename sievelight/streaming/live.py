@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sievelight.functions.text import canonical_path
 from sievelight.sources.files import frame_columns
 from sievelight.sources.jobs import ship_package
-from sievelight.streaming.edits import coalesce_edits
+from sievelight.streaming.edits import ROCKSDB, STATE_STORE, coalesce_edits
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -70,8 +70,7 @@ def burst_windows(frames: DataFrame, keys: list[str], time: str = "ts", gap_us:
     return runs.where(F.col("burst_size") >= min_run).drop("_w")
 
 
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_NO_KEY = "\u2400"  # stands for a null key, with which state of other keys would be lost
 _FRAME = T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("fine", T.BooleanType()), T.StructField("seq", T.LongType())])
 _RUN = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("fine", T.BooleanType()),
                      T.StructField("seq", T.LongType()), T.StructField("size", T.LongType())])
@@ -155,9 +154,10 @@ def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", h
     frames.sparkSession.conf.set(STATE_STORE, ROCKSDB)
     keys = [*session, "camera"]
     rows = frames.withWatermark(time, watermark).select(
-        *[F.col(c).cast("string").alias(c) for c in session], F.col(camera).cast("string").alias("camera"), F.col(time).alias(time), F.unix_micros(time).alias("us"),
-        (F.coalesce(F.col(tie).cast("long"), F.lit(0)) if tie else F.lit(0)).cast("long").alias("tie"), F.coalesce(F.col(has_subsec), F.lit(False)).alias("fine"),
+        *[F.coalesce(F.col(c).cast("string"), F.lit(_NO_KEY)).alias(k) for c, k in zip([*session, camera], keys, strict=True)],
+        F.col(time).alias(time), F.unix_micros(time).alias("us"), (F.coalesce(F.col(tie).cast("long"), F.lit(0)) if tie else F.lit(0)).cast("long").alias("tie"), F.coalesce(F.col(has_subsec), F.lit(False)).alias("fine"),
         F.col(seq).cast("bigint").alias("seq"))
-    return rows.groupBy(*keys).transformWithStateInPandas(
+    found = rows.groupBy(*keys).transformWithStateInPandas(
         BurstProcessor(keys, max_gap_ms * 1000, second_ms * 1000, min_run),
         ", ".join(f"{k} string" for k in keys) + ", first_us long, last_us long, burst_size long", "append", "eventTime")
+    return found.withColumns({k: F.nullif(F.col(k), F.lit(_NO_KEY)) for k in keys})

@@ -78,6 +78,32 @@ def test_stream_debounce_equals_batch(spark, sliced, tmp_path, slice_rows):
     assert writes(spark.read.parquet(f"{tmp_path}/out")) == want
 
 
+@pytest.mark.parametrize("slice_rows", [None, 15])
+def test_writes_of_a_path_edited_without_pause(spark, sliced, tmp_path, slice_rows):
+    """A run is cut at each second after its first edit: batch, stream and a loop agree."""
+    log = _random_edits(spark).unionByName(edits(spark, *[(10 * k, "busy", "mark", "Picked" if k % 3 else "Rejected") for k in range(500)]).withColumn(
+        "seq", F.col("seq") + 1000))
+    want, runs = set(), {}
+    for r in sorted(log.collect(), key=lambda r: (r.ts, r.seq)):
+        key = (r.path, "pick" if r.kind == "mark" else "metadata")
+        first, last = runs.get(key, (None, None))
+        if last is None or (r.ts - last) > timedelta(milliseconds=700):
+            first = r.ts
+        runs[key] = (first, r.ts)
+        want.add((*key, first, (r.ts - first) // timedelta(seconds=1)))
+    if slice_rows:
+        sliced(slice_rows)
+    batch = E.coalesce_edits(log, max_span_ms=1000)
+    expected = {(r.path, r.slot, r.last_seq, r.write_at): w for r, w in ((r, (r.pick, r.keywords, r.fields and r.fields.title, r.sets_fields, r.edits)) for r in batch.collect())}
+    assert len(expected) == len(want) and sum(w[4] for w in expected.values()) == log.count()
+    assert sum(k[0] == "busy" for k in expected) == 5
+    ends = spark.createDataFrame([edit(9998, 10**8, "end", "mark", "Picked"), edit(9999, 10**9, "end", "mark", "Picked")], SCHEMA)
+    _run(E.coalesce_edits(_stream(spark, log.unionByName(ends), str(tmp_path), 5), max_span_ms=1000), str(tmp_path))
+    got = spark.read.parquet(f"{tmp_path}/out").where("path <> 'end'").collect()
+    assert {(r.path, r.slot, r.last_seq, r.write_at): (r.pick, r.keywords, r.fields and r.fields.title, r.sets_fields, r.edits) for r in got} == expected
+    assert len(got) == len(expected)
+
+
 def test_burst_windows_join_at_exactly_the_gap(spark):
     at = lambda ms: (START + timedelta(milliseconds=ms),)
     df = spark.createDataFrame([at(0), at(600), at(1200), at(1801)], "ts timestamp").withColumn("c", F.lit(1))
