@@ -20,8 +20,8 @@ REST = "_rest"
 
 def packed(docs: DataFrame, *beside: str) -> DataFrame:
     """``doc_id``, ``text`` and the columns ``beside``, with all other columns in one struct, so that no name of an operator meets theirs."""
-    own = ["doc_id", "text", *beside]
-    return docs.select(*own, F.struct(*[F.col(c) for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")).alias(REST))
+    others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0).alias("none")]
+    return docs.select("doc_id", "text", *beside, F.struct(*others).alias(REST))
 
 
 def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
