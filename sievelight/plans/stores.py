@@ -131,14 +131,14 @@ def audit_jpegs(spark, sf):
     return J.audit_jpegs(claims, content="content").select("path", F.col("width").cast("bigint").alias("width"), "truncated", "implausible")
 
 
-@query("open_folder", """
+@query("folders_opened", """
 WITH f AS (SELECT s_suppkey AS k, s_nationkey AS n, s_acctbal < 0 AS damaged, s_suppkey % 3 = 0 AS rated FROM supplier)
 SELECT CAST(n AS VARCHAR) AS folder, CAST(k AS VARCHAR) || '.ARW' AS file_name, CASE WHEN damaged THEN 'Failed' ELSE 'Loaded' END AS status,
   CASE WHEN NOT damaged THEN 'ILCE-' || CAST(n % 5 AS VARCHAR) END AS model, CASE WHEN NOT damaged THEN 'S' || CAST(k % 1000 AS VARCHAR) END AS camera,
   CASE WHEN NOT damaged THEN '2024:01:' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') || ' 10:00:00' END AS capture_time,
   CASE WHEN rated AND k % 2 = 0 THEN 'Picked' WHEN rated THEN 'Rejected' ELSE 'Unmarked' END AS pick,
   CASE WHEN rated THEN 'nation ' || CAST(n AS VARCHAR) ELSE '' END AS keywords, count(*) OVER () AS first_read, 0 AS second_read FROM f""")
-def open_folder(spark, sf):
+def folders_opened(spark, sf):
     """Suppliers as RAW files in one folder per nation, some paired or with a sidecar, opened twice: the second time nothing is read."""
     home = shared_folder(spark, "card")
     rows = dealt(table(spark, sf, "supplier")).withColumns({"k": F.col("s_suppkey"), "n": F.col("s_nationkey")})

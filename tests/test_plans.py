@@ -11,7 +11,7 @@ from sievelight.plans import QUERIES
 
 # Building these runs streams or writes files.
 RUNS_JOBS = {"write_sidecar_files", "copy_files", "watch_folder", "latest_state", "live_counts", "failure_ledger", "flush_barrier",
-             "scan_files", "open_folder", "edit_sidecars", "save_cache", "stream_bursts", "dedupe_requests", "late_edits", "coalesce_edits_span"}
+             "scan_files", "folders_opened", "edit_sidecars", "save_cache", "stream_bursts", "dedupe_requests", "late_edits", "coalesce_edits_span"}
 
 
 def plan_of(spark, name):
