@@ -12,27 +12,32 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from sievelight.functions.text import canonical_path
-from sievelight.sources.files import frame_columns
+from sievelight.sources.files import frame_columns, glob_pattern, stream_files
 from sievelight.sources.jobs import ship_package
 from sievelight.streaming.edits import ROCKSDB, STATE_STORE, coalesce_edits
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
+_FRAME_COLUMNS = ["session_id", "path", "file_name", "size", "mtime", "status", "reason"]
 
 
 def watch_folder(spark: SparkSession, path: str, glob: str | None = None, per_batch: int | None = None) -> DataFrame:
-    """Stream of ``frames`` for files that appear in a folder.
+    """Stream of ``frames`` for files that appear in a folder, each path once. Deletions are not reported.
 
-    Spark's file stream reports neither deletions nor empty files.
+    Tasks list shares of the names, and what has been reported is state of the stream, in RocksDB (set for the session), so the driver holds no
+    names. With ``per_batch`` Spark's own file stream cuts the batches; its driver keeps the list of all files, and it leaves out empty ones.
     """
-    reader = spark.readStream.format("binaryFile").schema(_FILES)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if per_batch:
-        reader = reader.option("maxFilesPerTrigger", per_batch)
-    found = reader.load(path).select(canonical_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    return found.withColumns({
-        **frame_columns(F.col("path")), "status": F.lit("Placeholder"), "reason": F.lit(None).cast("string"),
-    }).select("session_id", "path", "file_name", "size", "mtime", "status", "reason")
+        reader = spark.readStream.format("binaryFile").schema(_FILES).option("maxFilesPerTrigger", per_batch)
+        found = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(
+            canonical_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+        return found.withColumns({
+            **frame_columns(F.col("path")), "status": F.lit("Placeholder"), "reason": F.lit(None).cast("string"),
+        }).select(*_FRAME_COLUMNS)
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    found = stream_files(spark, path)
+    if glob:
+        found = found.where(F.col("file_name").rlike(glob_pattern(glob)))
+    return found.select(*_FRAME_COLUMNS).dropDuplicates(["path"])
 
 
 def dedupe_requests(requests: DataFrame, keys: list[str], time: str = "ts", horizon: str = "1 minute", watermark: str | None = None) -> DataFrame:
