@@ -1,7 +1,7 @@
 """Jobs with side effects on files. Each returns one result row per input row.
 
 Every file is written under a unique temporary name beside its target, flushed
-to disk and moved, so a task that runs twice leaves the same file and a lost
+to disk (some hundred together) and moved, so a task that runs twice leaves the same file and a lost
 executor leaves no half of one. Paths are local ones on a file system that all executors
 mount, or have a scheme; a row whose scheme no executor can open fails by itself, as
 does any other bad row. Always drain the result with an action, and do not count on laziness.
@@ -11,30 +11,30 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.sources.jobs import per_file
-from sievelight.sources.places import open_read, reason_of, size_of, write_whole
+from sievelight.sources.places import open_read, reason_of, size_of, write_each
 
 CHUNK = 1 << 20
 
 
+def _put(text: str | bytes | None, f) -> None:
+    if text is None:
+        raise ValueError("there is no text to write")
+    f.write(text.encode() if isinstance(text, str) else bytes(text))
+
+
 def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tasks: int | None = None) -> DataFrame:
     """One file per row, of text or bytes, under its exact name: path, ok, reason."""
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for target, text in zip(batch["path"], batch["xml"]):
-                try:
-                    if text is None:
-                        raise ValueError("there is no text to write")
-                    write_whole(target, lambda f, data=text.encode() if isinstance(text, str) else bytes(text): f.write(data))
-                    out.append((target, True, None))
-                except Exception as e:
-                    out.append((target, False, reason_of(e)))
+            files = ((target, partial(_put, text), None) for target, text in zip(batch["path"], batch["xml"]))
+            out = [(target, error is None, error and reason_of(error)) for target, error in zip(batch["path"], write_each(files))]
             yield pd.DataFrame(out, columns=["path", "ok", "reason"])
 
     rows = df.select(F.col(path).alias("path"), F.col(xml).alias("xml"))
@@ -49,23 +49,29 @@ def _digest(path: str) -> str:
     return seen.hexdigest()
 
 
-def _copy(source: str, target: str) -> tuple[str, str]:
-    """Copy, hashing on the way, then read back what the disk holds and compare."""
-    seen, there = hashlib.sha256(), []
+class _Copy:
+    """One copy for ``write_each``: hashed on the way, then what the disk holds is read back and compared."""
+
+    def __init__(self, source: str):
+        self.source, self.seen, self.there = source, hashlib.sha256(), None
 
-    def write(f) -> None:
-        with open_read(source) as src:
+    def write(self, f) -> None:
+        with open_read(self.source) as src:
             while chunk := src.read(CHUNK):
-                seen.update(chunk)
+                self.seen.update(chunk)
                 f.write(chunk)
 
-    def check(part: str) -> None:
-        there.append(_digest(part))
-        if there[0] != seen.hexdigest():
+    def check(self, part: str) -> None:
+        self.there = _digest(part)
+        if self.there != self.seen.hexdigest():
             raise OSError("the copy reads back with another hash")
 
-    write_whole(target, write, check)
-    return seen.hexdigest(), there[0]
+
+def _copy_each(pairs: list[tuple[str, str]]) -> list[tuple[Exception | None, tuple[str, str] | None]]:
+    """For each (source, target) what failed, or the hashes of both sides."""
+    copies = [_Copy(source) for source, _ in pairs]
+    errors = write_each((target, c.write, c.check) for c, (_, target) in zip(copies, pairs))
+    return [(error, None if error else (c.seen.hexdigest(), c.there)) for c, error in zip(copies, errors)]
 
 
 def copy_files(plan: DataFrame, row_id: str = "image_id", tasks: int | None = None) -> DataFrame:
@@ -81,18 +87,23 @@ def copy_files(plan: DataFrame, row_id: str = "image_id", tasks: int | None = No
 
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                hashes, reason = (None, None), row.refused if isinstance(row.refused, str) else None
+            rows = list(batch.itertuples(index=False))
+            reasons = [row.refused if isinstance(row.refused, str) else None for row in rows]
+            hashes = [(None, None)] * len(rows)
+            targets = [None] * len(rows)
+            for i, row in enumerate(rows):
                 try:
-                    target = f"{row.dst_folder.rstrip('/')}/{row.name}"
-                    if reason is None and row.action in ("Copy", "CopyRenamed"):
-                        hashes = _copy(row.src_path, target)
-                    if reason is None and row.action != "Skip" and isinstance(row.src_sidecar, str):
-                        _copy(row.src_sidecar, target + ".xmp")
+                    targets[i] = f"{row.dst_folder.rstrip('/')}/{row.name}"
                 except Exception as e:
-                    reason = reason_of(e)
-                out.append((row.image_id, row.name, row.action, reason is None, reason, *hashes))
+                    reasons[i] = reason_of(e)
+            moves = [i for i, row in enumerate(rows) if reasons[i] is None and row.action in ("Copy", "CopyRenamed")]
+            for i, (error, both) in zip(moves, _copy_each([(rows[i].src_path, targets[i]) for i in moves])):
+                hashes[i], reasons[i] = both or (None, None), error and reason_of(error)
+            # A sidecar goes only where its image has gone.
+            cars = [i for i, row in enumerate(rows) if reasons[i] is None and row.action != "Skip" and isinstance(row.src_sidecar, str)]
+            for i, (error, _) in zip(cars, _copy_each([(rows[i].src_sidecar, targets[i] + ".xmp") for i in cars])):
+                reasons[i] = error and reason_of(error)
+            out = [(row.image_id, row.name, row.action, reason is None, reason, *both) for row, reason, both in zip(rows, reasons, hashes)]
             yield pd.DataFrame(
                 out, columns=["image_id", "name", "action", "ok", "reason", "src_hash", "dst_hash"])
 
