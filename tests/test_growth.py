@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import os
+from datetime import datetime, timedelta, timezone
 
 import oracle
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sievelight.operators.cache import read_cache, save_cache
+from sievelight.operators.copyplan import assign_free_suffix
 from sievelight.plans import QUERIES
+from sievelight.plans.registry import table
 from sievelight.sources import files as L
 from sievelight.sources import places
+from sievelight.streaming import edits as E
 from sievelight.streaming import live as V
 
 
@@ -90,3 +95,82 @@ def test_folder_stream_lists_on_tasks_and_rests(tmp_path):
 def test_written_sidecars_are_read_back_by_tasks(spark):
     plan = QUERIES["write_sidecar_files"](spark, oracle.SF)._jdf.queryExecution().executedPlan().toString()
     assert "binaryFile" not in plan and "sievelight_folders" in plan
+
+
+def test_queries_hand_python_some_megabytes_at_a_time(spark):
+    """Ten thousand rows of text were one batch; the limit is on bytes, so a worker's memory does not follow the rows of a task."""
+    rows = table(spark, "/root/testdata/sf0.1", "documents").select("text").coalesce(1)
+    sizes = rows.mapInPandas(lambda bs: (pd.DataFrame({"n": [int(b["text"].str.len().sum())]}) for b in bs), "n long").collect()
+    assert sum(r.n for r in sizes) > 20 << 20 and max(r.n for r in sizes) <= 5 << 20
+
+
+def test_smallest_free_suffix_without_a_window(spark, sliced):
+    """Against a loop, with gaps anywhere, names taken twice, and the largest number there is."""
+    sliced(5)
+    taken = {"a": [2, 2, 3, 5], "b": [3, 4], "c": list(range(2, 60)), "d": [2**63 - 1, 2], "e": [1, 0]}
+    rows = [("/o", f"{n}_{k}.ARW") for n, ks in taken.items() for k in ks] + [("/p", "a_2.ARW"), ("/o", "a_02.ARW"), ("/o", "z_2.ARW"), ("/o", "f")]
+    wanted = spark.createDataFrame([("/o", f"{n}.ARW") for n in "abcdef"], "dest string, name string")
+    free = assign_free_suffix(wanted, spark.createDataFrame(rows, "dest string, name string"), ["dest"])
+    assert {r.name[0]: r.free_name for r in free.collect()} == {
+        n: f"{n}_{next(k for k in range(2, 99) if k not in taken.get(n, []))}.ARW" for n in "abcdef"}
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "_slice" not in plan
+
+
+def test_saved_cache_is_written_by_more_tasks_than_buckets(spark, tmp_path):
+    rows = spark.range(400).select(F.concat(F.lit("/c/"), F.col("id").cast("string")).alias("path"), F.lit(1).cast("bigint").alias("size"),
+                                   F.lit(5).cast("bigint").alias("mtime_ns"), F.lit(None).cast("string").alias("capture"), F.lit(0).cast("bigint").alias("payload_bytes"))
+    root = str(tmp_path / "cache")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        save_cache(spark, root, rows, rows.limit(0), now=1, buckets=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    tasks = {n.split("-")[1] for d, _, names in os.walk(root) for n in names if n.startswith("part-")}
+    assert len(tasks) > 2 and read_cache(spark, root).count() == 400
+
+
+def test_stream_state_is_called_for_buckets_not_for_paths(spark, tmp_path):
+    """Two hundred paths share four states; what comes out is that of the batch, null and odd paths apart."""
+    at = lambda ms: datetime(2026, 7, 26, 10, tzinfo=timezone.utc) + timedelta(milliseconds=ms)
+    rows = [(i, at(i % 7 * 300 + (i % 3) * 5000), f"p{i % 200}", "mark" if i % 2 else "keywords", "Picked" if i % 2 else None, None if i % 2 else [f"k{i}"], None) for i in range(1200)]
+    schema = "seq long, ts timestamp, path string, kind string, pick string, keywords array<string>, fields struct<title:string>"
+    log = spark.createDataFrame(rows, schema)
+    ends = spark.createDataFrame([(5000 + k, at(10**8 * k), "end", "mark", "Picked", None, None) for k in (1, 2)], schema)
+    for i, part in enumerate((log, ends.where("seq = 5001"), ends.where("seq = 5002"))):
+        part.coalesce(1).write.parquet(f"{tmp_path}/in/p={i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withColumn("slot", E.slot())
+    writes = E.spanned_writes(stream.withWatermark("ts", "10 seconds"), 700, 1000, buckets=4)
+    run = writes.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/progress")
+    query = run.trigger(availableNow=True).start()
+    query.awaitTermination()
+    of = lambda df: sorted((r.path, r.slot, r.pick, r.keywords, r.edits, r.last_seq, r.write_at) for r in df.collect())
+    got, want = of(spark.read.parquet(f"{tmp_path}/out").where("path <> 'end'")), of(E.coalesce_edits(log, 700, max_span_ms=1000))
+    assert [g[:2] + g[4:] for g in got] == [w[:2] + w[4:] for w in want] and got == want and len(got) > 400
+    states = max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
+    assert states < 50
+
+
+def test_waiting_rows_are_few_values_of_state():
+    class Kept:
+        def __init__(self):
+            self.values, self.puts = [], 0
+
+        def put(self, values):
+            self.values, self.puts = values, self.puts + 1
+
+        def clear(self):
+            self.values = []
+
+        def exists(self):
+            return bool(self.values)
+
+        def get(self):
+            return iter(self.values)
+
+    state = Kept()
+    rows = [[i, None, True, "é\u0000" * (i % 3)] for i in range(25_000)]
+    E.keep_rows(state, rows)
+    assert len(state.values) == 3 and state.puts == 1 and E.kept_rows(state) == rows
+    E.keep_rows(state, [])
+    assert E.kept_rows(state) == []
