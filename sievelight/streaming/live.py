@@ -14,7 +14,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from sievelight.functions.text import canonical_path
 from sievelight.sources.files import frame_columns, glob_pattern, stream_files
 from sievelight.sources.jobs import ship_package
-from sievelight.streaming.edits import ROCKSDB, STATE_STORE, coalesce_edits
+from sievelight.streaming.edits import ROCKSDB, STATE_STORE, coalesce_edits, keep_rows, kept_rows, wake_at
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
 _FRAME_COLUMNS = ["session_id", "path", "file_name", "size", "mtime", "status", "reason"]
@@ -76,7 +76,7 @@ def burst_windows(frames: DataFrame, keys: list[str], time: str = "ts", gap_us:
 
 
 _NO_KEY = "\u2400"  # stands for a null key, with which state of other keys would be lost
-_FRAME = T.StructType([T.StructField("us", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("fine", T.BooleanType()), T.StructField("seq", T.LongType())])
+_ROWS = T.StructType([T.StructField("rows", T.StringType())])
 _RUN = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("fine", T.BooleanType()),
                      T.StructField("seq", T.LongType()), T.StructField("size", T.LongType())])
 
@@ -89,25 +89,26 @@ class BurstProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _FRAME)
+        self.waiting = handle.getListState("waiting", _ROWS)
         self.run = handle.getValueState("run", _RUN)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new: list[list] = []
         for b in rows:
-            self.waiting.appendList([(int(u), int(t), bool(f), None if pd.isna(s) else int(s))
-                                     for u, t, f, s in zip(b["us"], b["tie"], b["fine"], b["seq"], strict=True)])
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+            seq = [None if s != s or s is None else int(s) for s in b["seq"].tolist()]
+            new += map(list, zip(b["us"].tolist(), b["tie"].tolist(), b["fine"].tolist(), seq, strict=True))
+        yield self._advance(key, new, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+        yield self._advance(key, [], timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key: tuple, watermark_ms: int) -> pd.DataFrame:
+    def _advance(self, key: tuple, new: list[list], watermark_ms: int) -> pd.DataFrame:
         """Read the frames behind the watermark in time order and close the runs that can grow no more."""
         safe = watermark_ms * 1000
-        frames = [tuple(w) for w in self.waiting.get()] if self.waiting.exists() else []
+        frames = kept_rows(self.waiting) + new
         first, last, fine, number, size = self.run.get() if self.run.exists() else (None, None, None, None, 0)
         done: list[tuple] = []
 
@@ -115,7 +116,7 @@ class BurstProcessor(StatefulProcessor):
             if size >= (2 if (number or 0) >= 1 else self.min_run):
                 done.append((*key, first, last, size))
 
-        for us, _, is_fine, n in sorted(w for w in frames if w[0] < safe):
+        for us, _, is_fine, n in sorted((w for w in frames if w[0] < safe), key=lambda w: w[:2]):
             both = (n or 0) >= 1, (number or 0) >= 1
             limit = self.gap if is_fine and fine else self.wide
             joins = size and n != 0 and number != 0 and us - last <= limit and (n > number if all(both) else both[0] == both[1])
@@ -131,19 +132,13 @@ class BurstProcessor(StatefulProcessor):
         return pd.DataFrame(done, columns=[*self.keys, "first_us", "last_us", "burst_size"])
 
     def _keep(self, waiting: list[tuple], run: tuple | None, watermark_ms: int) -> None:
-        if waiting:
-            self.waiting.put(waiting)
-        else:
-            self.waiting.clear()
+        keep_rows(self.waiting, waiting)
         if run:
             self.run.update(run)
         else:
             self.run.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
         wake = [w[0] for w in waiting] + ([run[1] + self.wide] if run else [])
-        if wake:
-            self.handle.registerTimer(max(min(wake) // 1000 + 1, watermark_ms + 1))
+        wake_at(self.handle, min(wake, default=None), watermark_ms)
 
 
 def stream_bursts(frames: DataFrame, camera: str = "camera", time: str = "ts", has_subsec: str = "has_subsec", seq: str = "seq",
