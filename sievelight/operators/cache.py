@@ -75,7 +75,9 @@ def save_cache(spark: SparkSession, root: str, fresh: DataFrame, hits: DataFrame
     old = read_cache(spark, root).withColumn("bucket", bucket).join(F.broadcast(touched), "bucket", "left_semi").select(CACHE.fieldNames())
     rows = upsert_cache(old, fresh, hits, now, version).withColumn("bucket", bucket)
     marks = touched.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in CACHE.fields], "bucket")
-    out = rows.select(*CACHE.fieldNames(), "bucket").unionByName(marks).repartition("bucket", F.pmod(F.xxhash64("path"), F.lit(4)))
+    # Another hash than the bucket's: the rest of the same one is fixed by the bucket wherever it divides their number.
+    share = max(4, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // buckets))
+    out = rows.select(*CACHE.fieldNames(), "bucket").unionByName(marks).repartition("bucket", F.pmod(F.hash("path"), F.lit(share)))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(root)
     spark.catalog.refreshByPath(root)
 
