@@ -13,8 +13,10 @@ from sievelight.operators.cache import read_cache, save_cache
 from sievelight.operators.copyplan import assign_free_suffix
 from sievelight.plans import QUERIES
 from sievelight.plans.registry import table
+from sievelight.session import BATCH_BYTES
 from sievelight.sources import files as L
 from sievelight.sources import places
+from sievelight.sources.jobs import ship_package
 from sievelight.streaming import edits as E
 from sievelight.streaming import live as V
 
@@ -174,3 +176,16 @@ def test_waiting_rows_are_few_values_of_state():
     assert len(state.values) == 3 and state.puts == 1 and E.kept_rows(state) == rows
     E.keep_rows(state, [])
     assert E.kept_rows(state) == []
+
+
+def test_operators_bound_batches_unless_the_session_does(spark):
+    before = spark.conf.get(BATCH_BYTES, None)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        ship_package(spark)
+        assert spark.conf.get(BATCH_BYTES) in ("4m", "4194304b")
+        spark.conf.set(BATCH_BYTES, "8m")
+        ship_package(spark)
+        assert spark.conf.get(BATCH_BYTES) in ("8m", "8388608b")
+    finally:
+        spark.conf.set(BATCH_BYTES, before or "4m")
