@@ -79,15 +79,23 @@ def words(data: np.ndarray, at: np.ndarray, separator: np.ndarray = SPACE) -> tu
     return starts, np.flatnonzero(inside & ~after) + 1, np.searchsorted(starts, at)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each ``data[start:end]``."""
-    n = len(data)
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * powers(n), out=sums[1:])
+def running_hashes(data: np.ndarray) -> np.ndarray:
+    """What ``hashes_between`` needs of the bytes, for any number of spans."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_VALUE[data] * powers(len(data)), out=sums[1:])
+    return sums
+
+
+def hashes_between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     # The inverse power moves each span to place zero.
-    h = (sums[ends] - sums[starts]) * powers(n + 1, up=False)[starts]
+    h = (sums[ends] - sums[starts]) * powers(len(sums), up=False)[starts]
     return mix(h + (ends - starts).astype(np.uint64))
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each ``data[start:end]``."""
+    return hashes_between(running_hashes(data), starts, ends)
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)

@@ -10,6 +10,7 @@ import numpy as np
 import oracle
 import pytest
 from llm_rows import frame, prose
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievelight.llm import decontaminate, groups, jaccard, linededup, suffix
@@ -244,6 +245,41 @@ def test_suffix_array():
             assert common[k] == same
 
 
+def test_suffix_array_of_wanted_places_only():
+    rng = random.Random(16)
+    for _ in range(300):
+        n, depth = rng.randint(1, 80), rng.randint(1, 60)
+        symbols = np.array([rng.randint(0, 3) for _ in range(n)] + [0], np.int16)
+        wanted = np.array([rng.random() < 0.3 for _ in range(n + 1)])
+        some = suffix.suffix_array(symbols, depth, wanted)
+        heads = [tuple(symbols[i:i + depth]) + (0,) * (depth - len(symbols[i:i + depth])) for i in some]
+        upto = [h[:h.index(0)] if 0 in h else h for h in heads]
+        assert set(np.flatnonzero(wanted)) <= set(some) and len(set(some)) == len(some) and upto == sorted(upto)
+
+
+def test_anchors_without_a_common_window_are_left_out(spark):
+    """What reaches the suffix arrays follows what documents have in common, not the short phrases that all of them hold."""
+    rng = random.Random(17)
+    phrase, passage = "a phrase that many texts hold", "".join(rng.choice("abcdefghij ") for _ in range(60))
+
+    def opened(common: str) -> DataFrame:
+        noise = lambda: "".join(chr(rng.randint(0x430, 0x44f)) for _ in range(60))
+        docs = spark.createDataFrame([(i, noise() + common + noise()) for i in range(40)], "doc_id long, text string")
+        marks = suffix.repeated_anchors(suffix.anchor_blocks(docs, 4, 50), 50).withColumn("hot", F.lit(False))
+        return suffix.open_surroundings(suffix.compressed(docs), marks, 50)
+
+    assert opened(phrase).count() == 0
+    got = opened(passage).collect()
+    assert {r.doc_id for r in got} == set(range(40))
+    # Only what the ranges of common windows reach into, not always the whole surrounding of 84 bytes.
+    assert min(len(r.bytes) for r in got) < 84
+
+
+def test_equal_pieces_are_folded():
+    order = np.array([5, 3, 3, 9, suffix.NO_ID])
+    assert suffix.folded([b"x", b"x", b"x", b"y", b"y"], order).tolist() == [True, False, False, False, True]
+
+
 @pytest.mark.parametrize("hot", [50_000, 3])
 def test_repeated_bytes_by_brute_force(spark, messy_rows, monkeypatch, hot):
     monkeypatch.setattr(suffix, "HOT", hot)
