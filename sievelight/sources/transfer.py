@@ -29,8 +29,8 @@ def _put(text: str | bytes | None, f) -> None:
     f.write(text.encode() if isinstance(text, str) else bytes(text))
 
 
-def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tasks: int | None = None) -> DataFrame:
-    """One file per row, of text or bytes, under its exact name: path, ok, reason."""
+def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tasks: int | None = None, held: bool = False) -> DataFrame:
+    """One file per row, of text or bytes, under its exact name: path, ok, reason. ``held`` rows are written where they lie, as they are dealt already."""
     def job(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             files = ((target, partial(_put, text), None) for target, text in zip(batch["path"], batch["xml"]))
@@ -38,7 +38,7 @@ def write_sidecar_files(df: DataFrame, path: str = "path", xml: str = "xml", tas
             yield pd.DataFrame(out, columns=["path", "ok", "reason"])
 
     rows = df.select(F.col(path).alias("path"), F.col(xml).alias("xml"))
-    return per_file(rows, job, "path string, ok boolean, reason string", tasks)
+    return per_file(rows, job, "path string, ok boolean, reason string", tasks, held)
 
 
 def _digest(path: str) -> str:

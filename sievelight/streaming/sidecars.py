@@ -9,7 +9,7 @@ from sievelight.functions.capture import pick_to_rating
 from sievelight.schema import IPTC_FIELDS
 from sievelight.session import stored
 from sievelight.sources.files import read_files
-from sievelight.sources.sidecars import iptc_block, keyword_block, render_sidecar, rewrite_sidecars
+from sievelight.sources.sidecars import apply_edits, edit_of, iptc_block, keyword_block, render_sidecar
 from sievelight.sources.transfer import write_sidecar_files
 
 _ABSENT = "not read: FileNotFoundError"
@@ -29,33 +29,35 @@ def per_sidecar(writes: DataFrame, suffix: str = ".xmp") -> DataFrame:
         F.when(F.max(full).isNotNull(), "iptc").when(F.max(words).isNotNull(), "keywords").alias("sets"))
 
 
+def edited_sidecars(writes: DataFrame, tasks: int | None = None) -> DataFrame:
+    """path, xml, error: each edited sidecar as it is to be written, or why it cannot be.
+
+    A row takes its edits through reading and editing; nothing is joined to the texts, so none of them is ever broadcast or shuffled.
+    """
+    wanted = per_sidecar(writes)
+    fields = {f: F.col(f"fields.{f}") for f in IPTC_FIELDS if f in wanted.schema["fields"].dataType.fieldNames()}
+    found = read_files(wanted, tasks=tasks, keep=[c for c in wanted.columns if c != "path"])
+    absent = F.coalesce(F.startswith("error", F.lit(_ABSENT)), F.lit(False))
+    fresh = render_sidecar(F.coalesce("pick", F.lit("Unmarked")), F.col("keywords"), fields).cast("binary")
+    mark = F.when(F.col("marks"), edit_of(F.lit("pick"), F.coalesce(pick_to_rating(F.col("pick")).cast("string"), F.lit(""))))
+    block = F.when(F.col("sets") == "iptc", iptc_block(F.col("keywords"), fields)).otherwise(keyword_block(F.col("keywords")))
+    edits = F.array_compact(F.array(mark, F.when(F.col("sets").isNotNull(), edit_of(F.col("sets"), block))))
+    none = F.filter(edits, lambda _: F.lit(False))
+    rows = found.select("path", F.when(absent, fresh).otherwise(F.col("content")).alias("xml"), F.when(absent, none).otherwise(edits).alias("edits"),
+                        F.when(~absent, F.col("error")).alias("error"))
+    return apply_edits(rows, F.col("edits"), failed="error")
+
+
 def write_edits(writes: DataFrame, tasks: int | None = None) -> DataFrame:
     """Write each edited sidecar: path, ok, reason.
 
     An existing sidecar keeps every byte that the edits do not own; one that is absent is written fresh. A sidecar that cannot be read or
     edited safely is left alone and told with its reason. Writing the same edits again gives the same files, so a batch may be replayed.
     """
-    wanted = stored(per_sidecar(writes), "sidecar-edits")
-    found = wanted.join(read_files(wanted.select("path"), tasks=tasks), "path")
-    found = stored(found, "sidecars-read")
-    fields = {f: F.col(f"fields.{f}") for f in IPTC_FIELDS if f in found.schema["fields"].dataType.fieldNames()}
-    absent = found.where(F.startswith("error", F.lit(_ABSENT)))
-    fresh = absent.select("path", render_sidecar(F.coalesce("pick", F.lit("Unmarked")), F.col("keywords"), fields).alias("xml"))
-    failed = found.where(F.col("error").isNotNull() & ~F.startswith("error", F.lit(_ABSENT))).select("path", F.col("error").alias("reason"))
-    here = found.where("error IS NULL").withColumn("xml", F.col("content").cast("string"))
-    facts = here.drop("xml", "content", "error")
-    marked = rewrite_sidecars(here.where("marks"), "pick", F.coalesce(pick_to_rating(F.col("pick")).cast("string"), F.lit("")))
-    now = marked.unionByName(here.where("NOT marks").select("path", "xml", F.lit(None).cast("string").alias("error")))
-    now = stored(now.join(facts, "path"), "sidecars-marked")
-    fine = now.where("error IS NULL")
-    blocks = {"iptc": iptc_block(F.col("keywords"), fields), "keywords": keyword_block(F.col("keywords"))}
-    edited = fine.where("sets IS NULL").select("path", "xml", "error")
-    for kind, block in blocks.items():
-        edited = edited.unionByName(rewrite_sidecars(fine.where(F.col("sets") == kind), kind, block))
-    edited = stored(edited.unionByName(now.where("error IS NOT NULL").select("path", "xml", "error")), "sidecars-edited")
-    done = write_sidecar_files(fresh.unionByName(edited.where("error IS NULL").select("path", "xml")), tasks=tasks)
-    failed = failed.unionByName(edited.where("error IS NOT NULL").select("path", F.col("error").alias("reason")))
-    return done.unionByName(failed.select("path", F.lit(False).alias("ok"), "reason"))
+    # All are read before any is written: a task that runs again must not find its own writes.
+    edited = stored(edited_sidecars(writes, tasks), "sidecars-edited")
+    done = write_sidecar_files(edited.where("error IS NULL"), tasks=tasks, held=True)
+    return done.unionByName(edited.where("error IS NOT NULL").select("path", F.lit(False).alias("ok"), F.col("error").alias("reason")))
 
 
 class SidecarSink:

@@ -19,6 +19,7 @@ from sievelight.sources import places
 from sievelight.sources.jobs import ship_package
 from sievelight.streaming import edits as E
 from sievelight.streaming import live as V
+from sievelight.streaming import sidecars as W
 
 
 def test_files_are_flushed_together_before_any_is_moved(tmp_path, monkeypatch):
@@ -189,3 +190,41 @@ def test_operators_bound_batches_unless_the_session_does(spark):
         assert spark.conf.get(BATCH_BYTES) in ("8m", "8388608b")
     finally:
         spark.conf.set(BATCH_BYTES, before or "4m")
+
+
+def _writes(spark, rows):
+    """(image path, pick or None, keywords or None) as writes of ``coalesce_edits``."""
+    columns = "path string, slot string, pick string, keywords array<string>, fields struct<title: string>, sets_fields boolean, last_seq long"
+    marks = [(p, "pick", pick, None, None, False, 1) for p, pick, _ in rows if pick]
+    words = [(p, "metadata", None, k, None, False, 2) for p, _, k in rows if k is not None]
+    return spark.createDataFrame(marks + words, columns)
+
+
+def test_edits_are_written_without_joins_to_the_texts(spark, tmp_path):
+    """A join to the files' content is planned by the size of their paths, and so broadcasts it by way of the driver."""
+    (tmp_path / "bad.xmp").write_bytes(b"<a>")
+    (tmp_path / "latin.xmp").write_bytes(b"<a>\xff</a>")
+    os.mkdir(tmp_path / "folder.xmp")
+    names = [f"{tmp_path}/{n}" for n in ("new", "bad", "latin", "folder")]
+    writes = _writes(spark, [(n, "Rejected", ["k"] if n.endswith("new") else None) for n in names])
+    plan = W.edited_sidecars(writes)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
+    done = {r.path.rpartition("/")[2]: (r.ok, (r.reason or "").split(":")[0]) for r in W.write_edits(writes).collect()}
+    assert done == {"new.xmp": (True, ""), "bad.xmp": (False, "malformed XML"), "latin.xmp": (False, "bytes are not UTF-8 text"), "folder.xmp": (False, "not read")}
+    assert (tmp_path / "bad.xmp").read_bytes() == b"<a>" and (tmp_path / "latin.xmp").read_bytes() == b"<a>\xff</a>"
+    fresh = (tmp_path / "new.xmp").read_text()
+    assert 'xmp:Rating="-1"' in fresh and fresh.count("<rdf:li>k</rdf:li>") == 2
+    # The same image again: both of its edits, one after the other, in the file that is there now.
+    again = W.write_edits(_writes(spark, [(names[0], "Picked", ["l"])])).collect()
+    assert [r.ok for r in again] == [True]
+    there = (tmp_path / "new.xmp").read_text()
+    assert 'xmp:Rating="1"' in there and there.count("<rdf:li>l</rdf:li>") == 2 and "<rdf:li>k</rdf:li>" not in there
+
+
+def test_read_files_keeps_columns(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}").write_bytes(b"x" * i)
+    rows = spark.createDataFrame([(f"{tmp_path}/{i}", [f"k{i}"], (i,)) for i in range(4)], "path string, words array<string>, n struct<i: int>")
+    got = L.read_files(rows, keep=["words", "n"]).orderBy("path").collect()
+    assert [(r.words, r.n.i, r.content, r.error is None) for r in got] == [
+        (["k0"], 0, b"", True), (["k1"], 1, b"x", True), (["k2"], 2, b"xx", True), (["k3"], 3, None, False)]
