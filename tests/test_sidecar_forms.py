@@ -34,3 +34,12 @@ def test_render_gives_both_forms(spark):
     got = QUERIES["render_sidecars"](spark, oracle.SF).collect()
     assert len(got) == len(langs) and {r.doc_id: r.marks for r in got} == {d: _bare_md5(lang) for d, lang in langs.items()}
     assert all(r.xml != r.marks for r in got)
+
+
+def test_rewrite_takes_both_forms(spark):
+    langs = _langs(spark)
+    got = QUERIES["rewrite_sidecars"](spark, oracle.SF).collect()
+    assert sorted(r.path for r in got) == sorted(f"{d}.{form}" for d in langs for form in ("ARW", "JPG"))
+    # The attributes of an edited element stand on one line, whatever the rating was.
+    rejected = hashlib.md5(_BARE.format(f' {_XMP} xmp:Rating="-1"').encode()).hexdigest()
+    assert {r.xml for r in got if r.path.endswith(".JPG")} == {rejected} and {r.error for r in got} == {None}
