@@ -43,3 +43,11 @@ def test_rewrite_takes_both_forms(spark):
     # The attributes of an edited element stand on one line, whatever the rating was.
     rejected = hashlib.md5(_BARE.format(f' {_XMP} xmp:Rating="-1"').encode()).hexdigest()
     assert {r.xml for r in got if r.path.endswith(".JPG")} == {rejected} and {r.error for r in got} == {None}
+
+
+def test_files_are_written_in_both_forms(spark):
+    langs = _langs(spark)
+    got = {r.file_name: r.xml for r in QUERIES["write_sidecar_files"](spark, oracle.SF).collect()}
+    spanish = [d for d, lang in langs.items() if lang == "es"]
+    assert spanish and set(got) == {f"{d}.ARW" for d in langs} | {f"{d}.JPG" for d in spanish}
+    assert all(got[f"{d}.JPG"] == _bare_md5("es") != got[f"{d}.ARW"] for d in spanish)
